@@ -85,10 +85,29 @@ def classify_deadline(text: Column | str, ref_ts: Column) -> Column:
     )
 
 
+def _status_only(text: Column, ref_ts: Column) -> Column:
+    """The status part of ``classify_deadline``."""
+    t = collapse(text)
+    today = ref_date(ref_ts)
+    short_date = _iso(
+        F.substring(today, 1, 4), F.regexp_extract(t, SHORT_DATE, 1), F.regexp_extract(F.regexp_extract(t, SHORT_DATE, 0), MONTH_DAY, 1)
+    )
+    open_d_day = (F.regexp_extract(t, D_DAY, 1) == "-") & (F.regexp_extract(t, D_DAY, 2).cast("decimal(38,0)") > 0)
+    full_date = _date_parts(F.regexp_extract(t, LABELLED_DATE, 0), FULL_DATE)
+    return (
+        F.when(t.rlike(OPEN_ENDED), "active")
+        .when(t.rlike(D_DAY), F.when(open_d_day, "active").otherwise("expired"))
+        .when(t.rlike(SHORT_DATE), F.when(short_date >= today, "active").otherwise("expired"))
+        .when(t.rlike(LABELLED_DATE), F.when(full_date >= today, "active").otherwise("expired"))
+        .when(t.rlike(CLOSED), "expired")
+        .otherwise("unknown")
+    )
+
+
 def effective_status(raw_text: Column | str, stored: Column | str, ref_ts: Column) -> Column:
     """O-64: the status at ``ref_ts``; the stored one when the text does not tell."""
     raw_text, stored = col(raw_text), col(stored)
-    status = classify_deadline(raw_text, ref_ts)["status"]
+    status = _status_only(raw_text, ref_ts)
     return F.when(F.coalesce(raw_text, F.lit("")) == "", stored).when(status == "unknown", stored).otherwise(status)
 
 

@@ -81,20 +81,18 @@ def tokens(normalized: Column | str) -> Column:
 def hangul_ngrams(normalized: Column | str, sizes: Sequence[int] = (2, 3)) -> Column:
     """O-24: distinct character n-grams of each Hangul run."""
     runs = F.regexp_extract_all(col(normalized), F.lit(HANGUL_RUN), F.lit(0))
-
-    def grams(size: int) -> Column:
-        long_runs = F.filter(runs, lambda r: F.length(r) >= size)
-        return F.flatten(
-            F.transform(
-                long_runs,
-                lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - (size - 1)), lambda i: F.substring(r, i, F.lit(size))),
-            )
-        )
-
     usable = [s for s in sizes if isinstance(s, int) and s > 0]
     if not usable:
         return F.array().cast("array<string>")
-    return F.array_distinct(F.concat(*[grams(s) for s in usable]))
+
+    def sized(run: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(run) - (n - 1), F.lit(1)))
+        return F.when(F.length(run) >= n, F.transform(starts, lambda i: F.substring(run, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    def grams(run: Column) -> Column:
+        return F.concat(*[sized(run, n) for n in usable])
+
+    return F.array_distinct(F.flatten(F.transform(runs, grams)))
 
 
 def search_terms(normalized: Column | str, sizes: Sequence[int] = (2, 3)) -> Column:

@@ -80,3 +80,14 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, spread_by: str, how
     salted_left = left.withColumn(salt, F.pmod(F.xxhash64(spread_by), F.lit(buckets)))
     salted_right = right.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(buckets - 1).cast("bigint"))))
     return salted_left.join(salted_right, [key, salt], how).drop(salt)
+
+
+def computed_once(df: DataFrame, columns: dict, keep: list[str]) -> DataFrame:
+    """Add ``columns`` so that later expressions read their values.
+
+    The optimizer merges neighbouring projections, and a costly expression that
+    is used inside a lambda would then run once per array element.  It does not
+    merge across a generator, so the values pass through a one-row ``inline``.
+    """
+    row = F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))
+    return df.select(*keep, F.inline(row))
