@@ -11,10 +11,11 @@ from pyspark.sql.types import StringType
 
 # --- fixed values -----------------------------------------------------------
 # White space as web scripts understand it; Java's \s is ASCII only.
-SPACE = r"[\s\x{00A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-CONTROL = r"[\x00-\x1f\x7f]"
-ORNAMENTS = "[“”‘’`´·•★☆▶▷◀◁◆◇■□▲△▼▽|]+"
-ASCII_PUNCTUATION = r"""[()\[\]{}<>.,;:!?"'\\/]+"""
+WIDE_SPACE = r"\x{00A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+SPACE = rf"[\s{WIDE_SPACE}]"
+CONTROL = r"\x00-\x1f\x7f"
+ORNAMENTS = "“”‘’`´·•★☆▶▷◀◁◆◇■□▲△▼▽|"
+ASCII_PUNCTUATION = r"""()\[\]{}<>.,;:!?"'\\/"""
 TOKEN = r"[\p{L}\p{N}]+"
 HANGUL_RUN = "[가-힣]+"
 ZERO_WIDTH = r"[\x{200B}-\x{200D}\x{2060}\x{FEFF}]"
@@ -59,22 +60,38 @@ def trim_all(c: Column | str) -> Column:
 
 
 def collapse(c: Column | str) -> Column:
-    """Runs of white space to one blank, ends trimmed."""
-    return F.trim(F.regexp_replace(col(c), f"{SPACE}+", " "))
+    """Runs of white space to one blank, ends trimmed.
+
+    A single blank is left out of the pattern: it would be replaced by itself,
+    once per word.
+    """
+    return F.trim(F.regexp_replace(col(c), rf"{SPACE}{{2,}}|[\t\n\x0B\f\r{WIDE_SPACE}]", " "))
 
 
 def normalize_search_text(c: Column | str, use_nfkc: bool = True) -> Column:
     """O-22: comparable form of text for search."""
-    c = nfkc(c) if use_nfkc else col(c)
-    c = F.lower(c)
-    c = F.regexp_replace(c, CONTROL, " ")
-    c = F.regexp_replace(c, ORNAMENTS, " ")
-    c = F.regexp_replace(c, ASCII_PUNCTUATION, " ")
-    return collapse(c)
+    return separators_to_blank(lower_nfkc(c, use_nfkc))
+
+
+def lower_nfkc(c: Column | str, use_nfkc: bool = True) -> Column:
+    return F.lower(nfkc(c) if use_nfkc else col(c))
+
+
+SEPARATOR_SET = CONTROL + ORNAMENTS + ASCII_PUNCTUATION + r"\s" + WIDE_SPACE
+SEPARATORS = f"[{SEPARATOR_SET}]"
+
+
+def separators_to_blank(lowered: Column) -> Column:
+    """Every run of control characters, ornaments, ASCII punctuation and white space becomes one blank."""
+    return F.trim(F.regexp_replace(lowered, f"{SEPARATORS}{{2,}}|[{SEPARATOR_SET}&&[^ ]]", " "))
 
 
 def tokens(normalized: Column | str) -> Column:
-    """O-23: runs of letters and digits."""
+    """O-23: runs of letters and digits.
+
+    Separators are neither, so lower-cased text gives the same tokens as text in
+    search form.
+    """
     return F.regexp_extract_all(col(normalized), F.lit(TOKEN), F.lit(0))
 
 

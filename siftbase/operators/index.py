@@ -8,12 +8,13 @@ that each step needs.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siftbase.functions import text as T
 from siftbase.operators.vocabulary import ANSWER_SIGNALS, NOISE_SIGNALS
-from siftbase.session import computed_once, written
+from siftbase.session import computed_once, spread, written
 
 TITLE_WEIGHT, CATEGORY_WEIGHT = 3, 2
 
@@ -39,12 +40,20 @@ def boilerplate_label(normalized: Column, noise: Sequence[str] = NOISE_SIGNALS,
     )
 
 
-def boilerplate_class(normalized: Column, noise: Sequence[str] = NOISE_SIGNALS, answer: Sequence[str] = ANSWER_SIGNALS) -> Column:
-    """The label alone, by two alternations over text that is already in search form."""
+def boilerplate_class(lowered: Column, noise: Sequence[str] = NOISE_SIGNALS, answer: Sequence[str] = ANSWER_SIGNALS) -> Column:
+    """The label alone, from lower-cased text.
+
+    A blank inside a signal stands for any run of separators, so the text needs
+    no full normalising.
+    """
+
+    def occurs(word: str) -> Column:
+        parts = _plain(word).split(" ")
+        found = F.contains(lowered, F.lit(parts[0]))
+        return found & lowered.rlike((T.SEPARATORS + "+").join(f"\\Q{p}\\E" for p in parts)) if len(parts) > 1 else found
 
     def any_of(words: Sequence[str]) -> Column:
-        plain = [_plain(w) for w in words]
-        return normalized.rlike("|".join(f"\\Q{w}\\E" for w in plain))
+        return reduce(lambda a, b: a | b, [occurs(w) for w in words])
 
     has_noise, has_answer = any_of(noise), any_of(answer)
     return F.when(has_noise & has_answer, "mixed").when(has_noise, "boilerplate_only").otherwise("answerable")
@@ -70,26 +79,36 @@ def build_index(chunks: DataFrame, use_nfkc: bool = True) -> DataFrame:
     """
     fields = ("text", "source_name", "title", "category")
     head = ["chunk_id", "source_id", "collection_category", "source_family", "deadline_status", "deadline_raw_text", "posted_at", "fetched_at"]
-    norm = {f"_n_{name}": T.normalize_search_text(F.col(name), use_nfkc) for name in fields}
-    staged = computed_once(chunks, norm, head)
-    # no signal contains a line break, so the joined fields classify like the joined text
+    lowered = {f"_n_{name}": T.lower_nfkc(name, use_nfkc) for name in fields}
+    staged = computed_once(spread(chunks), lowered, head)
+    # no signal contains a line break, so the fields joined by blanks classify like the fields joined by line breaks
     label = boilerplate_class(F.concat_ws(" ", "_n_title", "_n_category", "_n_text"))
+    staged = computed_once(staged, {**{f"_{name}": T.search_terms(f"_n_{name}") for name in fields}, "boilerplate_label": label}, head)
+    text, source, title, category = (F.col(f"_{n}") for n in ("text", "source_name", "title", "category"))
     staged = computed_once(
-        staged, {**{f"_{name}": T.search_terms(f"_n_{name}") for name in fields}, "boilerplate_label": label}, head
+        staged,
+        {"_text": text, "_source": source, "_title": title, "_category": category, "_special": F.array_union(F.array_union(source, title), category)},
+        [*head, "boilerplate_label"],
     )
-    text, source, title, category = (F.col(f"_{n}") for n in ("text", "source_name", "title", "category"))
-
-    def posting(term: Column, base: int) -> Column:
-        in_source, in_title, in_category = (F.array_contains(a, term) for a in (source, title, category))
-        tf = F.lit(base) + in_source.cast("int") + in_title.cast("int") * TITLE_WEIGHT + in_category.cast("int") * CATEGORY_WEIGHT
+    text, source, title, category, special = (F.col(n) for n in ("_text", "_source", "_title", "_category", "_special"))
+
+    def special_posting(term: Column) -> Column:
+        in_title, in_category = F.array_contains(title, term), F.array_contains(category, term)
+        tf = (
+            F.array_contains(text, term).cast("int") + F.array_contains(source, term).cast("int")
+            + in_title.cast("int") * TITLE_WEIGHT + in_category.cast("int") * CATEGORY_WEIGHT
+        )
         return F.struct(term.alias("term"), tf.alias("tf"), in_title.alias("in_title"), in_category.alias("in_category"))
 
-    others = F.array_except(F.array_union(F.array_union(source, title), category), text)
+    def text_posting(term: Column) -> Column:
+        return F.struct(term.alias("term"), F.lit(1).alias("tf"), F.lit(False).alias("in_title"), F.lit(False).alias("in_category"))
+
     count = F.size(text) + F.size(source) + F.size(title) * TITLE_WEIGHT + F.size(category) * CATEGORY_WEIGHT
     return staged.select(
         *head, "boilerplate_label",
         F.greatest(count, F.lit(1)).cast("bigint").alias("token_count"),
-        F.concat(F.transform(text, lambda t: posting(t, 1)), F.transform(others, lambda t: posting(t, 0))).alias("postings"),
+        # most terms stand in the text only; the membership tests run on the few terms of the short fields
+        F.concat(F.transform(F.array_except(text, special), text_posting), F.transform(special, special_posting)).alias("postings"),
     )
 
 

@@ -91,3 +91,9 @@ def computed_once(df: DataFrame, columns: dict, keep: list[str]) -> DataFrame:
     """
     row = F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))
     return df.select(*keep, F.inline(row))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input with fewer splits than cores (a few small files); a large input passes unchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
