@@ -190,7 +190,7 @@ def recommend(index: DataFrame, chunks: DataFrame, profiles: DataFrame, ref_ts:
     from siftbase.operators.retrieve import attach_chunks, matched_terms, query_terms
     from siftbase.session import written
 
-    asked = profile_queries(profiles)
+    asked = written(profile_queries(profiles), "profile-queries")
     pool = written(retrieve(index, asked.select("query_id", "query", "top_k", "collection_categories"), ref_ts, **options), "candidates")
     terms = query_terms(asked, use_nfkc=options.get("use_nfkc", True))
     with_terms = matched_terms(pool, index, terms)
@@ -202,7 +202,7 @@ def recommend(index: DataFrame, chunks: DataFrame, profiles: DataFrame, ref_ts:
 def minimised_profile(raw: DataFrame, list_columns: tuple[str, ...] = ("industry", "region", "employment_type")) -> DataFrame:
     """O-144: comma lists split, trimmed and cut to five; free text dropped; failures of the strict limits."""
     def items(c: str) -> Column:
-        return F.slice(F.filter(F.transform(F.split(F.coalesce(F.col(c), F.lit("")), ","), F.trim), lambda x: x != ""), 1, 5)
+        return F.slice(F.filter(F.transform(F.split(F.coalesce(F.col(c), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != ""), 1, 5)
 
     out = raw.select(
         "session_key", F.trim("major").alias("major"), F.trim("target_role").alias("target_role"), *[items(c).alias(c) for c in list_columns],
