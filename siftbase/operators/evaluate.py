@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from siftbase.session import broadcast_if_small, computed_once, salted_join
+from siftbase.session import broadcast_if_small, computed_once, salted_join, stored_side
 
 
 def expected_passages(chunks: DataFrame, asked: DataFrame, shingle: int = 8) -> DataFrame:
@@ -29,7 +29,7 @@ def _containing(chunks: DataFrame, asked: DataFrame, size: int) -> DataFrame:
         .select("chunk_id", F.explode(F.transform(positions, lambda i: F.xxhash64(F.array_join(F.slice("words", i, size), " ")))).alias("run"))
     )
     keys = long.select("run").distinct()
-    hits = runs.join(broadcast_if_small(keys), "run", "left_semi").distinct()
+    hits = stored_side(runs.join(broadcast_if_small(keys), "run", "left_semi").distinct(), "hits")
     by_run = chunks.select("chunk_id", "text").join(hits, "chunk_id").join(long.select("query_id", "query", "run"), "run")
     found = by_run.filter(F.contains("text", F.col("query"))).select("query_id", "chunk_id").distinct()
     return found

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from siftbase.functions import text as T
 from siftbase.operators.vocabulary import ANSWER_SIGNALS, NOISE_SIGNALS
-from siftbase.session import computed_once, spread, written
+from siftbase.session import computed_once, written
 
 TITLE_WEIGHT, CATEGORY_WEIGHT = 3, 2
 
@@ -80,7 +80,7 @@ def build_index(chunks: DataFrame, use_nfkc: bool = True) -> DataFrame:
     fields = ("text", "source_name", "title", "category")
     head = ["chunk_id", "source_id", "collection_category", "source_family", "deadline_status", "deadline_raw_text", "posted_at", "fetched_at"]
     lowered = {f"_n_{name}": T.lower_nfkc(name, use_nfkc) for name in fields}
-    staged = computed_once(spread(chunks), lowered, head)
+    staged = computed_once(chunks, lowered, head)
     # no signal contains a line break, so the fields joined by blanks classify like the fields joined by line breaks
     label = boilerplate_class(F.concat_ws(" ", "_n_title", "_n_category", "_n_text"))
     staged = computed_once(staged, {**{f"_{name}": T.search_terms(f"_n_{name}") for name in fields}, "boilerplate_label": label}, head)

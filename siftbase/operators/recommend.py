@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from siftbase.functions import dates as D, text as T, urls as U
 from siftbase.operators.retrieve import MAX_TOP_K, retrieve
 from siftbase.operators.roles import INTERNSHIP_OPPORTUNITY, OPPORTUNITY, internship_signal
-from siftbase.session import computed_once
+from siftbase.session import broadcast_if_small, computed_once, written
 
 # --- fixed values -----------------------------------------------------------
 DEFAULT_QUERY = "채용 모집 공고 취업 프로그램"
@@ -103,14 +103,19 @@ def profile_queries(profiles: DataFrame) -> DataFrame:
     )
 
 
+def with_evidence(chunks: DataFrame) -> DataFrame:
+    """The part of the match evidence that is the same for every profile."""
+    return computed_once(chunks, {"chunk_evidence": T.preference_text(F.concat_ws(" ", "title", "category", "deadline_raw_text", "text"))}, chunks.columns)
+
+
 def score_candidates(candidates: DataFrame, ref_ts: Column) -> DataFrame:
-    """O-113: score parts, ``final_score`` and ``match_strength`` of (profile, chunk) rows with an effective status."""
+    """O-113: score parts, ``final_score`` and ``match_strength`` of (profile, chunk) rows with an effective status and ``chunk_evidence``."""
     scored = source_quality(candidates, ref_ts)
     lists = F.concat(*[F.coalesce(F.col(c), F.array().cast("array<string>")) for c in ("industry", "region", "employment_type")])
     staged = computed_once(
         scored,
         {
-            "_evidence": T.preference_text(F.concat_ws(" ", "title", "category", "deadline_raw_text", "text", F.array_join("matched_terms", " "))),
+            "_evidence": F.concat_ws(" ", "chunk_evidence", T.preference_text(F.array_join("matched_terms", " "))),
             "_major": T.preference_text("major"), "_role": T.preference_text("target_role"), "_optional": F.transform(lists, T.preference_text),
         },
         scored.columns,
@@ -187,15 +192,18 @@ def recommend(index: DataFrame, chunks: DataFrame, profiles: DataFrame, ref_ts:
 
     A profile row with a null ``major`` stands for a request without preferences.
     """
-    from siftbase.operators.retrieve import attach_chunks, matched_terms, query_terms
-    from siftbase.session import written
+    from siftbase.operators.retrieve import matched_terms, query_terms
 
     asked = written(profile_queries(profiles), "profile-queries")
     pool = written(retrieve(index, asked.select("query_id", "query", "top_k", "collection_categories"), ref_ts, **options), "candidates")
     terms = query_terms(asked, use_nfkc=options.get("use_nfkc", True))
     with_terms = matched_terms(pool, index, terms)
     own = asked.drop("query", "top_k", "collection_categories")
-    candidates = attach_chunks(with_terms, chunks, ref_ts).join(own, "query_id")
+    with_terms = written(with_terms, "results")
+    used = chunks.join(broadcast_if_small(with_terms.select("chunk_id").distinct()), "chunk_id", "left_semi")
+    # evidence is normalised once per used chunk, not once per (profile, chunk)
+    payload = with_evidence(used).drop("text").withColumn("deadline_status", D.effective_status("deadline_raw_text", "deadline_status", ref_ts))
+    candidates = payload.join(broadcast_if_small(with_terms), "chunk_id").join(broadcast_if_small(own), "query_id")
     return match_reasons(rank_recommendations(score_candidates(candidates, ref_ts)))
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from siftbase.functions import dates as D, text as T
 from siftbase.operators.index import boilerplate_penalty, corpus_stats
 from siftbase.operators.vocabulary import FILLER_TERMS, LISTING_TERMS, SYNONYM_GROUPS, synonym_table
-from siftbase.session import computed_once, is_small, salted_join, written
+from siftbase.session import computed_once, is_small, salted_join, stored_side, written
 
 K1, B = 1.2, 0.75
 MAX_TOP_K = 25
@@ -241,11 +241,11 @@ def matched_terms(results: DataFrame, index: DataFrame, terms: DataFrame) -> Dat
     """Add the sorted ``matched_terms`` of each result row; results are bounded by 25 per query."""
     own = terms.groupBy("query_id").agg(F.collect_set("term").alias("_terms"))
     chunk_terms = index.select("chunk_id", F.col("postings.term").alias("_posted"))
-    joined = chunk_terms.join(results.join(own, "query_id", "left"), "chunk_id")
+    joined = chunk_terms.join(stored_side(results.join(own, "query_id", "left"), "results"), "chunk_id")
     return joined.withColumn("matched_terms", F.array_sort(F.array_intersect(F.coalesce("_terms", F.array().cast("array<string>")), "_posted"))).drop("_terms", "_posted")
 
 
 def attach_chunks(results: DataFrame, chunks: DataFrame, ref_ts: Column) -> DataFrame:
     """Join the chunk payload to result rows and put the effective status in ``deadline_status``."""
     payload = chunks.withColumn("deadline_status", D.effective_status("deadline_raw_text", "deadline_status", ref_ts))
-    return payload.join(results, "chunk_id")
+    return payload.join(stored_side(results, "results"), "chunk_id")

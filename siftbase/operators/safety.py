@@ -101,6 +101,10 @@ SOURCE_RULES = (
     ),
 )
 DEFAULT_INSTITUTIONS = ("학교", "대학")
+# every match of a source rule holds one of these (in lower case) or an institution's name
+SOURCE_TRIGGERS = (
+    "<", "ignore", "disregard", "override", "지시", "명령", "규칙", "이제", "출처", "인용", "citation", "source", "cite", " by", "취업", "합격", "채용", "인턴십", "guaranteed",
+)
 MARKDOWN_LINK = r"\[([^\]\n]{0,120})\]\(([^)\s]+)(?:\s+\"[^\"]*\")?\)"
 # ----------------------------------------------------------------------------
 
@@ -250,11 +254,18 @@ def sanitize_sources(df: DataFrame, title: str = "title", text: str = "text", an
     """O-117, O-97: safe title and text, action (allow, redact, quarantine), categories, redacted_fields, quarantine_reason."""
     redact = source_redactor(institutions)
     guard = _rule_guard(institutions)
+    triggers = [*SOURCE_TRIGGERS, *[n.lower() for n in institutions]]
+
+    def touched(c: Column) -> Column:
+        """Plain substring tests first; the patterns run on the few texts that pass."""
+        lowered = F.lower(c)
+        return _any([F.contains(lowered, F.lit(t)) for t in triggers]) & c.rlike(guard)
+
     staged = computed_once(df, {f"_l_{f}": _replace_unsafe_links(F.col(c)) for f, c in (("title", title), ("text", text))}, df.columns)
     staged = computed_once(staged, {f"_p_{f}": T.redact_personal_data(f"_l_{f}") for f in ("title", "text")}, staged.columns)
     for f, c in (("title", title), ("text", text)):
         # only texts that some rule can match travel to Python
-        staged = staged.withColumn(f"_r_{f}", redact(F.when(F.col(f"_p_{f}").rlike(guard), F.col(f"_p_{f}"))))
+        staged = staged.withColumn(f"_r_{f}", redact(F.when(touched(F.col(f"_p_{f}")), F.col(f"_p_{f}"))))
     out = staged
     for f, c in (("title", title), ("text", text)):
         categories = F.array_distinct(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siftbase.functions import dates as D
-from siftbase.session import salted_join
+from siftbase.session import positions, salted_join
 
 PREFERENCE_FIELDS = ("major", "target_role", "industry", "region", "employment_type", "deadline_sensitivity")
 
@@ -39,12 +39,12 @@ def session_references(events: DataFrame, order: list[str]) -> DataFrame:
 
 def reference_list(references: DataFrame) -> DataFrame:
     """O-105: display order per session: last use first, then title in Korean order."""
-    order = Window.partitionBy("session").orderBy(F.col("last_referenced_at").desc(), F.collate("title", "ko"), "url")
-    return references.withColumn("position", F.row_number().over(order))
+    order = [F.col("last_referenced_at").desc(), F.collate("title", "ko"), F.col("url")]
+    return positions(references, ["session"], order)
 
 
 def list_view(items: DataFrame, view: str, keys: list[str]) -> DataFrame:
-    """O-76: items of one list in the order of a view."""
+    """O-76: items of each list in the order of a view; a list holds the at most 25 results of one request."""
     newest = [F.col("posted_at").desc_nulls_last(), F.col("fetched_at").desc_nulls_last()]
     status_rank = F.when(F.col("deadline_status") == "active", 0).when(F.col("deadline_status") == "unknown", 1).otherwise(2)
     orders = {

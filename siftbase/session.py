@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 #: A side may be broadcast below both of these measured sizes.
 BROADCAST_MAX_ROWS = 500_000
@@ -70,6 +70,15 @@ def broadcast_if_small(df: DataFrame, **limits: int) -> DataFrame:
     return F.broadcast(df) if is_small(df, **limits) else df
 
 
+def stored_side(df: DataFrame, name: str) -> DataFrame:
+    """A computed side of a join with a big table: written once, then hinted by its measured size.
+
+    Without this the planner cannot know that the side is small and would
+    shuffle the big table.
+    """
+    return broadcast_if_small(written(df, name))
+
+
 def salted_join(left: DataFrame, right: DataFrame, key: str, spread_by: str, how: str = "inner", buckets: int = 32) -> DataFrame:
     """Equi-join that splits a hot ``key`` of ``left`` over ``buckets`` tasks.
 
@@ -93,7 +102,25 @@ def computed_once(df: DataFrame, columns: dict, keep: list[str]) -> DataFrame:
     return df.select(*keep, F.inline(row))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input with fewer splits than cores (a few small files); a large input passes unchanged."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(scan: DataFrame) -> DataFrame:
+    """Use all cores on a scan with fewer splits than cores (one small file); a large scan passes unchanged.
+
+    For plain scans only: asking for the partitions of a plan with a shuffle would run it.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def positions(df: DataFrame, keys: list[str], order: list, name: str = "position") -> DataFrame:
+    """Number the rows of each group without gathering a group in one task.
+
+    Rows are range-partitioned by group and order and written, so that both uses
+    below see the same partitions; each partition numbers its own rows and adds
+    the count of the group's rows in earlier partitions.
+    """
+    ranged = written(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    counts = ranged.groupBy("_part", *keys).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", *keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    local = F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order))
+    return ranged.join(offsets, ["_part", *keys]).withColumn(name, F.col("_before") + local).drop("_part", "_before")
