@@ -34,6 +34,11 @@ NFKC_SAFE = (
     r"\x{00BF}-\x{0131}\x{0134}-\x{013E}\x{0141}-\x{0148}\x{014A}-\x{017E}"
     r"\x{2012}-\x{2016}\x{2018}-\x{2023}\x{20AC}\x{3041}-\x{3096}\x{30A1}-\x{30FA}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}"
 )
+# The same question for Latin texts alone, as a class that is quick to test.
+NFKC_LATIN_SUSPECT = (
+    r"[^\x00-\x{017E}]|[\x{00A0}\x{00A8}\x{00AA}\x{00AF}\x{00B2}\x{00B3}\x{00B4}\x{00B5}\x{00B8}\x{00B9}\x{00BA}\x{00BC}\x{00BD}\x{00BE}]"
+    r"|[\x{0132}\x{0133}\x{013F}\x{0140}\x{0149}]"
+)
 NEGATION_MARKERS = ("아니", "않", "없", "못", "지 않", "아닙니다", "없습니다", "하지 않")
 NEGATION_BEFORE = 12
 NEGATION_AFTER = 16
@@ -52,7 +57,8 @@ def _nfkc_batch(values: pd.Series) -> pd.Series:
 def nfkc(c: Column | str) -> Column:
     """Unicode normal form KC.  Only rows with a character outside the safe set travel to Python."""
     c = col(c)
-    return F.coalesce(_nfkc_batch(F.when(c.rlike(f"[^{NFKC_SAFE}]"), c)), c)
+    needs = c.rlike(NFKC_LATIN_SUSPECT) & c.rlike(f"[^{NFKC_SAFE}]")
+    return F.coalesce(_nfkc_batch(F.when(needs, c)), c)
 
 
 def trim_all(c: Column | str) -> Column:
