@@ -119,14 +119,18 @@ def retrieve(index: DataFrame, queries: DataFrame, ref_ts: Column, use_nfkc: boo
     terms = written(query_terms(queries, synonym_groups, fillers, use_nfkc), "query-terms")
     small = is_small(terms)
     listing = terms.groupBy("query_id").agg(F.bool_or(F.col("term").isin(*listing_terms)).alias("listing"))
-    asked = queries.drop("query").join(listing, "query_id")
+    # a number per query keeps the keys of the large aggregate and sort short
+    asked = written(queries.drop("query").join(listing, "query_id").withColumn("qn", F.monotonically_increasing_id()), "asked")
     distinct_terms = terms.select("term").distinct()
 
     stats = corpus_stats(index)
     n_chunks = stats.select("n_chunks").scalar()
     avg_length = stats.select("avg_length").scalar()
     df = _hits(index, distinct_terms, small, ["chunk_id"]).groupBy("term").agg(F.count("*").alias("df"))
-    weighted = terms.join(df, "term").withColumn("idf", idf(n_chunks, F.col("df"))).drop("df").join(asked, "query_id")
+    weighted = (
+        terms.join(df, "term").withColumn("idf", idf(n_chunks, F.col("df")))
+        .join(asked.select("query_id", "qn", "listing", *FILTERS), "query_id").drop("df", "query_id")
+    )
 
     keep = ["chunk_id", "collection_category", "source_family", "source_id", "status", "freshness_boost", "boilerplate_penalty", "token_count"]
     state = chunk_state(index, ref_ts)
@@ -136,20 +140,22 @@ def retrieve(index: DataFrame, queries: DataFrame, ref_ts: Column, use_nfkc: boo
         matched = hits.repartition("chunk_id").join(F.broadcast(weighted), "term")
     else:
         matched = salted_join(hits, weighted, "term", "chunk_id")
-    matched = matched.filter(passes_filters())
-    per_chunk = ["query_id", "chunk_id", "top_k", "listing", "status", "freshness_boost", "boilerplate_penalty"]
     scored = (
-        matched.groupBy(*per_chunk)
+        matched.filter(passes_filters())
+        .groupBy("qn", "chunk_id")
         .agg(
             F.round(F.sum(bm25_weight(F.col("idf"), F.col("tf"), F.col("token_count"), avg_length)), 6).alias("lexical_score"),
             F.round(F.sum(F.col("in_title").cast("int")) * TITLE_BOOST, 6).alias("title_boost"),
             F.round(F.sum(F.col("in_category").cast("int")) * CATEGORY_BOOST, 6).alias("category_boost"),
+            # the same value on every row of a pair
+            F.max("freshness_boost").alias("freshness_boost"),
+            F.max("boilerplate_penalty").alias("boilerplate_penalty"),
+            F.max(deadline_penalty(F.col("status"), F.col("listing"))).alias("deadline_penalty"),
         )
-        .withColumn("deadline_penalty", deadline_penalty(F.col("status"), F.col("listing")))
         .withColumn("score", total_score())
         .filter("score > 0")
     )
-    best = _best_per_query(scored)
+    best = _best(scored, "qn").join(asked.select("qn", "query_id", "top_k"), "qn").select("query_id", "chunk_id", "top_k", *FEATURES, "score")
     unmatched = zero_match_candidates(state, asked)
     return rank_candidates(best.unionByName(unmatched))
 
@@ -158,10 +164,10 @@ def _answerable() -> Column:
     return (F.col("boilerplate_penalty") < 2).cast("int")
 
 
-def _best_per_query(scored: DataFrame) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(_answerable().desc(), F.col("score").desc(), F.col("chunk_id"))
-    cut = scored.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= MAX_TOP_K)
-    return cut.select("query_id", "chunk_id", "top_k", *FEATURES, "score")
+def _best(scored: DataFrame, key: str) -> DataFrame:
+    """The best 25 rows per query, answerable ones first."""
+    order = Window.partitionBy(key).orderBy(_answerable().desc(), F.col("score").desc(), F.col("chunk_id"))
+    return scored.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= MAX_TOP_K).drop("_rn")
 
 
 def zero_match_candidates(state: DataFrame, asked: DataFrame) -> DataFrame:
@@ -219,22 +225,24 @@ def rank_candidates(candidates: DataFrame) -> DataFrame:
 
 def bm25(index: DataFrame, queries: DataFrame, top_k: int = DEFAULT_TOP_K, use_nfkc: bool = True) -> DataFrame:
     """O-89, O-101: lexical score only, best ``top_k`` per query."""
-    norm = computed_once(queries, {"_n": T.normalize_search_text("query", use_nfkc)}, ["query_id"])
-    terms = written(norm.select("query_id", F.explode(T.search_terms("_n")).alias("term")), "query-terms")
+    numbered = queries.select("query_id", "query").withColumn("qn", F.monotonically_increasing_id())
+    norm = computed_once(numbered, {"_n": T.normalize_search_text("query", use_nfkc)}, ["query_id", "qn"])
+    terms = written(norm.select("query_id", "qn", F.explode(T.search_terms("_n")).alias("term")), "query-terms")
     distinct_terms = terms.select("term").distinct()
     small = is_small(terms)
     stats = corpus_stats(index)
     n_chunks, avg_length = stats.select("n_chunks").scalar(), stats.select("avg_length").scalar()
     df = _hits(index, distinct_terms, small, ["chunk_id"]).groupBy("term").agg(F.count("*").alias("df"))
-    weighted = terms.join(df, "term").withColumn("idf", idf(n_chunks, F.col("df"))).drop("df")
+    weighted = terms.select("qn", "term").join(df, "term").withColumn("idf", idf(n_chunks, F.col("df"))).drop("df")
     hits = _hits(index, distinct_terms, small, ["chunk_id", "token_count"])
     matched = hits.repartition("chunk_id").join(F.broadcast(weighted), "term") if small else salted_join(hits, weighted, "term", "chunk_id")
-    scored = matched.groupBy("query_id", "chunk_id").agg(
+    scored = matched.groupBy("qn", "chunk_id").agg(
         F.round(F.sum(bm25_weight(F.col("idf"), F.col("tf"), F.col("token_count"), avg_length)), 6).alias("lexical_score"),
         F.count("*").alias("n_terms"),
     )
-    order = Window.partitionBy("query_id").orderBy(F.col("lexical_score").desc(), F.col("chunk_id"))
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= min(top_k, MAX_TOP_K))
+    order = Window.partitionBy("qn").orderBy(F.col("lexical_score").desc(), F.col("chunk_id"))
+    ranked = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= min(top_k, MAX_TOP_K))
+    return ranked.join(terms.select("qn", "query_id").distinct(), "qn").drop("qn")
 
 
 def matched_terms(results: DataFrame, index: DataFrame, terms: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ def test_zero_match_shortcut_equals_every_pair(spark, sf_dir, index):
     state = rt.chunk_state(index, C.ref_ts())
     asked = rt.with_defaults(C.filtered_queries(spark, sf_dir)).drop("query").withColumn("listing", F.crc32("query_id") % 2 == 0)
     fast = rt.zero_match_candidates(state, asked).select("query_id", "chunk_id", "score")
-    exact = rt._best_per_query(rt.zero_match_exact(state, asked)).select("query_id", "chunk_id", "score")
+    exact = rt._best(rt.zero_match_exact(state, asked), "query_id").select("query_id", "chunk_id", "score")
     assert rows(fast) == rows(exact)
 
 
