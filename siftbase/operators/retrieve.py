@@ -117,10 +117,10 @@ def retrieve(index: DataFrame, queries: DataFrame, ref_ts: Column, use_nfkc: boo
     """
     queries = with_defaults(queries)
     terms = written(query_terms(queries, synonym_groups, fillers, use_nfkc), "query-terms")
-    small = is_small(terms)
     listing = terms.groupBy("query_id").agg(F.bool_or(F.col("term").isin(*listing_terms)).alias("listing"))
     # a number per query keeps the keys of the large aggregate and sort short
     asked = written(queries.drop("query").join(listing, "query_id").withColumn("qn", F.monotonically_increasing_id()), "asked")
+    small = is_small(terms.join(asked, "query_id"))  # terms with their filter lists, as they would be broadcast
     distinct_terms = terms.select("term").distinct()
 
     stats = corpus_stats(index)
@@ -202,14 +202,6 @@ def zero_match_candidates(state: DataFrame, asked: DataFrame) -> DataFrame:
     return cut(joined, ["query_id"]).select("query_id", "chunk_id", "top_k", *FEATURES, "score")
 
 
-def zero_match_exact(state: DataFrame, asked: DataFrame) -> DataFrame:
-    """Test oracle for ``zero_match_candidates``: every pair, for small fixtures only."""
-    pairs = asked.crossJoin(state).filter(passes_filters())
-    for name in ("lexical_score", "title_boost", "category_boost"):
-        pairs = pairs.withColumn(name, F.lit(0.0))
-    return pairs.withColumn("deadline_penalty", deadline_penalty(F.col("status"), F.col("listing"))).withColumn("score", total_score()).filter("score > 0")
-
-
 def rank_candidates(candidates: DataFrame) -> DataFrame:
     """O-99..O-101: merge the two lists, prefer answerable rows, normalise, cut to ``top_k``."""
     merged = candidates.groupBy("query_id", "chunk_id", "top_k").agg(F.max(F.struct("score", *FEATURES)).alias("s")).select(

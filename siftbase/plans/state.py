@@ -352,3 +352,33 @@ def kb_write_read(spark, sf_dir):
     jsonl.write_knowledge_base(r.drop("chunk_id", "text"), r.withColumn("chunk_ordinal", F.lit(0)).drop("cleaned_text", "raw_text"), path)
     back = spark.read.parquet(f"{path}/records")
     return back.groupBy("source_family").agg(F.count("*").alias("records"), F.min("record_id").alias("first_id"), F.count_distinct("source_id").alias("sources"))
+
+
+@query("stream_upsert", "SELECT lang, count(*) AS n, max(doc_id) AS last_id FROM documents GROUP BY lang")
+def stream_upsert(spark, sf_dir):
+    """Documents streamed twice into versioned snapshots; the second run merges nothing new."""
+    import uuid
+
+    from siftbase.sources.snapshots import SnapshotStore
+
+    store = SnapshotStore(f"{shared_dir(spark)}/siftbase/snapshots-{uuid.uuid4().hex}")
+    stream = runs.file_stream(spark, f"{sf_dir}/documents*.parquet", spark.read.parquet(f"{sf_dir}/documents.parquet").schema)
+    for _ in range(2):
+        runs.upsert_stream(stream, store, "doc_id", lambda batch: batch.select("doc_id", "lang", F.sha2("text", 256).alias("hash"))).awaitTermination()
+    return store.current(spark).groupBy("lang").agg(F.count("*").alias("n"), F.max("doc_id").alias("last_id"))
+
+
+@query("personalisation_scenarios", REC_SQL + """, first AS (SELECT query_id, chunk_id, match_strength FROM recommended WHERE position = 1), p AS (SELECT query_id, 'p' || lpad(CAST(CAST(substr(query_id, 2) AS BIGINT) + 1 AS VARCHAR), 9, '0') AS other FROM profiles)
+SELECT 'strength ' || p.query_id AS scenario, coalesce(f.match_strength = 'partial_match', false) AS passed FROM p LEFT JOIN first f USING (query_id)
+UNION ALL SELECT 'flip ' || p.query_id, coalesce(f.chunk_id <> o.chunk_id, false) FROM p LEFT JOIN first f USING (query_id) LEFT JOIN first o ON o.query_id = p.other""")
+def personalisation_scenarios(spark, sf_dir):
+    results = _recommended(spark, sf_dir).select("query_id", "position", "chunk_id", "match_strength", F.array_join("match_reasons", "|").alias("published"))
+    p = profiles(spark, sf_dir).select("query_id")
+    other = F.concat(F.lit("p"), F.lpad((F.substring("query_id", 2, 9).cast("bigint") + 1).cast("string"), 9, "0"))
+    none = F.lit(None).cast("string")
+    scenarios = p.select(F.concat(F.lit("strength "), "query_id").alias("scenario"), F.lit("strength").alias("kind"), "query_id", none.alias("other_query_id"), F.lit("partial_match").alias("value")).unionByName(
+        p.select(F.concat(F.lit("flip "), "query_id").alias("scenario"), F.lit("first_differs").alias("kind"), "query_id", other.alias("other_query_id"), none.alias("value"))
+    )
+    from siftbase.session import written
+
+    return E.scenario_checks(written(results, "results"), scenarios)
