@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siftbase.functions import text as T, urls as U
+from siftbase.functions.text import NEGATION_AFTER, NEGATION_BEFORE, NEGATION_MARKERS
 from siftbase.session import computed_once
 
 # --- fixed values -----------------------------------------------------------
@@ -183,15 +184,15 @@ def output_safety(df: DataFrame, answer: str, use_nfkc: bool = True, institution
 
 def _negated(text: str, phrase: str) -> bool:
     def norm(v: str) -> str:
-        v = re.sub("[​-‍⁠﻿]", "", unicodedata.normalize("NFKC", v)).lower()
+        v = re.sub("[\u200b-\u200d\u2060\ufeff]", "", unicodedata.normalize("NFKC", v)).lower()
         return " ".join(v.split())
 
     plain, wanted = re.sub(r"\[\d+\]", "", norm(text)), norm(phrase)
     at = plain.find(wanted)
     if at < 0:
         return False
-    window = plain[max(0, at - T.NEGATION_BEFORE) : at + len(wanted) + T.NEGATION_AFTER]
-    return any(marker in window for marker in T.NEGATION_MARKERS)
+    window = plain[max(0, at - NEGATION_BEFORE) : at + len(wanted) + NEGATION_AFTER]
+    return any(marker in window for marker in NEGATION_MARKERS)
 
 
 def source_redactor(institutions: Sequence[str] = DEFAULT_INSTITUTIONS):
