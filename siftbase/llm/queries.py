@@ -1,6 +1,6 @@
 """All registered queries of this subpackage."""
 
-from siftbase.llm import exact_dedup, language_id, mixing, token_files  # noqa: F401
+from siftbase.llm import exact_dedup, language_id, mixing, packing, token_files  # noqa: F401
 from siftbase.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
