@@ -176,3 +176,21 @@ def broadcast_hot(left: DataFrame, groups: DataFrame, key: str, size: str, total
     met = left.join(F.broadcast(hot), key, "inner")
     rest = left.join(names, key, "left_anti").join(cold, key, how)
     return met.select(*rest.columns).unionByName(rest)
+
+
+#: Bits of the filter in front of a join with wanted ids: a fixed bound, 16 MB.
+FILTER_BITS = 1 << 27
+
+#: Bits of a row of Spark's bitmap functions.
+BITMAP_BITS = 32768
+
+
+def split_by_ids(rows: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose ``key`` may be among ``ids``, and rows whose key certainly is not, told apart during the scan by a bitmap."""
+    bits = min(FILTER_BITS, max(BITMAP_BITS, 1 << (16 * max(1, ids.count()) - 1).bit_length()))
+    slot = F.pmod(F.xxhash64(F.col(key)), F.lit(bits))
+    filled = ids.select(slot.alias("_slot")).groupBy(F.expr(f"_slot div {BITMAP_BITS}").alias("_bucket")).agg(F.expr(f"bitmap_construct_agg(_slot % {BITMAP_BITS})").alias("_bits"))
+    tested = rows.withColumn("_slot", slot).withColumn("_bucket", F.expr(f"_slot div {BITMAP_BITS}")).join(F.broadcast(filled), "_bucket", "left")
+    byte = F.conv(F.hex(F.expr(f"substring(_bits, cast((_slot % {BITMAP_BITS}) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    tested = tested.withColumn("_byte", byte).withColumn("_maybe", F.coalesce(F.expr("(shiftright(_byte, cast(_slot % 8 as int)) & 1) = 1"), F.lit(False)))
+    return tested.where("_maybe").select(*rows.columns), tested.where("NOT _maybe").select(*rows.columns)

@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from siftbase.llm.common import Powers, broadcast_hot, lowered, mixed, slices, utf8, windows, word_hashes
+from siftbase.llm.common import Powers, broadcast_hot, lowered, mixed, slices, split_by_ids, utf8, windows, word_hashes
 from siftbase.llm.registry import query, table
 from siftbase.session import written
 
@@ -455,32 +455,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     return alone.unionByName(broadcast_hot(linkable, grouped, "node", "n_rows", size.rows).select("doc_id", "n_shingles", "component_id"))
 
 
-#: Bits of the filter in front of a join with wanted ids: a fixed bound, 16 MB.
-_FILTER_BITS = 1 << 27
-_BUCKET = 32768
-
-
-def _split(rows: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """Rows whose id may be among ``ids``, and rows whose id certainly is not, told apart during the scan by a bitmap."""
-    bits = min(_FILTER_BITS, max(_BUCKET, 1 << (16 * max(1, ids.count()) - 1).bit_length()))
-    slot = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(bits))
-    filled = ids.select(slot.alias("_slot")).groupBy(F.expr(f"_slot div {_BUCKET}").alias("_bucket")).agg(F.expr(f"bitmap_construct_agg(_slot % {_BUCKET})").alias("_bits"))
-    tested = rows.withColumn("_slot", slot).withColumn("_bucket", F.expr(f"_slot div {_BUCKET}")).join(F.broadcast(filled), "_bucket", "left")
-    byte = F.conv(F.hex(F.expr(f"substring(_bits, cast((_slot % {_BUCKET}) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    tested = tested.withColumn("_byte", byte).withColumn("_maybe", F.coalesce(F.expr("(shiftright(_byte, cast(_slot % 8 as int)) & 1) = 1"), F.lit(False)))
-    return tested.where("_maybe").select(*rows.columns), tested.where("NOT _maybe").select(*rows.columns)
-
-
 def without(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` whose id is not among ``ids``; only rows whose id may be are shuffled."""
     ids = written(ids, "dropped")
-    maybe, certain = _split(docs, ids, doc_id)
+    maybe, certain = split_by_ids(docs, ids, doc_id)
     return certain.unionByName(maybe.join(ids.distinct(), doc_id, "left_anti"))
 
 
 def _with_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """Sets of the wanted documents; a bitmap of their ids keeps the other texts out of the shuffle."""
-    maybe, _ = _split(rows, wanted.select("doc_id"))
+    maybe, _ = split_by_ids(rows, wanted.select("doc_id"), "doc_id")
     return maybe.join(wanted, "doc_id").select("node", "text").mapInArrow(_sets, "node long, hashes binary").dropDuplicates(["node"])
 
 
