@@ -1,6 +1,6 @@
 """All registered queries of this subpackage."""
 
-from siftbase.llm import exact_dedup, language_id, mixing, near_dup, packing, quality, token_files, warc  # noqa: F401
+from siftbase.llm import exact_dedup, language_id, lm_score, mixing, near_dup, packing, quality, token_files, warc  # noqa: F401
 from siftbase.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
