@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from siftbase.llm.common import Powers, runs, slices, span_hashes, split_by_ids, utf8
+from siftbase.llm.common import Powers, mixed, runs, slices, span_hashes, split_by_ids, utf8
 from siftbase.llm.registry import query, table
 from siftbase.session import written
 
@@ -117,6 +117,17 @@ def _bitmaps(bits: int):
     return run
 
 
+_FACTORS = np.arange(1, _SIDE // 4 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _name(token, low, high, left, right) -> np.ndarray:
+    """Hash of whole suffixes: token, distances and both sides."""
+    h = mixed(token) + low.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + high.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+    for k, word in enumerate(np.concatenate([left.view(np.uint64), right.view(np.uint64)], axis=1).T):
+        h += mixed(word + _FACTORS[k])
+    return mixed(h)
+
+
 def _suffixes(shared, bits: int):
     """Suffixes of anchors with a repeated token, dealt by splitter: (part, chunk, ...); and per chunk where they stand (part -1)."""
     names = ["part", "chunk", "token", "low", "high", "left", "right", "which", "many", "key", "start"]
@@ -148,8 +159,7 @@ def _suffixes(shared, bits: int):
                 token, low, high, left, right, key, place = (np.concatenate(x) for x in zip(*held, strict=True))
                 if not len(token):
                     continue
-                record = np.concatenate([token.view(np.uint8).reshape(-1, 8), low[:, None], high[:, None], left, right], axis=1)
-                name = span_hashes(record.reshape(-1), np.arange(len(record)) * record.shape[1], np.arange(1, len(record) + 1) * record.shape[1], pw)
+                name = _name(token, low, high, left, right)
                 _, once, which, many = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
                 part = np.searchsorted(splitters, token[once], side="right")
                 order = np.argsort(part, kind="stable")
