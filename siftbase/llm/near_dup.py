@@ -22,8 +22,10 @@ agree; documents that agree in a segment meet in a bucket.
 Buckets are numpy arrays dealt by hash.  Each bucket is first compared with its
 most ordinary member only (a star); then buckets whose members are still in
 different components are compared across these.  So a group of near copies costs
-a star, and no link between different components is lost.  Documents with equal
-sets are one node throughout.
+a star, and no link between different components is lost.  Before sets are
+fetched, a pair must pass the bound that parity sketches give: bits in which they
+differ are never more than the shingles in which the sets do.  Documents with
+equal sets are one node throughout.
 """
 
 from __future__ import annotations
@@ -50,7 +52,7 @@ DELETION_SEGMENTS = 4
 #: Index rows of one group of buckets.
 GROUP_ROWS = 2_000_000
 
-#: Rows of text whose index entries are dealt out together.
+#: Kinds of bucket: segments over rare shingles, single rare shingles, segments over all shingles.
 _R, _T, _F = 0, 1, 2
 
 
@@ -91,6 +93,28 @@ def node_of(hashes: np.ndarray) -> int | None:
     return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def parity_sketches(hashes: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """Per set, bit i is the parity of the number of its hashes that fall on i; between one and two bits per hash, 64 at least."""
+    sizes = np.diff(offsets)
+    bits = 1 << np.ceil(np.log2(np.maximum(sizes, 64))).astype(np.int64)
+    begin = np.concatenate([[0], np.cumsum(bits)])
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    at = begin[row] + (hashes & (bits[row] - 1).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(at, minlength=begin[-1]) & 1).astype(np.uint8), bitorder="little")
+    return [packed[a:b].tobytes() for a, b in zip(begin[:-1] >> 3, begin[1:] >> 3, strict=True)]
+
+
+def sketch_difference(x: bytes, y: bytes) -> int:
+    """A lower bound on the symmetric difference of two sets; the longer sketch is folded."""
+    if len(x) > len(y):
+        x, y = y, x
+    a, b, size = int.from_bytes(x, "little"), int.from_bytes(y, "little"), 8 * len(y)
+    while size > 8 * len(x):
+        size //= 2
+        b = (b >> size) ^ (b & ((1 << size) - 1))
+    return (a ^ b).bit_count()
+
+
 def _slot(h):
     return (h >> np.uint64(7)) & np.uint64(COUNTERS - 1)
 
@@ -105,11 +129,12 @@ def _described(batches):
             total += len(h)
             n = len(offsets) - 1
             nodes = [node_of(h[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            none = pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(nodes, pa.int64()), none], names=["doc_id", "n_shingles", "node", "slot"])
+            columns = [batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(nodes, pa.int64()), pa.nulls(n, pa.int64()), pa.array(parity_sketches(h, offsets), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "node", "slot", "sketch"])
     often = np.flatnonzero(counters >= 3 + 6 * total / COUNTERS)
     none = pa.nulls(len(often), pa.int64())
-    yield pa.RecordBatch.from_arrays([none, pa.array(counters[often].astype(np.int64)), none, pa.array(often)], names=["doc_id", "n_shingles", "node", "slot"])
+    columns = [none, pa.array(counters[often].astype(np.int64)), none, pa.array(often), pa.nulls(len(often), pa.binary())]
+    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "node", "slot", "sketch"])
 
 
 def _levels(sizes: np.ndarray):
@@ -327,6 +352,7 @@ def _across(batches):
 
     def pairs(t: pa.Table):
         bucket, node, label, rare, often, full = (t.column(c).to_numpy() for c in ("bucket", "node", "label", "rare", "frequent", "full"))
+        sketch, total = t.column("sketch").to_pylist(), rare.astype(np.int64) + often
         edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         found = []
         for a, b in zip(edge, np.append(edge[1:], len(bucket)), strict=True):
@@ -336,6 +362,9 @@ def _across(batches):
                 x, y = np.nonzero(ok)
                 x, y = x + i, y + i
                 fine = _compatible(rare[x], often[x], rare[y], often[y], full[x])
+                x, y = x[fine], y[fine]
+                most = most_differences(total[x] + total[y])
+                fine = np.fromiter((sketch_difference(sketch[i], sketch[j]) <= h for i, j, h in zip(x, y, most, strict=True)), bool, len(x))
                 found.append(np.stack([np.minimum(node[x], node[y])[fine], np.maximum(node[x], node[y])[fine]], axis=1))
         out = np.unique(np.concatenate(found), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
@@ -359,7 +388,9 @@ def _sets(batches):
     for whole in batches:
         for batch in slices(whole, "text"):
             h, offsets = shingle_sets(*utf8(batch.column("text")), pw)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([h[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], names=["node", "hashes"])
+            sets = [h[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            own = [i for i, (x, node) in enumerate(zip(sets, batch.column("node").to_pylist(), strict=True)) if node_of(x) == node]  # ids may repeat
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(own, pa.int64())), pa.array([sets[i].tobytes() for i in own], pa.binary())], names=["node", "hashes"])
 
 
 def _verified(batches):
@@ -418,8 +449,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    described = written(rows.mapInArrow(_described, "doc_id long, n_shingles long, node long, slot long"), "described")
+    described = written(rows.mapInArrow(_described, "doc_id long, n_shingles long, node long, slot long, sketch binary"), "described")
     known = described.where("slot IS NULL").select("doc_id", "n_shingles", "node")
+    sketches = described.where("node IS NOT NULL AND doc_id IS NOT NULL").select("node", "n_shingles", "sketch")
     often = described.where("slot IS NOT NULL").groupBy("slot").agg(F.sum("n_shingles").alias("n")).where(F.col("n") >= FREQUENT)
     slots = np.array([r.slot for r in often.orderBy(F.desc("n"), "slot").limit(MOST_FREQUENT).select("slot").toLocalIterator()], np.int64)
     frequent = np.zeros(COUNTERS, bool)
@@ -433,19 +465,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     entries = rows.where("doc_id IS NOT NULL").mapInArrow(_indexed(shared, parts), "part int, name binary, full binary, node binary, rare binary, frequent binary")
     met = written(entries.groupBy("part").applyInArrow(_met, "kind int, a long, b long, rare int, frequent int, full boolean"), "met")
 
-    stars = met.where("kind = 0").select("a", "b").distinct()
+    stars = written(met.where("kind = 0").select("a", "b").distinct(), "stars")
     members = met.where("kind = 1").select(F.col("a").alias("bucket"), F.col("b").alias("node"), "rare", "frequent", "full")
-    stars = written(stars, "stars")
     named = stars.select(F.col("a").alias("node")).union(stars.select("b")).union(members.select("node")).distinct()
-    wanted = written(classes.join(named, "node").select(F.col("first_id").alias("doc_id"), "node"), "wanted")
-    sets = written(_with_sets(rows, wanted), "sets")
-    links = written(_linked(stars, sets), "links")
+    sketches = written(sketches.join(named, "node").groupBy("node").agg(F.max(F.struct("n_shingles", "sketch")).alias("s")).select("node", "s.*"), "sketches")
+    links = written(_linked(written(_close(stars, sketches), "close"), rows, classes), "links")
     labels = components(links)
 
     told = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     torn = told.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    cross = told.join(torn, "bucket").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_across, "a long, b long")
-    more = written(_linked(written(cross.distinct().join(stars, ["a", "b"], "left_anti"), "cross"), sets), "links")
+    told = told.join(torn, "bucket").join(sketches.select("node", "sketch"), "node")
+    cross = told.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_across, "a long, b long").distinct()
+    more = written(_linked(written(cross.join(stars, ["a", "b"], "left_anti"), "cross"), rows, classes), "links")
     labels = components(links.union(more))
 
     grouped = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -465,10 +496,29 @@ def without(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFram
 def _with_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """Sets of the wanted documents; a bitmap of their ids keeps the other texts out of the shuffle."""
     maybe, _ = split_by_ids(rows, wanted.select("doc_id"), "doc_id")
-    return maybe.join(wanted, "doc_id").select("node", "text").mapInArrow(_sets, "node long, hashes binary").dropDuplicates(["node"])
+    return maybe.join(wanted, "doc_id").select("node", "text").mapInArrow(_sets, "node long, hashes binary")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _near(batches):
+    """Pairs whose sketches allow the similarity."""
+    for batch in batches:
+        total = batch.column("nx").to_numpy() + batch.column("ny").to_numpy()
+        x, y, most = batch.column("x").to_pylist(), batch.column("y").to_pylist(), most_differences(total)
+        at = pa.array(np.flatnonzero([sketch_difference(a, b) <= h for a, b, h in zip(x, y, most, strict=True)]))
+        yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], names=["a", "b"])
+
+
+def _close(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    x = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x"), F.col("n_shingles").alias("nx"))
+    y = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y"), F.col("n_shingles").alias("ny"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", "nx", "ny").mapInArrow(_near, "a long, b long")
+
+
+def _linked(pairs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs of nodes that are similar enough; the sets of these nodes are made from their texts."""
+    named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = written(classes.join(named, "node").select(F.col("first_id").alias("doc_id"), "node"), "wanted")
+    sets = written(_with_sets(rows, wanted), "sets")
     x = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long")
