@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 
 #: Rows are cut into slices of about so many text bytes before numpy sees them: temporaries stay in the cache and memory is bounded.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 #: A key that holds more than this share of the rows is hot; there are at most 1 / HOT_SHARE such keys, so their table may be broadcast.
 HOT_SHARE = 1 / 1000
@@ -113,6 +113,18 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, pw: Powe
     return mixed((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _ODD)
 
 
+def rolling_hashes(data: np.ndarray, width: int, pw: Powers) -> np.ndarray:
+    """64-bit hash of every run of ``width`` bytes."""
+    up, down = pw.of(len(data) + 1)
+    prefix = np.zeros(len(data) + 1, np.uint64)
+    each = _BYTE[data]
+    each *= up[: len(data)]
+    np.cumsum(each, out=prefix[1:])
+    h = prefix[width:] - prefix[:-width]
+    h *= down[: len(h)]
+    return mixed(h)
+
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, bool)

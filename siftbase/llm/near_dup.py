@@ -52,6 +52,9 @@ DELETION_SEGMENTS = 4
 #: Index rows of one group of buckets.
 GROUP_ROWS = 2_000_000
 
+#: Index rows that a task holds before it deals them out.
+DEALT_ROWS = 400_000
+
 #: Kinds of bucket: segments over rare shingles, single rare shingles, segments over all shingles.
 _R, _T, _F = 0, 1, 2
 
@@ -285,9 +288,9 @@ def _indexed(frequent_slots, parts: int):
                     continue
                 name, row, full, rare, often = index_entries(h, offsets, frequent)
                 node = np.array([x for x, ok in zip(nodes, fresh, strict=True) if ok], np.int64)
-                waiting.append((name, full, node[row], rare[row], often[row]))
+                waiting.append((name, full, node[row], rare[row].astype(np.int32), often[row].astype(np.int32)))
                 held += len(name)
-                if held >= GROUP_ROWS:
+                if held >= DEALT_ROWS:
                     yield dealt()
                     waiting, held = [], 0
         if waiting:
