@@ -23,7 +23,9 @@ UNIT_SEPARATOR = "\u001f"
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 STUDENT_ID = r"(?<!\d)(?:19|20)\d{6,8}(?!\d)"
-PHONE = r"(?<!\d)(?:\+82[-\s]?)?(?:0\d{1,2}|1\d{2})[-\s]?\d{3,4}[-\s]?\d{4}(?![A-Za-z0-9_])"
+GAP = rf"[-\s{WIDE_SPACE}]?"
+PHONE_NUMBER = rf"(?:\+82{GAP})?(?:0\d{{1,2}}|1\d{{2}}){GAP}\d{{3,4}}{GAP}\d{{4}}"
+PHONE = rf"(?<!\d){PHONE_NUMBER}(?![A-Za-z0-9_])"
 
 BEARER_HEADER = r"(?i)Authorization\s*:\s*Bearer\s+[^\s,;]+"
 
@@ -206,8 +208,7 @@ def redact_personal_data(c: Column | str) -> Column:
 def has_personal_data(c: Column | str) -> Column:
     """The detection form of O-38, which is wider on phones (no left or right guard)."""
     c = col(c)
-    phone = r"(?:\+82[-\s]?)?(?:0\d{1,2}|1\d{2})[-\s]?\d{3,4}[-\s]?\d{4}"
-    return (F.contains(c, F.lit("@")) & c.rlike(EMAIL)) | (c.rlike(r"\d{4}") & c.rlike(f"{phone}|{STUDENT_ID}"))
+    return (F.contains(c, F.lit("@")) & c.rlike(EMAIL)) | (c.rlike(r"\d{4}") & c.rlike(f"{PHONE_NUMBER}|{STUDENT_ID}"))
 
 
 def negated_near(normalized: Column, phrase: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siftbase.functions import text as T
 from siftbase.schemas import CONTENT_ROLES, lookup
@@ -76,7 +76,12 @@ def evidence_tier(results: DataFrame, requests: DataFrame, policy: EvidencePolic
 
 
 def evidence_blocks(results: DataFrame) -> DataFrame:
-    """O-119: the prompt block of every result row, and its citation; the rank is the citation number."""
+    """O-119: the prompt block of every result row, and its citation.
+
+    Citations are numbered 1 to n in rank order over the rows that are left, so
+    quarantined rows leave no gap.  A request has at most its top_k rows.
+    """
+    results = results.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "chunk_id")))
     safe = lambda c: T.escape_markup(T.sanitize_prompt_text(c))
     anchor = F.get("citation_anchors", F.lit(0))
     url = F.coalesce(anchor["url"], F.col("canonical_url"))
@@ -123,9 +128,10 @@ def prompts(requests: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def parse_provider(df: DataFrame, content: str, tier: str, confidence: str, citation_ids: str) -> DataFrame:
     """O-123: JSON object if possible, else the plain text with the expected tier, confidence and citations."""
-    parsed = F.from_json(F.when(F.ltrim(content).rlike(r"^\s*\{"), F.col(content)), PROVIDER_ANSWER)
+    braced = F.col(content).rlike(r"^\s*\{")
+    parsed = F.from_json(F.when(braced, F.col(content)), PROVIDER_ANSWER)
     # a malformed object gives a struct of nulls; try_parse_json tells it from a valid one
-    is_json = F.try_parse_json(content).isNotNull() & F.ltrim(content).startswith("{")
+    is_json = F.try_parse_json(content).isNotNull() & braced
     staged = df.withColumn("_p", F.when(is_json, parsed))
     plain = F.col("_p").isNull()
     return staged.select(

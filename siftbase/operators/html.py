@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siftbase.functions import dates as D, text as T, urls as U
-from siftbase.session import broadcast_if_small, computed_once
+from siftbase.session import broadcast_if_small, computed_once, stored_side
 
 # --- fixed values -----------------------------------------------------------
 NOISE_TAGS = ("script", "style", "noscript", "nav", "footer")
@@ -146,10 +146,11 @@ def frequent_lines(pages: DataFrame, min_pages: int = 3) -> DataFrame:
 
 
 def drop_frequent_lines(pages: DataFrame, furniture: DataFrame, key: str) -> DataFrame:
-    """Pages without the lines of their host's furniture."""
-    lines = pages.select(key, U.host("url").alias("host"), F.posexplode(page_lines("html")).alias("pos", "line"))
-    kept = lines.join(broadcast_if_small(furniture.select("host", "line")), ["host", "line"], "left_anti")
-    ordered = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("ls"))
+    """Pages without the lines of their host's furniture; a page of furniture only has an empty body."""
+    lines = pages.select(key, U.host("url").alias("host"), F.posexplode_outer(page_lines("html")).alias("pos", "line")).fillna("", ["line"])
+    marked = lines.join(stored_side(furniture.select("host", "line").withColumn("_furniture", F.lit(True)), "furniture"), ["host", "line"], "left")
+    own = F.when(F.col("_furniture").isNull(), F.struct("pos", "line"))
+    ordered = marked.groupBy(key).agg(F.array_sort(F.collect_list(own)).alias("ls"))
     return ordered.select(key, F.array_join(F.col("ls.line"), "\n").alias("body"))
 
 

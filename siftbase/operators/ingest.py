@@ -116,5 +116,8 @@ def skip_reasons(pages: DataFrame) -> DataFrame:
 
 
 def source_groups(records: DataFrame, groups: DataFrame) -> DataFrame:
-    """O-11: add the output group of each record's source; ``write.partitionBy("group")`` then splits without empty groups."""
-    return records.join(broadcast_if_small(groups), "source_id")
+    """O-11: add the output group of each record's source; ``write.partitionBy("group")`` then splits without empty groups.
+
+    Records of a source without a group, or with a null one, keep a null group.
+    """
+    return records.join(broadcast_if_small(groups), "source_id", "left")

@@ -218,8 +218,8 @@ def minimised_profile(raw: DataFrame, list_columns: tuple[str, ...] = ("industry
     )
     failures = F.array_compact(
         F.array(
-            F.when(~F.length("major").between(1, 80), "major must have 1-80 characters"),
-            F.when(~F.length("target_role").between(1, 120), "target_role must have 1-120 characters"),
+            F.when(~F.coalesce(F.length("major").between(1, 80), F.lit(False)), "major must have 1-80 characters"),
+            F.when(~F.coalesce(F.length("target_role").between(1, 120), F.lit(False)), "target_role must have 1-120 characters"),
             *[F.when(F.exists(c, lambda x: F.length(x) > 80), f"{c} items must have at most 80 characters") for c in list_columns],
             F.when(~F.col("deadline_sensitivity").isin(*SENSITIVITY_TERMS), "unknown deadline_sensitivity"),
         )

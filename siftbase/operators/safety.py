@@ -195,17 +195,40 @@ def _negated(text: str, phrase: str) -> bool:
     return any(marker in window for marker in NEGATION_MARKERS)
 
 
+def rule_pattern(pattern: str, institutions: Sequence[str], form: str) -> str:
+    r"""A source rule in Python's, Java's or SQL's (RE2) pattern language.
+
+    Its blanks are those of web scripts, wide ones included, and its word edges
+    are ASCII, so that particles may follow a word; the three forms match the same.
+    """
+    names = "|".join(re.escape(n) for n in institutions)
+    if "{institutions}" in pattern:
+        pattern = pattern.replace("{institutions}", names).replace("{{", "{").replace("}}", "}")
+    wide = re.sub(r"\\x\{([0-9A-F]{4})\}", r"\\u\1", T.WIDE_SPACE) if form == "python" else T.WIDE_SPACE
+    edge = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+    out, inside, i = [], False, 0
+    while i < len(pattern):
+        token = pattern[i : i + 2] if pattern[i] == "\\" else pattern[i]
+        i += len(token)
+        if token == "[":
+            inside = True
+        elif token == "]":
+            inside = False
+        if token == r"\s":
+            token = rf"\s{wide}" if inside else rf"[\s{wide}]"
+        elif token == r"\b" and form == "java":
+            token = edge
+        out.append(token)
+    return "".join(out)
+
+
 def source_redactor(institutions: Sequence[str] = DEFAULT_INSTITUTIONS):
     """Arrow-batched UDF: text after the JVM steps to a struct of redacted text and rule categories.
 
     Whether a match is negated depends on the text as it stood before its own
     rule, so the rules have to be applied one after the other.
     """
-    names = "|".join(re.escape(n) for n in institutions)
-    rules = [
-        (re.compile(p.replace("{institutions}", names).replace("{{", "{").replace("}}", "}") if "{institutions}" in p else p, re.IGNORECASE if fold else 0), c, mark, skip)
-        for p, fold, c, mark, skip in SOURCE_RULES
-    ]
+    rules = [(re.compile(rule_pattern(p, institutions, "python"), (re.IGNORECASE if fold else 0) | re.ASCII), c, mark, skip) for p, fold, c, mark, skip in SOURCE_RULES]
 
     def redact(text: str) -> tuple[str, list[str]]:
         categories: list[str] = []
@@ -231,10 +254,8 @@ def source_redactor(institutions: Sequence[str] = DEFAULT_INSTITUTIONS):
 
 def _rule_guard(institutions: Sequence[str]) -> str:
     """One pattern that finds any text a source rule could touch."""
-    names = "|".join(re.escape(n) for n in institutions)
-    parts = [f"(?i:{p})" if fold else p for p, fold, *_ in SOURCE_RULES]
-    filled = [p.replace("{institutions}", names).replace("{{", "{").replace("}}", "}") if "{institutions}" in p else p for p in parts]
-    return "|".join(f"(?:{p})" for p in filled)
+    filled = [(rule_pattern(p, institutions, "java"), fold) for p, fold, *_ in SOURCE_RULES]
+    return "|".join(f"(?i:{p})" if fold else f"(?:{p})" for p, fold in filled)
 
 
 def _replace_unsafe_links(c: Column) -> Column:

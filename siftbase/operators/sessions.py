@@ -44,17 +44,22 @@ def reference_list(references: DataFrame) -> DataFrame:
 
 
 def list_view(items: DataFrame, view: str, keys: list[str]) -> DataFrame:
-    """O-76: items of each list in the order of a view; a list holds the at most 25 results of one request."""
+    """O-76: items of each list in the order of a view; a list holds the results of one request.
+
+    "recommended" leaves out general items, "closing" keeps active ones and shows
+    the newest first, "by_source" orders by source and title in Korean order.
+    """
     newest = [F.col("posted_at").desc_nulls_last(), F.col("fetched_at").desc_nulls_last()]
     status_rank = F.when(F.col("deadline_status") == "active", 0).when(F.col("deadline_status") == "unknown", 1).otherwise(2)
     orders = {
         "recommended": [F.col("score").desc(), "position"],
         "newest": [*newest, "position"],
-        "closing": ["position"],
-        "by_source": ["source_id", "position"],
+        "closing": [*newest, "position"],
+        "by_source": [F.collate("source_id", "ko"), F.collate("title", "ko"), F.col("position")] if view == "by_source" else [],
         "by_status": [status_rank, "position"],
     }
-    rows = items.filter("deadline_status = 'active'") if view == "closing" else items
+    kept = {"closing": "deadline_status = 'active'", "recommended": "match_strength <> 'general_recommendation'"}
+    rows = items.filter(kept[view]) if view in kept else items
     return rows.withColumn("view_position", F.row_number().over(Window.partitionBy(*keys).orderBy(*orders[view])))
 
 

@@ -435,10 +435,13 @@ def chrome_lines(spark, sf_dir):
 @query("pages_without_chrome", f"""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, string_split({_LINES}, chr(10)) AS ls FROM pages),
 l AS (SELECT page_id, host, unnest(ls) AS line, unnest(range(0, len(ls))) AS pos FROM p),
 f AS (SELECT host, line FROM (SELECT DISTINCT page_id, host, line FROM l WHERE line <> '') GROUP BY host, line HAVING count(*) >= 3)
-SELECT page_id, string_agg(line, chr(10) ORDER BY pos) AS body FROM l WHERE (host, line) NOT IN (SELECT (host, line) FROM f) GROUP BY page_id""")
+SELECT page_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER ((host, line) NOT IN (SELECT (host, line) FROM f)), '') AS body FROM l GROUP BY page_id
+UNION ALL SELECT -1 - page_id, '' FROM p WHERE page_id % 10 = 0""")
 def pages_without_chrome(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
-    return H.drop_frequent_lines(p, H.frequent_lines(p, 3), "page_id")
+    furniture = H.frequent_lines(p, 3)
+    bare = p.where("page_id % 10 = 0").select((-1 - F.col("page_id")).alias("page_id"), "url", F.lit("<p></p>").alias("html"))  # nothing is left of them
+    return H.drop_frequent_lines(p.select("page_id", "url", "html").unionByName(bare), furniture, "page_id")
 
 
 @query("list_page_detect", f"""WITH t AS (SELECT page_id, {sql_clean(sql_strip(_ARTICLE))} || ' ' || CASE WHEN page_id % 3 = 0 THEN '달력보기 검색 전체' WHEN page_id % 3 = 1 THEN '자세히 보기 자세히 보기 자세히 보기' ELSE '기간: 기간 :' END AS b FROM pages),
@@ -459,8 +462,8 @@ def ingest_summary(spark, sf_dir):
     return I.ingest_summary(d, 40)
 
 
-@query("grouped_output", "SELECT CASE WHEN source IN ('src1', 'src2') THEN 'a' ELSE 'b' END AS \"group\", count(*) AS records FROM documents WHERE source IN ('src1', 'src2', 'src3') GROUP BY 1")
+@query("grouped_output", "SELECT CASE WHEN source IN ('src1', 'src2') THEN 'a' WHEN source = 'src3' THEN 'b' END AS \"group\", count(*) AS records, min(doc_id) AS first_id, sum(doc_id) AS sum_ids FROM documents GROUP BY 1")
 def grouped_output(spark, sf_dir):
     groups = spark.createDataFrame([("src1", "a"), ("src2", "a"), ("src3", "b"), ("none", "c")], "source_id string, group string")
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("source_id"))
-    return I.source_groups(d, groups).groupBy("group").agg(F.count("*").alias("records"))
+    return I.source_groups(d, groups).groupBy("group").agg(F.count("*").alias("records"), F.min("doc_id").alias("first_id"), F.sum("doc_id").alias("sum_ids"))

@@ -26,7 +26,7 @@ def sql_redact(x: str) -> str:
     for _ in range(2):
         x = rf"regexp_replace({x}, '(^|[^0-9])(?:19|20)[0-9]{{6,8}}([^0-9]|$)', '\1[redacted_student_id]\2', 'g')"
     for _ in range(2):
-        x = rf"regexp_replace({x}, '(^|[^0-9])(?:\+82[-\s]?)?(?:0\d{{1,2}}|1\d{{2}})[-\s]?\d{{3,4}}[-\s]?\d{{4}}($|[^A-Za-z0-9_])', '\1[redacted_phone]\2', 'g')"
+        x = rf"regexp_replace({x}, '(^|[^0-9]){T.PHONE_NUMBER}($|[^A-Za-z0-9_])', '\1[redacted_phone]\2', 'g')"
     return x
 
 
@@ -96,10 +96,12 @@ def redact_email(spark, sf_dir):
 
 
 @query("redact_all", f"""SELECT 'd' || CAST(doc_id AS VARCHAR) AS id, {sql_redact('text')} AS redacted FROM documents
+UNION ALL SELECT 'w' || CAST(doc_id AS VARCHAR), {sql_redact("replace(replace(text, ' ', chr(160)), '-', chr(12288))")} FROM documents
 UNION ALL SELECT * FROM (WITH {C.REQUESTS_SQL} SELECT request_id, {sql_redact('query')} FROM requests)""")
 def redact_all(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("id"), "text")
-    both = docs.unionByName(C.requests(spark, sf_dir).select(F.col("request_id").alias("id"), F.col("query").alias("text")))
+    wide = table(spark, sf_dir, "documents").select(F.concat(F.lit("w"), F.col("doc_id")).alias("id"), F.translate("text", " -", "\u00a0\u3000").alias("text"))
+    both = docs.unionByName(wide).unionByName(C.requests(spark, sf_dir).select(F.col("request_id").alias("id"), F.col("query").alias("text")))
     return both.select("id", T.redact_personal_data("text").alias("redacted"))
 
 

@@ -104,14 +104,15 @@ def match_reasons(spark, sf_dir):
 
 @query("list_views", REC_SQL + """SELECT query_id, chunk_id, view, view_position FROM (
  SELECT query_id, chunk_id, 'newest' AS view, row_number() OVER (PARTITION BY query_id ORDER BY posted_at DESC NULLS LAST, fetched_at DESC NULLS LAST, position) AS view_position FROM recommended
- UNION ALL SELECT query_id, chunk_id, 'closing', row_number() OVER (PARTITION BY query_id ORDER BY position) FROM recommended WHERE status = 'active'
+ UNION ALL SELECT query_id, chunk_id, 'closing', row_number() OVER (PARTITION BY query_id ORDER BY posted_at DESC NULLS LAST, fetched_at DESC NULLS LAST, position) FROM recommended WHERE status = 'active'
+ UNION ALL SELECT query_id, chunk_id, 'recommended', row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, position) FROM recommended WHERE match_strength <> 'general_recommendation'
  UNION ALL SELECT query_id, chunk_id, 'by_status', row_number() OVER (PARTITION BY query_id ORDER BY CASE status WHEN 'active' THEN 0 WHEN 'unknown' THEN 1 ELSE 2 END, position) FROM recommended)""")
 def list_views(spark, sf_dir):
     from siftbase.session import written
 
-    items = written(_recommended(spark, sf_dir).select("query_id", "chunk_id", "position", "posted_at", "fetched_at", "deadline_status", "source_id", F.col("final_score").alias("score")), "items")
+    items = written(_recommended(spark, sf_dir).select("query_id", "chunk_id", "position", "posted_at", "fetched_at", "deadline_status", "source_id", "match_strength", F.col("final_score").alias("score")), "items")
     out = None
-    for view in ("newest", "closing", "by_status"):
+    for view in ("newest", "closing", "recommended", "by_status"):
         v = SS.list_view(items, view, ["query_id"]).select("query_id", "chunk_id", F.lit(view).alias("view"), "view_position")
         out = v if out is None else out.unionByName(v)
     return out
@@ -127,10 +128,10 @@ def source_quality(spark, sf_dir):
 
 
 @query("preference_minimising", """SELECT 's' || CAST(event_id AS VARCHAR) AS session_key, trim(' ' || event_type || ' ') AS major, array_to_string((list_filter(list_transform(string_split(replace(props, ':', ','), ','), lambda x: trim(x)), lambda x: x <> ''))[1:5], '|') AS industry,
-  CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS n_failures FROM events""")
+  CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS n_failures FROM events""")
 def preference_minimising(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    raw = e.select(F.concat(F.lit("s"), F.col("event_id")).alias("session_key"), F.concat(F.lit(" "), "event_type", F.lit(" ")).alias("major"), F.lit("role").alias("target_role"),
+    raw = e.select(F.concat(F.lit("s"), F.col("event_id")).alias("session_key"), F.concat(F.lit(" "), "event_type", F.lit(" ")).alias("major"), F.when(F.col("event_id") % 7 != 0, "role").alias("target_role"),
                    F.replace("props", F.lit(":"), F.lit(",")).alias("industry"), F.lit("").alias("region"), F.lit("").alias("employment_type"),
                    F.when(F.col("event_id") % 3 == 0, "sometimes").alias("deadline_sensitivity"), F.lit("free text").alias("session_only_optional_text"))
     out = R.minimised_profile(raw)
