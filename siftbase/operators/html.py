@@ -158,12 +158,22 @@ def page_title(html: Column | str) -> Column:
     return T.clean_inline(unescape_entities(F.regexp_extract(T.col(html), r"(?is)<title\b[^>]*>(.*?)</title>", 1)))
 
 
+HREF = r"""\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+ANCHOR = r"""(?is)(<a\s[^>]*?\bhref\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)[^>]*>.*?</a>)"""
+
+
+def href_of(anchor: Column | str) -> Column:
+    """Target of an anchor tag, whatever its quotes; empty if it has none."""
+    found = [F.regexp_extract(T.col(anchor), "(?is)" + HREF, k) for k in (1, 2, 3)]
+    return F.coalesce(*[F.when(f != "", f) for f in found], F.lit(""))
+
+
 def page_links(pages: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """O-56: links of each page, absolute and canonical, first of each target kept."""
-    anchors = F.regexp_extract_all("html", F.lit(r"(?is)(<a\s[^>]*href=\"[^\"]*\"[^>]*>.*?</a>)"), F.lit(1))
+    """O-56: links of each page, absolute and canonical, first of each target kept; quotes of either kind or none."""
+    anchors = F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(1))
     rows = pages.select(*keep, "url", F.posexplode(anchors).alias("pos", "anchor"))
     rows = rows.select(
-        *keep, "url", "pos", unescape_entities(F.regexp_extract("anchor", r"(?is)href=\"([^\"]*)\"", 1)).alias("href"),
+        *keep, "url", "pos", unescape_entities(href_of("anchor")).alias("href"),
         T.clean_inline(strip_tags("anchor", ())).alias("label"),
     )
     rows = rows.filter("href <> ''").withColumn("target", U.canonical(U.resolve("href", "url"))).filter(F.col("target").isNotNull())
@@ -178,19 +188,22 @@ def hinted_links(links: DataFrame, hosts: Sequence[str], hints: Sequence[str]) -
 
 
 def listing_rows(pages: DataFrame, keep: Sequence[str], href_pattern: str) -> DataFrame:
-    """O-13: (title, url, posted_at, hits) per listing row; the first row of a URL wins."""
-    rows = F.regexp_extract_all("html", F.lit(r"(?is)(<(?:tr|li|article)\b[^>]*>.*?</(?:tr|li|article)>)"), F.lit(1))
-    r = pages.select(*keep, "url", F.posexplode(rows).alias("pos", "row"))
+    """O-13: (title, url, posted_at, hits) of every anchor that matches, with its nearest row; the first of a URL wins."""
+    # a row begins at its tag and ends at the next row's tag or at its own end tag, whichever comes first
+    parts = F.split("html", r"(?i)(?=<(?:tr|li|article|div)\b)", -1)
+    r = pages.select(*keep, "url", F.posexplode(parts).alias("row_pos", "row"))
+    closed = F.regexp_extract("row", r"(?is)^(<(tr|li|article|div)\b.*?</\2\s*>)", 1)
+    r = r.filter(F.col("row").rlike(r"(?is)^<(?:tr|li|article|div)\b.*<a\s")).withColumn("row", F.when(closed != "", closed).otherwise(F.col("row")))
+    r = r.select(*keep, "url", "row_pos", "row", F.posexplode(F.regexp_extract_all("row", F.lit(ANCHOR), F.lit(1))).alias("anchor_pos", "anchor"))
     r = r.select(
-        *keep, "url", "pos", "row",
-        F.regexp_extract("row", r"(?is)<a\s[^>]*href=[\"']([^\"']*)[\"']", 1).alias("href"),
-        T.clean_inline(strip_tags(F.regexp_extract("row", r"(?is)<a\s[^>]*>(.*?)</a>", 1), ())).alias("title"),
+        *keep, "url", F.struct("row_pos", "anchor_pos").alias("pos"), "row", href_of("anchor").alias("href"),
+        T.clean_inline(strip_tags(F.regexp_extract("anchor", r"(?is)<a\s[^>]*>(.*?)</a>", 1), ())).alias("title"),
     ).filter(F.col("href").rlike(href_pattern) & (F.col("title") != ""))
     dated = F.coalesce(D.posted_date(F.regexp_extract("row", r"(?is)<time\s[^>]*datetime=[\"']([^\"']*)[\"']", 1)), D.posted_date(strip_tags("row", ())))
     hits = D.hit_count(strip_tags(F.regexp_extract("row", r"(?is)<[a-z]+\s[^>]*class=[\"']hit[\"'][^>]*>(.*?)<", 1), ()))
     r = r.withColumn("target", U.canonical(U.resolve("href", "url"))).withColumn("posted_at", dated).withColumn("hits", hits)
     first = r.groupBy(*keep, "target").agg(F.min(F.struct("pos", "title", "posted_at", "hits")).alias("f"))
-    return first.select(*keep, "target", "f.pos", "f.title", "f.posted_at", "f.hits")
+    return first.select(*keep, "target", "f.pos.row_pos", "f.title", "f.posted_at", "f.hits").withColumnRenamed("row_pos", "pos")
 
 
 def join_details(listing: DataFrame, details: DataFrame) -> DataFrame:

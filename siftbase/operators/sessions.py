@@ -75,13 +75,20 @@ def preference_state(events: DataFrame, order: list[str], now: Column) -> DataFr
 
     A set replaces, an update merges field by field, a clear removes.  An update
     without a profile starts one only when it has both required fields.
-    Expiry is applied at ``now``; a lapse between two events is not replayed
-    here (the streaming form does).  Two aggregates with map-side combining and
-    two salted joins: no task holds the events of one key.
+    A persistent profile lapses when its retention ends: at ``now``, and also
+    between two events, after which an update finds nothing to build on.  The
+    lapse test needs a time as first order column and looks back one event per
+    key in a window that streams; the rest is
+    two aggregates with map-side combining and two salted joins, so no task
+    holds the events of one key.
     """
     at = F.struct(*order)
     e = events.filter(valid_preference_event()).withColumn("_at", at)
-    resets = e.filter(F.col("event").isin("set", "clear")).groupBy("session_key").agg(F.max("_at").alias("_reset"), F.max_by("event", "_at").alias("_kind"))
+    kept_until = F.when(F.coalesce(F.col("persist"), F.lit(False)) & (F.col("event") != "clear"), F.unix_micros("consented_at") + F.col("retention_days") * 86_400_000_000)
+    before = F.lag(kept_until).over(Window.partitionBy("session_key").orderBy(*order))
+    timed = events.schema[order[0]].dataType.typeName() == "timestamp"
+    e = e.withColumn("_lapsed", F.coalesce(before <= F.unix_micros(F.col(order[0])), F.lit(False)) if timed else F.lit(False))
+    resets = e.filter(F.col("event").isin("set", "clear") | F.col("_lapsed")).groupBy("session_key").agg(F.max("_at").alias("_reset"), F.max_by("event", "_at").alias("_kind"))
     spread_key = order[-1]
     after = salted_join(e, resets, "session_key", spread_key, "left").filter(F.col("_reset").isNull() | (F.col("_at") >= F.col("_reset")))
     complete = F.col("major").isNotNull() & F.col("target_role").isNotNull()

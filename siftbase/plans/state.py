@@ -355,9 +355,15 @@ def kb_write_read(spark, sf_dir):
     return back.groupBy("source_family").agg(F.count("*").alias("records"), F.min("record_id").alias("first_id"), F.count_distinct("source_id").alias("sources"))
 
 
-@query("stream_upsert", "SELECT lang, count(*) AS n, max(doc_id) AS last_id FROM documents GROUP BY lang")
+def _two_writes(batch):
+    version = F.explode(F.array(F.lit(1).cast("bigint"), F.lit(0).cast("bigint"))).alias("version")
+    rows = batch.select("doc_id", "lang", F.sha2("text", 256).alias("hash"), version)
+    return rows.withColumn("lang", F.when(F.col("version") == 0, "old").otherwise(F.col("lang")))
+
+
+@query("stream_upsert", "SELECT doc_id, lang, sha256(text) AS hash, CAST(1 AS BIGINT) AS version FROM documents")
 def stream_upsert(spark, sf_dir):
-    """Documents streamed twice into versioned snapshots; the second run merges nothing new."""
+    """Documents streamed twice into versioned snapshots, each as two conflicting writes of which the later wins; the second run merges nothing new."""
     import uuid
 
     from siftbase.sources.snapshots import SnapshotStore
@@ -365,8 +371,8 @@ def stream_upsert(spark, sf_dir):
     store = SnapshotStore(f"{shared_dir(spark)}/siftbase/snapshots-{uuid.uuid4().hex}")
     stream = runs.file_stream(spark, f"{sf_dir}/documents*.parquet", spark.read.parquet(f"{sf_dir}/documents.parquet").schema)
     for _ in range(2):
-        runs.upsert_stream(stream, store, "doc_id", lambda batch: batch.select("doc_id", "lang", F.sha2("text", 256).alias("hash"))).awaitTermination()
-    return store.current(spark).groupBy("lang").agg(F.count("*").alias("n"), F.max("doc_id").alias("last_id"))
+        runs.upsert_stream(stream, store, "doc_id", F.col("version"), _two_writes).awaitTermination()
+    return store.current(spark).select("doc_id", "lang", "hash", "version")
 
 
 @query("personalisation_scenarios", REC_SQL + """, first AS (SELECT query_id, chunk_id, match_strength FROM recommended WHERE position = 1), p AS (SELECT query_id, 'p' || lpad(CAST(CAST(substr(query_id, 2) AS BIGINT) + 1 AS VARCHAR), 9, '0') AS other FROM profiles)

@@ -7,6 +7,7 @@ executor never loses it; ``broadcast_if_small`` measures a side before hinting.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -33,20 +34,39 @@ def build_session(master: str = "local[*]", app: str = "siftbase", shuffle_parti
     )
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for written intermediates: the cluster's, else a fresh local one."""
+    """The folder for written intermediates: the one the cluster names.
+
+    Only a local session, where driver and executors are one process, may do
+    without; it gets a fresh folder.  On a cluster a missing setting is an error,
+    since no machine's own disk is shared.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
-    fresh = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", fresh)
-    return fresh
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return _LOCAL.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-"))
+
+
+def intermediates(spark: SparkSession) -> str:
+    """Where this application's intermediates are."""
+    return f"{shared_dir(spark)}/siftbase/{spark.sparkContext.applicationId}"
+
+
+def drop_intermediates(spark: SparkSession) -> bool:
+    """Remove all intermediates of this application; results that still read them are lost.  To be called when they have been written elsewhere."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(intermediates(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/siftbase/{name}-{uuid.uuid4().hex}"
+    path = f"{intermediates(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

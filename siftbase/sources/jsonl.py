@@ -24,29 +24,31 @@ def scan_jsonl(spark: SparkSession, paths: Sequence[str], schema: StructType, tr
     """O-01, O-03, O-140: valid rows and failures (file, row_hash, message) of JSON-lines files.
 
     A distributed scan has no line numbers, so a failure names its file and the
-    hash of its text.
+    hash of its line.
     """
     full = StructType([*schema.fields, StructField(CORRUPT, StringType())])
     lines = spark.read.text(list(paths)).filter("trim(value) <> ''").withColumn("_file", F.col("_metadata.file_path"))
     rows = lines.withColumn("_r", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
     bad = F.col(f"_r.{CORRUPT}").isNotNull() | F.col("_r").isNull()
     broken = rows.filter(bad).select(F.col("_file").alias("file"), F.sha2("value", 256).alias("row_hash"), F.lit("invalid JSON").alias("message"))
-    parsed = rows.filter(~bad).select("_r.*", "_file").drop(CORRUPT)
+    parsed = rows.filter(~bad).select("_r.*", "_file", F.sha2("value", 256).alias("_line")).drop(CORRUPT)
     parsed = transform(parsed) if transform else parsed
     if not rules:
-        return parsed.drop("_file"), broken
+        return parsed.drop("_file", "_line"), broken
     checked = parsed.withColumn("_failures", failures(rules))
     invalid = checked.filter(F.size("_failures") > 0).select(
-        F.col("_file").alias("file"), F.sha2(F.to_json(F.struct(*[c for c in parsed.columns if c != "_file"])), 256).alias("row_hash"), F.explode("_failures").alias("message")
+        F.col("_file").alias("file"), F.col("_line").alias("row_hash"), F.explode("_failures").alias("message")
     )
-    return checked.filter(F.size("_failures") == 0).drop("_failures", "_file"), broken.unionByName(invalid)
+    return checked.filter(F.size("_failures") == 0).drop("_failures", "_file", "_line"), broken.unionByName(invalid)
 
 
 def read_optional(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """O-02: a missing file is an empty table."""
+    """O-02: a missing file is an empty table; a line that is no JSON fails the load."""
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).json(path)
+    rows, bad = scan_jsonl(spark, [path], schema)
+    _raise_if_any(bad)
+    return rows
 
 
 def load_or_fail(spark: SparkSession, paths: Sequence[str], schema: StructType, rules: Sequence[Rule] = ()) -> DataFrame:

@@ -9,16 +9,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from siftbase.schemas import CATEGORY_LABELS, TRUST_LABEL, lookup
 
 # --- fixed values -----------------------------------------------------------
+# category, Korean words, English word
 SIGNALS = {
-    "job_posting": ("채용정보", "채용 공고 모집", "job posting"),
-    "career_review": ("취업후기", "취업 후기 면접 조언", "career review"),
-    "internship_notice": ("현장실습 안내", "인턴 현장실습 안내", "internship notice"),
-    "internship_review": ("현장실습 후기", "현장실습 후기 경험", "internship review"),
-    "career_program": ("취업프로그램", "취업프로그램 상담 신청", "career program"),
-    "guide": ("가이드", "가이드 매뉴얼 절차", "guide manual"),
-    "notice": ("공지사항", "공지사항 안내", "notice"),
-    "source_discovery": ("출처 탐색", "출처 탐색", "source discovery"),
-    "unknown_legacy": ("기존 분류", "기존 분류 미확인", "unknown legacy"),
+    "job_posting": ("채용공고", "채용정보 일반채용", "job-posting"),
+    "career_review": ("취업후기", "취업성공후기 합격후기", "career-review"),
+    "internship_notice": ("현장실습 안내", "현장실습 인턴채용", "internship-notice"),
+    "internship_review": ("현장실습 후기", "현장실습 후기", "internship-review"),
+    "career_program": ("취업 프로그램", "취업프로그램 직무부트캠프", "career-program"),
+    "guide": ("가이드", "가이드북 진로설계", "guide"),
+    "notice": ("공지사항", "공지사항 상담예약", "notice"),
+    "source_discovery": ("출처 탐색", "출처 탐색 경력개발", "source-discovery"),
+    "unknown_legacy": ("기존 분류 미확인", "기존 분류 미확인", "legacy-unknown"),
 }
 MODULI = {"active": 11, "expired": 13, "token": 997}
 # ----------------------------------------------------------------------------
@@ -32,7 +33,7 @@ def synthetic_chunks(spark: SparkSession, n: int, families: Sequence[str]) -> Da
     part = lambda k: lookup({c: v[k] for c, v in SIGNALS.items()}, "collection_category")
     status = F.when(i % MODULI["active"] == 0, "active").when(i % MODULI["expired"] == 0, "expired").otherwise("unknown")
     url = F.concat_ws("/", F.lit("https://example.com/kb-benchmark"), "source_family", "collection_category", i)
-    number = F.lpad(i.cast("string"), 9, "0")
+    number = F.when(i < 1_000_000, F.lpad(i.cast("string"), 6, "0")).otherwise(i.cast("string"))
     return base.select(
         F.concat(F.lit("synthetic-chunk-"), number).alias("chunk_id"), F.concat(F.lit("synthetic-record-"), number).alias("record_id"),
         F.concat_ws("-", F.lit("synthetic"), "source_family", "collection_category").alias("source_id"), F.concat_ws(" ", F.lit("Synthetic"), "source_family", part(0)).alias("source_name"),

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -120,11 +120,14 @@ def live_preferences(rows: DataFrame, now) -> DataFrame:
     return rows.filter(alive).withColumn("deadline_sensitivity", F.coalesce("deadline_sensitivity", F.lit("balanced"))).drop("expires_micros")
 
 
-def upsert_stream(stream: DataFrame, store: SnapshotStore, key: str, transform: Callable[[DataFrame], DataFrame] | None = None):
-    """O-135, O-136: merge each micro-batch into the next snapshot version; a failed batch leaves the current one."""
+def upsert_stream(stream: DataFrame, store: SnapshotStore, key: str, order: Column, transform: Callable[[DataFrame], DataFrame] | None = None):
+    """O-135, O-136: merge each micro-batch into the next snapshot version; a failed batch leaves the current one.
+
+    Of the rows of one key in a batch the last by ``order``, a bigint, wins.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
-        rows = (transform(batch) if transform else batch).withColumn("_batch", F.lit(1)).withColumn("_pos", F.xxhash64(key))
+        rows = (transform(batch) if transform else batch).withColumn("_batch", F.lit(1)).withColumn("_pos", order)
         current = store.current(batch.sparkSession)
         if current is not None:
             rows = current.withColumn("_batch", F.lit(0)).withColumn("_pos", F.lit(0).cast("bigint")).unionByName(rows)

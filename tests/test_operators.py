@@ -137,9 +137,9 @@ def test_snapshots_and_upsert_stream(spark, tmp_path):
     inbox, store = str(tmp_path / "in"), SnapshotStore(str(tmp_path / "kb"))
     spark.createDataFrame([(1, "old"), (2, "keep")], "id long, v string").write.parquet(inbox)
     schema = spark.read.parquet(inbox).schema
-    runs.upsert_stream(spark.readStream.schema(schema).parquet(inbox), store, "id").awaitTermination()
-    spark.createDataFrame([(1, "new")], "id long, v string").write.mode("append").parquet(inbox)
-    runs.upsert_stream(spark.readStream.schema(schema).parquet(inbox), store, "id").awaitTermination()
+    runs.upsert_stream(spark.readStream.schema(schema).parquet(inbox), store, "id", F.length("v").cast("bigint")).awaitTermination()
+    spark.createDataFrame([(1, "n"), (1, "new")], "id long, v string").write.mode("append").parquet(inbox)
+    runs.upsert_stream(spark.readStream.schema(schema).parquet(inbox), store, "id", F.length("v").cast("bigint")).awaitTermination()
     assert sorted(tuple(r) for r in store.current(spark).collect()) == [(1, "new"), (2, "keep")]
     with pytest.raises(Exception):
         store.publish(spark.range(1).select(F.raise_error(F.lit("boom")).alias("x")))
