@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siftbase.functions import text as T
+from siftbase.operators.safety import INPUT_POLICY_VERSION
 from siftbase.schemas import CONTENT_ROLES, lookup
 from siftbase.session import computed_once
 
@@ -196,9 +197,10 @@ def fallback_answer(citations: Column) -> Column:
 
 
 def decide(df: DataFrame, policy_refusal: str) -> DataFrame:
-    """O-122: the response per request as one cascade.
+    """O-122: the response per request as one cascade, with the citation objects it shows.
 
-    Needs input_action, refusal_tier, confidence, citations, provider_content,
+    An answer shows the canonical citation of every id it names, a fallback the
+    first three of the evidence, anything else none.  Needs input_action, refusal_tier, confidence, citations, provider_content,
     and for provider answers answer, answer_tier, answer_confidence, failures.
     """
     refused = F.col("input_action") == "refuse"
@@ -223,9 +225,12 @@ def decide(df: DataFrame, policy_refusal: str) -> DataFrame:
     validation = (
         F.when(refused, "skipped_input_refusal").when(no_evidence, "skipped_hard_refusal").when(d == "answer", "passed").otherwise("failed")
     )
+    named = F.flatten(F.transform("answer_citations", lambda i: F.filter("citations", lambda c: c["citation_id"].cast("bigint") == i)))
+    shown = F.when(d == "answer", named).when((d == "fallback") & ~empty_fallback, F.slice("citations", 1, FALLBACK_CITATIONS))
+    shown = F.coalesce(shown, F.slice("citations", 1, 0), F.array().cast(df.schema["citations"].dataType))
     snapshot = F.when(refused | no_evidence, "refusal").when(no_answer, "failure").when(d != "answer", "guardrail")
     return out.select(
-        *df.columns, "decision", answer.alias("final_answer"), tier.alias("final_tier"), confidence.alias("final_confidence"),
+        *df.columns, "decision", answer.alias("final_answer"), shown.alias("final_citations"), tier.alias("final_tier"), confidence.alias("final_confidence"),
         validation.alias("output_validation"), snapshot.alias("prompt_snapshot_reason"),
     )
 
@@ -235,17 +240,36 @@ def query_hash(query: Column | str, action: Column | str, sanitized: Column | st
     return F.sha2(F.when(T.col(action) == "allow", T.col(query)).otherwise(T.redact_personal_data(sanitized)), 256)
 
 
-def audit_rows(decided: DataFrame, key: str = "query_id") -> DataFrame:
-    """O-124: audit table of decided requests."""
+RETRIEVED = "array<struct<chunk_id:string,record_id:string,source_id:string,score:double,normalized_score:double>>"
+
+
+def audit_rows(decided: DataFrame, timestamp: Column, response_timestamp: Column, model_config: Column | None = None, key: str = "query_id") -> DataFrame:
+    """O-124: audit table of decided requests, with every field of a record.
+
+    Optional columns of ``decided`` are used where they are: ``retrieved_chunks``,
+    ``source_action``, ``source_categories``, ``unsafe_chunk_ids`` and
+    ``provider_error``.  A request that was refused at its input retrieved nothing.
+    ``prompt_snapshot`` is never stored here.
+    """
+    def given(name: str, kind: str) -> Column:
+        return F.col(name).cast(kind) if name in decided.columns else F.lit(None).cast(kind)
+
     used = F.when(F.col("decision") == "answer", F.col("answer_citations")).otherwise(F.array().cast("array<bigint>"))
+    went_on = F.col("decision") != "policy_refusal"
+    failed = (F.col("output_validation") == "failed") & (F.size("failures") > 0)
     guardrails = F.to_json(
         F.struct(
-            F.lit(True).alias("context_isolation"), F.col("input_action").alias("input_safety_action"), F.col("input_categories").alias("input_safety_categories"),
-            "output_validation", F.when(F.size("failures") > 0, F.col("failures")).alias("output_validation_failures"),
+            F.lit(True).alias("context_isolation"), F.lit(True).alias("input_sanitized"), F.lit(INPUT_POLICY_VERSION).alias("input_safety_policy_version"),
+            F.col("input_action").alias("input_safety_action"), F.col("input_categories").alias("input_safety_categories"),
+            F.when(went_on, F.col("refusal_tier")).alias("evidence_policy"), F.when(went_on, given("source_action", "string")).alias("source_safety_action"),
+            F.when(went_on, given("source_categories", "array<string>")).alias("source_safety_categories"), F.when(went_on, given("unsafe_chunk_ids", "array<string>")).alias("source_safety_unsafe_chunk_ids"),
+            "output_validation", F.when(failed, F.col("failures")).alias("output_validation_failures"), given("provider_error", "string").alias("provider_error"),
         )
     )
+    retrieved = F.when(went_on, given("retrieved_chunks", RETRIEVED))
     return decided.select(
-        F.sha2(F.col(key), 256).alias("trace_id"), query_hash("query", "input_action", "sanitized_query").alias("query_hash"), F.col("final_tier").alias("refusal_tier"),
+        F.sha2(F.col(key), 256).alias("trace_id"), timestamp.alias("timestamp"), response_timestamp.alias("response_timestamp"),
+        F.coalesce(retrieved, F.array().cast(RETRIEVED)).alias("retrieved_chunks"), (model_config if model_config is not None else F.lit(None).cast("string")).alias("model_config"), query_hash("query", "input_action", "sanitized_query").alias("query_hash"), F.col("final_tier").alias("refusal_tier"),
         F.lit(PROMPT_VERSION).alias("prompt_version"), used.alias("citation_ids"), guardrails.alias("guardrail_results"), "prompt_snapshot_reason",
     )
 

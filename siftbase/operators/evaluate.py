@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siftbase.operators.safety import DEFAULT_INSTITUTIONS
-from siftbase.session import broadcast_if_small, computed_once, salted_join, stored_side
+from siftbase.session import broadcast_if_small, computed_once, stored_side, written
 
 
 def expected_passages(chunks: DataFrame, asked: DataFrame, shingle: int = 8) -> DataFrame:
@@ -181,24 +181,21 @@ def scenario_checks(results: DataFrame, scenarios: DataFrame) -> DataFrame:
     return joined.select("scenario", F.coalesce(ok, F.lit(False)).alias("passed"))
 
 
-def p95(df: DataFrame, value: str, keys: list[str], share: float = 0.95, buckets: int = 1024) -> DataFrame:
+def p95(df: DataFrame, value: str, keys: list[str], share: float = 0.95) -> DataFrame:
     """O-94: exact nearest-rank percentile per group, index ceil(share·n)-1.
 
-    Equal values are counted first.  Equal-width buckets then tell in which one
-    the wanted rank lies, and only that bucket is put in order, so no task sees
-    a whole group.
+    Equal values are counted first and laid out in ranges of (keys, value), whose
+    bounds Spark samples, so neither an outlier nor a hot group fills one of
+    them.  Counts per range tell in which one the wanted rank lies; only that
+    one is put in order.
     """
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    bounds = counted.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("_c").alias("n"))
-    width = (F.col("_hi") - F.col("_lo")) / buckets
-    bucket = F.when(width > 0, F.floor((F.col(value) - F.col("_lo")) / width)).otherwise(F.lit(0))
-    placed = salted_join(counted, bounds, keys[0], value) if len(keys) == 1 else counted.join(bounds, keys)
-    placed = placed.withColumn("_b", bucket).withColumn("_want", F.ceil(F.col("n") * share))
-    sums = placed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"), F.first("_want").alias("_want"))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    chosen = sums.withColumn("_before", F.coalesce(F.sum("_bc").over(before), F.lit(0))).filter(
-        (F.col("_before") < F.col("_want")) & (F.col("_want") <= F.col("_before") + F.col("_bc"))
-    )
-    inside = placed.drop("_want").join(broadcast_if_small(chosen.select(*keys, "_b", "_before", "_want")), [*keys, "_b"])
+    ranged = written(counted.repartitionByRange(*keys, value).withColumn("_part", F.spark_partition_id()), "ranges")
+    sums = ranged.groupBy("_part", *keys).agg(F.sum("_c").alias("_pc"))
+    ordered = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_pc").over(ordered), F.lit(0))).withColumn("n", F.sum("_pc").over(Window.partitionBy(*keys)))
+    want = F.ceil(F.col("n") * share)
+    chosen = sums.filter((F.col("_before") < want) & (want <= F.col("_before") + F.col("_pc"))).drop("_pc")
+    inside = ranged.join(stored_side(chosen, "chosen"), ["_part", *keys])
     running = F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    return inside.withColumn("_r", running).filter(F.col("_r") >= F.col("_want")).groupBy(*keys).agg(F.min(value).alias("p95"), F.first("n").alias("n"))
+    return inside.withColumn("_r", running).filter(F.col("_r") >= want).groupBy(*keys).agg(F.min(value).alias("p95"), F.first("n").alias("n"))

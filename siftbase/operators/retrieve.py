@@ -187,15 +187,15 @@ def zero_match_candidates(state: DataFrame, asked: DataFrame) -> DataFrame:
         order = Window.partitionBy(*keys).orderBy(F.col("score").desc(), F.col("chunk_id"))
         return df.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= MAX_TOP_K).drop("_rn")
 
+    wanted = asked.withColumn("mask", sum((F.when(F.col(v).isNotNull(), 1 << bit).otherwise(0) for bit, v in enumerate(FILTERS)), F.lit(0)))
+    used = sorted(r.mask for r in wanted.select("mask").distinct().collect())  # at most 2 ** len(FILTERS) numbers
     groups = cut(flagged, [*attributes, "listing"])
-    masks = F.sequence(F.lit(0), F.lit(2 ** len(attributes) - 1))
-    masked = groups.withColumn("mask", F.explode(masks))
+    masked = groups.withColumn("mask", F.explode(F.array(*[F.lit(m) for m in used]).cast("array<int>")))
     for bit, attribute in enumerate(attributes):
         masked = masked.withColumn(f"f_{attribute}", F.when(F.col("mask").bitwiseAND(1 << bit) != 0, F.col(attribute)).otherwise(""))
     keys = ["mask", "listing", *[f"f_{a}" for a in attributes]]
     per_pattern = cut(masked.drop(*attributes), keys)
 
-    wanted = asked.withColumn("mask", sum((F.when(F.col(v).isNotNull(), 1 << bit).otherwise(0) for bit, v in enumerate(FILTERS)), F.lit(0)))
     for values, attribute in FILTERS.items():
         wanted = wanted.withColumn(f"f_{attribute}", F.explode(F.coalesce(F.array_distinct(values), F.array(F.lit("")))))
     joined = wanted.select("query_id", "top_k", *keys).join(per_pattern, keys)

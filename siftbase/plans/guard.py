@@ -238,16 +238,27 @@ _LINE = "'- 공지사항: title ' || CAST(n AS VARCHAR) || ' (' || CASE WHEN n %
  CASE WHEN decision = 'answer' THEN answer_tier WHEN decision = 'fallback' AND n % 6 <> 5 THEN tier ELSE 'hard_refuse' END AS final_tier,
  CASE WHEN decision = 'answer' THEN CASE WHEN form = 'json' THEN 0.8 ELSE 0.6 END WHEN decision = 'fallback' AND n % 6 <> 5 OR decision = 'evidence_refusal' THEN 0.6 ELSE 0 END AS final_confidence,
  CASE decision WHEN 'policy_refusal' THEN 'skipped_input_refusal' WHEN 'evidence_refusal' THEN 'skipped_hard_refusal' WHEN 'answer' THEN 'passed' ELSE 'failed' END AS output_validation,
- CASE WHEN decision IN ('policy_refusal', 'evidence_refusal') THEN 'refusal' WHEN form = 'none' THEN 'failure' WHEN decision <> 'answer' THEN 'guardrail' END AS prompt_snapshot_reason FROM decided""")
+ CASE WHEN decision IN ('policy_refusal', 'evidence_refusal') THEN 'refusal' WHEN form = 'none' THEN 'failure' WHEN decision <> 'answer' THEN 'guardrail' END AS prompt_snapshot_reason,
+ CASE WHEN n % 6 = 5 THEN '' WHEN decision = 'answer' THEN array_to_string(list_filter(ids, lambda m: m IN (1, 2)), ',') WHEN decision = 'fallback' THEN '1,2' ELSE '' END AS shown_ids FROM decided""")
 def decision_chain(spark, sf_dir):
-    return _decided(spark, sf_dir).select("query_id", "decision", "final_answer", "final_tier", "final_confidence", "output_validation", "prompt_snapshot_reason")
+    return _decided(spark, sf_dir).select("query_id", "decision", "final_answer", "final_tier", "final_confidence", "output_validation", "prompt_snapshot_reason", F.array_join(F.col("final_citations.citation_id").cast("array<string>"), ",").alias("shown_ids"))
 
 
 @query("audit_rows", f"""WITH {_CHAIN} SELECT sha256(request_id) AS trace_id, sha256(CASE WHEN NOT refuse AND NOT pii THEN query ELSE {sql_redact('s')} END) AS query_hash,
- CASE WHEN decision = 'answer' THEN answer_tier WHEN decision = 'fallback' AND n % 6 <> 5 THEN tier ELSE 'hard_refuse' END AS refusal_tier, CASE WHEN decision = 'answer' THEN array_to_string(ids, ',') ELSE '' END AS citation_ids FROM decided""")
+ CASE WHEN decision = 'answer' THEN answer_tier WHEN decision = 'fallback' AND n % 6 <> 5 THEN tier ELSE 'hard_refuse' END AS refusal_tier, CASE WHEN decision = 'answer' THEN array_to_string(ids, ',') ELSE '' END AS citation_ids,
+ '2024-06-01 00:00:00' AS asked_at, '2024-06-01 00:00:02' AS answered_at, CASE WHEN decision = 'policy_refusal' THEN 0 ELSE 1 END AS n_retrieved, '{S.INPUT_POLICY_VERSION}' AS policy_version, CASE WHEN decision <> 'policy_refusal' THEN tier END AS evidence_policy,
+ CASE decision WHEN 'policy_refusal' THEN 'skipped_input_refusal' WHEN 'evidence_refusal' THEN 'skipped_hard_refusal' WHEN 'answer' THEN 'passed' ELSE 'failed' END AS output_validation, 'provider-x' AS model FROM decided""")
 def audit_rows(spark, sf_dir):
-    rows = A.audit_rows(_decided(spark, sf_dir))
-    return rows.select("trace_id", "query_hash", "refusal_tier", F.array_join(F.col("citation_ids").cast("array<string>"), ",").alias("citation_ids"))
+    chunk = F.struct(F.lit("c1").alias("chunk_id"), F.lit("r1").alias("record_id"), F.lit("s1").alias("source_id"), F.lit(1.0).alias("score"), F.lit(1.0).alias("normalized_score"))
+    asked_at = F.lit("2024-06-01").cast("timestamp")
+    decided = _decided(spark, sf_dir).withColumn("retrieved_chunks", F.array(chunk))
+    rows = A.audit_rows(decided, asked_at, asked_at + F.expr("INTERVAL 2 SECONDS"), F.to_json(F.struct(F.lit("provider-x").alias("model"))))
+    told = lambda name: F.get_json_object("guardrail_results", f"$.{name}")
+    return rows.select(
+        "trace_id", "query_hash", "refusal_tier", F.array_join(F.col("citation_ids").cast("array<string>"), ",").alias("citation_ids"),
+        F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("asked_at"), F.date_format("response_timestamp", "yyyy-MM-dd HH:mm:ss").alias("answered_at"), F.size("retrieved_chunks").alias("n_retrieved"),
+        told("input_safety_policy_version").alias("policy_version"), told("evidence_policy").alias("evidence_policy"), told("output_validation").alias("output_validation"), F.get_json_object("model_config", "$.model").alias("model"),
+    )
 
 
 @query("leak_check", f"""WITH {C.REQUESTS_SQL}, r AS (SELECT request_id, {sql_redact('query')} AS published FROM requests UNION ALL SELECT request_id || '!', query FROM requests WHERE n % 10 = 1)
@@ -278,4 +289,4 @@ def answer_requests(spark, sf_dir):
     replies = C.answers(spark, sf_dir).select(F.col("request_id").alias("query_id"), F.col("answer").alias("provider_content"))
     parsed = A.parse_provider(prompt.join(replies, "query_id", "left"), "provider_content", "refusal_tier", "confidence", "allowed_ids")
     decided = A.decide(A.validate_answers(S.output_safety(parsed, "answer")), POLICY_REFUSAL)
-    return decided.select("query_id", "decision", "final_tier", "final_confidence", "output_validation")
+    return decided.select("query_id", "decision", "final_tier", "final_confidence", "output_validation", F.array_join(F.col("final_citations.chunk_id"), ",").alias("cited_chunks"))
