@@ -74,8 +74,18 @@ def pdf_page_records(pages: DataFrame) -> DataFrame:
     return p.withColumn("citation_anchors", F.array(anchor)).withColumn("source_text_trust", F.lit(TRUST_LABEL))
 
 
-def attachment_records(attachments: DataFrame, parents: DataFrame, limit: int = MAX_ATTACHMENTS) -> DataFrame:
-    """O-18: attachments (parent_id, position, url, label) inherit dates from the parent and carry two anchors."""
+def surplus_attachments(attachments: DataFrame, limit: int) -> DataFrame:
+    """The attachments that ``attachment_records`` leaves out, with a reason."""
+    order = Window.partitionBy("parent_id").orderBy("position")
+    rest = attachments.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") > limit).drop("_rn")
+    return rest.withColumn("reason", F.lit(f"more than {limit} attachments"))
+
+
+def attachment_records(attachments: DataFrame, parents: DataFrame, limit: int) -> DataFrame:
+    """O-18: the first ``limit`` attachments (parent_id, position, url, label) of each parent inherit its dates and carry two anchors.
+
+    ``surplus_attachments`` gives the others.
+    """
     order = Window.partitionBy("parent_id").orderBy("position")
     first = attachments.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= limit).drop("_rn")
     p = parents.select(F.col("record_id").alias("parent_id"), F.col("canonical_url").alias("parent_url"), F.col("title").alias("parent_title"), "posted_at", "deadline_status", "deadline_raw_text")

@@ -53,17 +53,23 @@ def query_terms(queries: DataFrame, synonym_groups: Sequence[Sequence[str]] = SY
     return parts.filter(~F.col("term").isin(*fillers)).distinct()
 
 
-def with_defaults(queries: DataFrame) -> DataFrame:
-    """Fill in the optional columns and bound ``top_k`` to 0..25."""
+def with_defaults(queries: DataFrame, max_top_k: int = MAX_TOP_K) -> DataFrame:
+    """Fill in the optional columns and bound ``top_k`` to 0..``max_top_k``; ``clamped`` tells whose wish was larger."""
     have = set(queries.columns)
     k = F.coalesce(F.col("top_k"), F.lit(DEFAULT_TOP_K)) if "top_k" in have else F.lit(DEFAULT_TOP_K)
-    out = queries.withColumn("top_k", F.greatest(F.lit(0), F.least(k.cast("int"), F.lit(MAX_TOP_K))))
+    out = queries.withColumn("top_k", F.greatest(F.lit(0), F.least(k.cast("int"), F.lit(max_top_k))))
     for name in FILTERS:
         current = F.col(name) if name in have else F.lit(None).cast("array<string>")
         out = out.withColumn(name, F.when(F.size(F.coalesce(current, F.array().cast("array<string>"))) > 0, current))
     return out.filter("top_k > 0")
 
 
+def clamped(queries: DataFrame, max_top_k: int = MAX_TOP_K) -> DataFrame:
+    """(query_id, top_k_requested, top_k) of the queries that ask for more rows than ``retrieve`` gives, or for fewer than none."""
+    asked = queries.filter(~F.col("top_k").between(0, max_top_k))
+    return asked.select("query_id", F.col("top_k").alias("top_k_requested"), F.greatest(F.lit(0), F.least(F.col("top_k"), F.lit(max_top_k))).cast("int").alias("top_k"))
+
+
 def passes_filters() -> Column:
     """O-67: a missing or empty list lets everything pass."""
     ok = F.lit(True)
@@ -109,13 +115,13 @@ def _hits(index: DataFrame, terms: DataFrame, small: bool, keep: Sequence[str])
 
 def retrieve(index: DataFrame, queries: DataFrame, ref_ts: Column, use_nfkc: bool = True,
              synonym_groups: Sequence[Sequence[str]] = SYNONYM_GROUPS, fillers: Sequence[str] = FILLER_TERMS,
-             listing_terms: Sequence[str] = LISTING_TERMS) -> DataFrame:
+             listing_terms: Sequence[str] = LISTING_TERMS, max_top_k: int = MAX_TOP_K) -> DataFrame:
     """O-108: (query_id, chunk_id, rank, score, normalized_score, features) of the best ``top_k`` chunks per query.
 
     ``index`` should be stored (``store_index``): it is read once for lengths,
     once for document frequencies and once for scoring.
     """
-    queries = with_defaults(queries)
+    queries = with_defaults(queries, max_top_k)
     terms = written(query_terms(queries, synonym_groups, fillers, use_nfkc), "query-terms")
     listing = terms.groupBy("query_id").agg(F.bool_or(F.col("term").isin(*listing_terms)).alias("listing"))
     # a number per query keeps the keys of the large aggregate and sort short
@@ -155,8 +161,8 @@ def retrieve(index: DataFrame, queries: DataFrame, ref_ts: Column, use_nfkc: boo
         .withColumn("score", total_score())
         .filter("score > 0")
     )
-    best = _best(scored, "qn").join(asked.select("qn", "query_id", "top_k"), "qn").select("query_id", "chunk_id", "top_k", *FEATURES, "score")
-    unmatched = zero_match_candidates(state, asked)
+    best = _best(scored, "qn", max_top_k).join(asked.select("qn", "query_id", "top_k"), "qn").select("query_id", "chunk_id", "top_k", *FEATURES, "score")
+    unmatched = zero_match_candidates(state, asked, max_top_k)
     return rank_candidates(best.unionByName(unmatched))
 
 
@@ -164,18 +170,18 @@ def _answerable() -> Column:
     return (F.col("boilerplate_penalty") < 2).cast("int")
 
 
-def _best(scored: DataFrame, key: str) -> DataFrame:
-    """The best 25 rows per query, answerable ones first."""
+def _best(scored: DataFrame, key: str, most: int) -> DataFrame:
+    """The best rows per query, as many as any query may get, answerable ones first."""
     order = Window.partitionBy(key).orderBy(_answerable().desc(), F.col("score").desc(), F.col("chunk_id"))
-    return scored.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= MAX_TOP_K).drop("_rn")
+    return scored.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= most).drop("_rn")
 
 
-def zero_match_candidates(state: DataFrame, asked: DataFrame) -> DataFrame:
+def zero_match_candidates(state: DataFrame, asked: DataFrame, most: int = MAX_TOP_K) -> DataFrame:
     """O-80: best chunks per query by the part of the score that needs no matching term.
 
-    First the best 25 per combination of filter attributes, cut inside each
+    First the best ``most`` per combination of filter attributes, cut inside each
     task; then per used filter pattern; then equi-joins with the queries' filter
-    values.  A chunk beyond position 25 has 25 others above it whatever they match.
+    values.  A chunk beyond position ``most`` has as many others above it whatever they match.
     """
     attributes = list(FILTERS.values())
     flagged = state.select("chunk_id", *attributes, "freshness_boost", "boilerplate_penalty", F.explode(F.array(F.lit(True), F.lit(False))).alias("listing"))
@@ -185,7 +191,7 @@ def zero_match_candidates(state: DataFrame, asked: DataFrame) -> DataFrame:
 
     def cut(df: DataFrame, keys: list[str]) -> DataFrame:
         order = Window.partitionBy(*keys).orderBy(F.col("score").desc(), F.col("chunk_id"))
-        return df.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= MAX_TOP_K).drop("_rn")
+        return df.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= most).drop("_rn")
 
     wanted = asked.withColumn("mask", sum((F.when(F.col(v).isNotNull(), 1 << bit).otherwise(0) for bit, v in enumerate(FILTERS)), F.lit(0)))
     used = sorted(r.mask for r in wanted.select("mask").distinct().collect())  # at most 2 ** len(FILTERS) numbers

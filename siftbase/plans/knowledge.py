@@ -313,7 +313,7 @@ def pdf_pages(spark, sf_dir):
 
 
 @query("attachments", """WITH a AS (SELECT l_orderkey AS parent_id, l_orderkey * 100 + l_linenumber AS position, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn FROM lineitem)
-SELECT a.parent_id, a.rn, o.o_orderstatus AS deadline_status, 2 AS anchors FROM a JOIN orders o ON o.o_orderkey = a.parent_id WHERE rn <= 5""")
+SELECT a.parent_id, a.rn, o.o_orderstatus AS deadline_status, CASE WHEN rn <= 5 THEN 2 END AS anchors, CASE WHEN rn > 5 THEN 'more than 5 attachments' END AS reason FROM a JOIN orders o ON o.o_orderkey = a.parent_id""")
 def attachments(spark, sf_dir):
     from pyspark.sql import Window
 
@@ -324,8 +324,9 @@ def attachments(spark, sf_dir):
         F.col("o_orderkey").alias("record_id"), F.concat(F.lit("https://example.com/o/"), "o_orderkey").alias("canonical_url"), F.lit("order").alias("title"),
         F.col("o_orderdate").alias("posted_at"), F.col("o_orderstatus").alias("deadline_status"), F.lit("").alias("deadline_raw_text"),
     )
-    out = I.attachment_records(att, parents)
-    return out.select("parent_id", F.col("position").alias("rn"), "deadline_status", F.size("citation_anchors").alias("anchors"))
+    out = I.attachment_records(att, parents, I.MAX_ATTACHMENTS).select("parent_id", F.col("position").alias("rn"), "deadline_status", F.size("citation_anchors").alias("anchors"), F.lit(None).cast("string").alias("reason"))
+    rest = I.surplus_attachments(att, I.MAX_ATTACHMENTS).join(parents.select(F.col("record_id").alias("parent_id"), "deadline_status"), "parent_id")
+    return out.unionByName(rest.select("parent_id", F.col("position").alias("rn"), "deadline_status", F.lit(None).cast("int").alias("anchors"), "reason"))
 
 
 _NOISE_SQL = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '(?is)<script\\b[^>]*>.*?</script>', '', 'g'), '(?is)<style\\b[^>]*>.*?</style>', '', 'g'), '(?is)<noscript\\b[^>]*>.*?</noscript>', '', 'g'), '(?is)<nav\\b[^>]*>.*?</nav>', '', 'g'), '(?is)<footer\\b[^>]*>.*?</footer>', '', 'g')"
