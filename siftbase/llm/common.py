@@ -3,6 +3,8 @@ byte arrays, word and shingle hashes, and joins that survive a hot key."""
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,6 +20,21 @@ HOT_SHARE = 1 / 1000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+@contextmanager
+def small_batches(spark, size: str = "8m"):
+    """Arrow batches of at most ``size`` for the jobs inside; the session's own setting is put back.
+
+    For passes whose rows are long: a batch is held by the executor and by its worker at once.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def crc_bucket(doc_id: str, parts: int) -> Column:
     """crc32 of the decimal text of an id, modulo ``parts``: the fold of a row."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts
