@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from siftbase.functions import text as T, urls as U
+from siftbase.functions import dates as D, text as T, urls as U
+from siftbase.operators import html as H
 from siftbase.schemas import TRUST_LABEL
 from siftbase.session import broadcast_if_small
 
@@ -63,6 +64,43 @@ def post_records(posts: DataFrame, boards: DataFrame) -> DataFrame:
     )
 
 
+LIST_TITLE = r"(?:^|\n)목록\n(.+?)\s+Hit\s+\d+"
+POSTED = r"20\d{2}[.\-/년]\s*(?:1[0-2]|0?[1-9])[.\-/월]\s*(?:3[01]|[12]\d|0?[1-9])(?:일)?"
+
+
+def page_records(pages: DataFrame, source: dict[str, str], fetched_at: Column, ref_ts: Column, title_suffix: str = "", anchor_label: str = "", keep: Sequence[str] = ()) -> DataFrame:
+    """O-14, O-15: (url, html) to one record per page.
+
+    The title is the first of: heading of the view, heading of the article,
+    any second-level heading, the line under a list mark, the document's title
+    without ``title_suffix`` (a pattern).  The date of a ``time`` element comes
+    before the first date of the page's text.  ``source`` gives source_id,
+    source_name, category, collection_category, source_family and
+    category_label_ko.  Pages without title or body are kept; ``recordability``
+    tells why they are of no use.
+    """
+    times = F.regexp_extract_all("html", F.lit(r"(?is)<time\s[^>]*datetime=[\"']([^\"']*)[\"']"), F.lit(1))
+    scope = F.regexp_extract("html", r"(?is)<body\b[^>]*>(.*)$", 1)
+    shown = H.strip_tags(F.when(scope != "", scope).otherwise(F.col("html")), H.NOISE_TAGS)
+    dated = F.coalesce(F.get(F.filter(times, lambda t: D.posted_date(t).isNotNull()), F.lit(0)), F.regexp_extract(shown, POSTED, 0))
+    staged = pages.select(*keep, "url", "html", T.clean_inline(dated).alias("posted_raw_text"), F.regexp_replace(H.page_title("html"), title_suffix, "").alias("_document"))
+    p = H.page_texts(staged, [*keep, "url", "posted_raw_text", "_document"], titles=H.DETAIL_TITLE[:-1])
+    given = lambda c: F.when(c != "", c)
+    title = F.coalesce(given(T.clean_inline("title")), given(T.clean_inline(F.regexp_extract("body_text", LIST_TITLE, 1))), F.trim("_document"))
+    p = p.withColumn("title", title).withColumn("canonical_url", U.canonical("url"))
+    posted = F.col("posted_raw_text")
+    raw = F.concat_ws("\n", given(F.col("title")), F.when(posted != "", F.concat(F.lit("작성일 "), posted)), given(F.col("body_text")), F.concat(F.lit("공식 상세 URL: "), "canonical_url"))
+    p = p.withColumn("raw_text", raw).withColumn("cleaned_text", T.clean_block("raw_text")).withColumn("posted_at", F.try_to_timestamp(D.posted_date(posted)))
+    p = with_ids(p.withColumns({k: F.lit(v) for k, v in source.items()}), ("cleaned_text", "canonical_url"))
+    p = p.withColumn("_deadline", D.classify_deadline(F.concat_ws("\n", "title", "body_text"), ref_ts))
+    anchor = F.struct(F.col("canonical_url").alias("url"), F.concat(F.lit(anchor_label), "title").alias("label"), F.lit(None).cast("int").alias("page_number"))
+    return p.select(
+        *keep, "record_id", "source_id", "source_name", F.col("canonical_url").alias("source_url"), "canonical_url", "title", "category", "collection_category", "source_family", "category_label_ko",
+        fetched_at.alias("fetched_at"), "posted_at", F.col("_deadline.status").alias("deadline_status"), F.coalesce(F.col("_deadline.deadline_raw_text"), F.lit("")).alias("deadline_raw_text"),
+        "raw_text", "cleaned_text", "content_hash", F.array(anchor).alias("citation_anchors"), F.lit(TRUST_LABEL).alias("source_text_trust"),
+    )
+
+
 def pdf_page_records(pages: DataFrame) -> DataFrame:
     """O-17: (source_id, source_name, source_url, page_number, raw_text) to one record per non-empty page."""
     p = pages.withColumn("cleaned_text", T.clean_block("raw_text")).filter("cleaned_text <> ''")

@@ -355,6 +355,23 @@ def page_text(spark, sf_dir):
     return H.page_texts(table(spark, sf_dir, "pages"), ["page_id"], titles=("article h1", "h1", "title")).select("page_id", "title", "body_text")
 
 
+_PAGE_SOURCE = {"source_id": "pages", "source_name": "Pages", "category": "notices", "collection_category": "notice", "source_family": "family0", "category_label_ko": "공지사항"}
+
+
+@query("page_records", f"""WITH p AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS url, {sql_collapse(sql_unescape("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))} AS title, {sql_clean(sql_strip(_ARTICLE))} AS body,
+  CASE page_id % 3 WHEN 0 THEN '2024-03-05T09:00' WHEN 1 THEN '2024. 4. 7' ELSE '' END AS posted, CASE page_id % 3 WHEN 0 THEN '2024-03-05T00:00:00.000Z' WHEN 1 THEN '2024-04-07T00:00:00.000Z' END AS posted_at FROM pages),
+r AS (SELECT *, {sql_clean("concat_ws(chr(10), nullif(title, ''), CASE WHEN posted <> '' THEN '작성일 ' || posted END, nullif(body, ''), '공식 상세 URL: ' || url)")} AS cleaned FROM p),
+h AS (SELECT *, sha256(cleaned || chr(31) || url) AS content_hash FROM r)
+SELECT page_id, title, url AS canonical_url, posted_at, 'unknown' AS deadline_status, content_hash, sha256('pages' || chr(31) || url || chr(31) || title || chr(31) || coalesce(posted_at, '') || chr(31) || content_hash) AS record_id, '상세: ' || title AS label FROM h""")
+def page_records(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    i = F.col("page_id")
+    dated = F.when(i % 3 == 0, "</article><time datetime='soon'>x</time><time datetime='2024-03-05T09:00'>x</time><p>2023.1.1</p>").when(i % 3 == 1, "</article><p>등록 2024. 4. 7 조회</p>").otherwise("</article>")
+    p = p.select("page_id", "url", F.replace("html", F.lit("</article>"), dated).alias("html"))
+    r = I.page_records(p, _PAGE_SOURCE, C.ref_ts(), C.ref_ts(), anchor_label="상세: ", keep=["page_id"])
+    return r.select("page_id", "title", "canonical_url", I.iso("posted_at").alias("posted_at"), "deadline_status", "content_hash", "record_id", F.col("citation_anchors")[0]["label"].alias("label"))
+
+
 @query("post_extraction", f"""WITH b AS (SELECT page_id, {sql_collapse(sql_unescape('regexp_extract(html, ' + chr(39) + '(?is)<h1[^>]*>(.*?)</h1>' + chr(39) + ', 1)'))} AS title,
   {sql_clean(sql_strip('regexp_replace(' + _NOISE_SQL.format(x='html') + ', ' + chr(39) + '(?is)^.*<body[^>]*>' + chr(39) + ', ' + chr(39) * 2 + ')'))} AS body FROM pages)
 SELECT page_id, title, CASE WHEN title = '' THEN 'empty title' WHEN length(body) < 20 THEN 'short body' END AS reason, length(body) AS body_length FROM b""")
