@@ -153,3 +153,20 @@ def test_scale_corpus(spark):
     assert rows[0].text == "채용정보 일반채용 job-posting source-f0 category-job_posting retrieval-token-0"
     assert (rows[0].chunk_id, rows[0].deadline_status, rows[11].deadline_status, rows[13].deadline_status, rows[1].deadline_status) == ("synthetic-chunk-000000", "active", "active", "expired", "unknown")
     assert rows[4].title == "취업 프로그램 synthetic scale record 4" and rows[10].content_hash == "a".rjust(64, "0")
+
+
+def test_page_records(spark):
+    source = {"source_id": "s", "source_name": "S", "category": "c", "collection_category": "notice", "source_family": "f", "category_label_ko": "k"}
+    pages = [
+        (1, "https://example.com/1", '<html><body><div class="board-view"><p class="title"> 제목  하나 </p><div class="board-content">본문입니다<br>접수 마감: 2024.3.9</div></div>2024.1.2</body></html>'),
+        (2, "https://example.com/2#x", "<html><title>둘째 - 취업정보</title><body><article>본문 <time datetime='none'>a</time><time datetime='2024-05-06'>b</time> 2020.1.1</article></body></html>"),
+        (3, "https://example.com/3", "<html><title>셋째</title><body><main>목록\n글 제목 Hit 12\n내용</main></body></html>"),
+        (4, "https://example.com/4", ""),
+    ]
+    df = spark.createDataFrame(pages, "page_id int, url string, html string")
+    now = F.lit(datetime(2024, 2, 1))
+    got = {r.page_id: r for r in I.page_records(df, source, now, now, r"\s*-\s*취업정보\s*$", "상세: ", ["page_id"]).collect()}
+    assert [got[i].title for i in (1, 2, 3, 4)] == ["제목 하나", "둘째", "글 제목", ""]
+    assert [got[i].posted_at and got[i].posted_at.strftime("%Y-%m-%d") for i in (1, 2, 3, 4)] == ["2024-03-09", "2024-05-06", None, None]
+    assert got[2].canonical_url == "https://example.com/2" and got[2].citation_anchors[0].label == "상세: 둘째"
+    assert got[1].raw_text.split("\n")[0] == "제목 하나" and got[1].raw_text.endswith("공식 상세 URL: https://example.com/1") and len(got[1].record_id) == 64
