@@ -9,7 +9,7 @@ at an anchor, at some distance d left of it; anchors are about 50 bytes apart.
    whose token occurs once cannot lie in a repeated string.
 2. Suffixes of the other anchors are range-partitioned by leading token, with
    splitters sampled from these tokens, and sent with the bytes on both sides.
-   Equal suffixes of one chunk of documents are sent once.
+   Equal suffixes of one task are sent once.
 3. Each bucket sorts its suffixes by multikey quicksort, rightwards behind the
    token and, mirrored, leftwards before it, and takes the common lengths of
    neighbours.  For each d, strings are equal if their leftward d and rightward
@@ -25,10 +25,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from siftbase.llm.common import Powers, mixed, runs, slices, span_hashes, split_by_ids, utf8
+from siftbase.llm.common import Powers, mixed, rolling_hashes, runs, slices, small_batches, split_by_ids, utf8
 from siftbase.llm.registry import query, table
 from siftbase.session import written
 
@@ -36,8 +37,8 @@ from siftbase.session import written
 LENGTH, TOKEN = 200, 100
 _SPREAD = LENGTH - TOKEN + 1
 
-#: Bytes of text of a group of token counts and of a bucket of suffixes, bytes of a chunk.
-COUNT_BYTES, BUCKET_BYTES, CHUNK_BYTES = 96 << 20, 48 << 20, 8 << 20
+#: Bytes of text of a group of token counts and of a bucket of suffixes.
+COUNT_BYTES, BUCKET_BYTES = 64 << 20, 8 << 20
 
 #: Bits of the filter of repeated tokens per token, and at most (64 MB, the bound of its broadcast).
 SPARSITY, MOST_BITS = 16, 1 << 29
@@ -53,20 +54,24 @@ def anchors(data: np.ndarray, offsets: np.ndarray, pw: Powers) -> tuple[np.ndarr
     n = len(data)
     if n < LENGTH:
         return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
-    at = np.arange(n - TOKEN + 1)
-    token = span_hashes(data, at, at + TOKEN, pw)
+    token = rolling_hashes(data, TOKEN, pw)
     bits = np.uint64(int(n).bit_length())
-    least = ((token >> bits) << bits) | at.astype(np.uint64)
+    least = token >> bits
+    least <<= bits
+    least |= np.arange(len(token), dtype=np.uint64)
     span = 1
     while 2 * span <= _SPREAD:
         least = np.minimum(least[:-span], least[span:])
         span *= 2
     rest = _SPREAD - span
     least = np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
-    anchor = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)  # of the string at every start
-    row = np.searchsorted(offsets, at[: len(anchor)], side="right") - 1
-    starts = np.flatnonzero(at[: len(anchor)] + LENGTH <= offsets[row + 1])
-    anchor = anchor[starts]
+    least &= (np.uint64(1) << bits) - np.uint64(1)  # the anchor of the string at every start
+    inside = np.ones(len(least), bool)
+    close = np.maximum(offsets[1:] - LENGTH + 1, offsets[:-1])  # too close to a row's end
+    close_end = np.minimum(offsets[1:], len(least))
+    inside[runs(np.maximum(close_end - close, 0), close)] = False
+    starts = np.flatnonzero(inside)
+    anchor = least[starts].astype(np.int64)
     new = np.ones(len(starts), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)
     first = np.flatnonzero(new)
@@ -128,52 +133,75 @@ def _name(token, low, high, left, right) -> np.ndarray:
     return mixed(h)
 
 
+def _candidates(data, offsets, repeated, shift, pw):
+    """Anchors with a repeated token: token, nearest and farthest start, the bytes before (nearest first) and behind, row, place in the row."""
+    token, anchor, first, last = anchors(data, offsets, pw)
+    slot = token >> shift
+    keep = (repeated[(slot >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (slot & np.uint64(7)).astype(np.uint8))) & 1 > 0
+    token, anchor, first, last = token[keep], anchor[keep], first[keep], last[keep]
+    low, high = anchor - last, anchor - first
+    sides = []
+    for begin, step, length in ((anchor - 1, -1, high), (anchor + TOKEN, 1, LENGTH - TOKEN - low)):
+        side = np.zeros((len(anchor), _SIDE), np.uint8)
+        row = np.repeat(np.arange(len(anchor)), length)
+        k = runs(length, np.zeros(len(anchor), np.int64))
+        side[row, k] = data[begin[row] + step * k]
+        sides.append(side)
+    row = np.searchsorted(offsets, first, side="right") - 1
+    return token, low.astype(np.uint8), high.astype(np.uint8), *sides, row, (anchor - offsets[row]).astype(np.uint32)
+
+
 def _suffixes(shared, bits: int):
-    """Suffixes of anchors with a repeated token, dealt by splitter: (part, chunk, ...); and per chunk where they stand (part -1)."""
-    names = ["part", "chunk", "token", "low", "high", "left", "right", "which", "many", "key", "start"]
+    """Suffixes of anchors with a repeated token, dealt by splitter; and where they stand in documents (``key`` filled).
+
+    A task sends each of its different suffixes once: ``which`` numbers them, ``many`` tells whether a slice held it twice.
+    """
+    names = ["part", "task", "token", "low", "high", "left", "right", "which", "many", "key", "start"]
     types = [pa.int32(), pa.int64(), *[pa.binary()] * 9]
 
+    def packed(rows):
+        cells = [[x if i < 2 else (None if x is None else np.ascontiguousarray(x).tobytes()) for x in c] for i, c in enumerate(zip(*rows, strict=True))]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, types, strict=True)], names=names)
+
     def run(batches):
         repeated, splitters = shared.value
-        pw, number = Powers(), TaskContext.get().partitionId() << 32
+        pw, task, codec = Powers(), TaskContext.get().partitionId(), pa.Codec("zstd")
         shift = np.uint64(64 - (bits.bit_length() - 1))
+        sent, number, n_sent, turn = np.zeros(0, np.uint64), np.zeros(0, np.uint32), 0, 0
         for whole in batches:
-            for chunk in slices(whole, "text", CHUNK_BYTES):
-                held = []
-                for batch in slices(chunk, "text"):
-                    data, offsets = utf8(batch.column("text"))
-                    token, anchor, first, last = anchors(data, offsets, pw)
-                    slot = token >> shift
-                    keep = (repeated[(slot >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (slot & np.uint64(7)).astype(np.uint8))) & 1 > 0
-                    token, anchor, first, last = token[keep], anchor[keep], first[keep], last[keep]
-                    low, high = anchor - last, anchor - first  # distances of the strings' starts
-                    left, right = np.zeros((len(anchor), _SIDE), np.uint8), np.zeros((len(anchor), _SIDE), np.uint8)
-                    for k in range(TOKEN):  # byte k before the token, and behind it
-                        some = np.flatnonzero(high > k)
-                        left[some, k] = data[anchor[some] - 1 - k]
-                        some = np.flatnonzero(LENGTH - TOKEN - low > k)
-                        right[some, k] = data[anchor[some] + TOKEN + k]
-                    row = np.searchsorted(offsets, first, side="right") - 1
-                    key = batch.column("key").to_numpy()[row] if len(row) else np.zeros(0, np.int64)
-                    held.append((token, low.astype(np.uint8), high.astype(np.uint8), left, right, key, (anchor - offsets[row]).astype(np.uint32)))
-                token, low, high, left, right, key, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            for batch in slices(whole, "text"):
+                token, low, high, left, right, row, place = _candidates(*utf8(batch.column("text")), repeated, shift, pw)
                 if not len(token):
                     continue
                 name = _name(token, low, high, left, right)
-                _, once, which, many = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
-                part = np.searchsorted(splitters, token[once], side="right")
-                order = np.argsort(part, kind="stable")
-                edges = np.searchsorted(part[order], np.arange(len(splitters) + 2))
-                rows = []
+                name, once, inverse, many = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
+                at = np.searchsorted(sent, name)
+                known = np.zeros(len(name), bool)
+                inside = at < len(sent)
+                known[inside] = sent[at[inside]] == name[inside]
+                which = np.zeros(len(name), np.uint32)
+                which[known] = number[at[known]]
+                which[~known] = n_sent + np.arange(int((~known).sum()), dtype=np.uint32)
+                n_sent += int((~known).sum())
+                order = np.argsort(np.concatenate([sent, name[~known]]), kind="stable")
+                sent, number = np.concatenate([sent, name[~known]])[order], np.concatenate([number, which[~known]])[order]
+                key = batch.column("key").to_numpy()[row]
+                rows = [(turn % (len(splitters) + 1), task, *[None] * 5, which[inverse], None, key, place)]
+                turn += 1
+                again = known | (many > 1)  # what stands twice in a task is repeated, wherever else it stands
+                tell = np.flatnonzero(~known | again)
+                part = np.searchsorted(splitters, token[once[tell]], side="right")
+                by = np.argsort(part, kind="stable")
+                edges = np.searchsorted(part[by], np.arange(len(splitters) + 2))
                 for p in np.flatnonzero(np.diff(edges)):
-                    take = once[order[edges[p] : edges[p + 1]]]
+                    some = tell[by[edges[p] : edges[p + 1]]]
+                    new = some[~known[some]]
+                    take = once[new]
                     lefts = left[take][np.arange(_SIDE) < high[take][:, None]]
                     rights = right[take][np.arange(_SIDE) < (LENGTH - TOKEN - low[take].astype(np.int64))[:, None]]
-                    rows.append((p, number, token[take], low[take], high[take], lefts, rights, order[edges[p] : edges[p + 1]].astype(np.uint32), np.minimum(many[order[edges[p] : edges[p + 1]]], 2).astype(np.uint8), b"", b""))
-                rows.append((-1, number, *[b""] * 5, which.astype(np.uint32), b"", key, place))
-                number += 1
-                cells = [[x if i < 2 else (x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes()) for x in c] for i, c in enumerate(zip(*rows, strict=True))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, types, strict=True)], names=names)
+                    sides = [np.frombuffer(codec.compress(np.ascontiguousarray(x), asbytes=True), np.uint8) for x in (lefts, rights)]
+                    rows.append((p, task, token[take], low[take], high[take], *sides, np.concatenate([which[new], which[some[known[some]]]]), many[new] > 1, None, None))
+                yield packed(rows)
 
     return run
 
@@ -214,7 +242,7 @@ def repeated_distances(token, low, high, left, right, many) -> np.ndarray:
     """For every suffix a row of TOKEN + 1 marks: whether the string that starts d bytes before its anchor starts elsewhere, too."""
     n = len(token)
     found = np.zeros((n, TOKEN + 1), bool)
-    found[many > 1] = True
+    found[many] = True
     _, segment = np.unique(token, return_inverse=True)
     sides = []
     for side in (left, right):
@@ -237,31 +265,46 @@ def repeated_distances(token, low, high, left, right, many) -> np.ndarray:
     return found
 
 
-def _unpacked(flat: np.ndarray, length: np.ndarray) -> np.ndarray:
+def _unpacked(packed: pa.ChunkedArray, lengths: list[np.ndarray], length: np.ndarray) -> np.ndarray:
+    codec = pa.Codec("zstd")
+    flat = np.concatenate([np.frombuffer(codec.decompress(x.as_buffer(), int(n.sum(dtype=np.int64))), np.uint8) for x, n in zip(packed, lengths, strict=True)])
     out = np.zeros((len(length), _SIDE), np.uint8)
-    out[np.repeat(np.arange(len(length)), length), runs(length, np.zeros(len(length), np.int64))] = flat
+    out[np.arange(_SIDE) < length[:, None]] = flat
     return out
 
 
 def _bucket(splitters: np.ndarray):
+    """Per bucket: the marks of its repeated suffixes, task by task; places pass through."""
+    schema = pa.schema([("task", pa.int64()), ("which", pa.binary()), ("marks", pa.binary()), ("key", pa.binary()), ("start", pa.binary())])
+
     def run(group: pa.Table) -> pa.Table:
-        columns = {c: [np.frombuffer(x.as_buffer(), k) for x in group.column(c)] for c, k in (("token", "<u8"), ("low", "u1"), ("high", "u1"), ("left", "u1"), ("right", "u1"), ("which", "<u4"), ("many", "u1"))}
+        places = group.filter(pc.is_valid(group.column("key")))
+        group = group.filter(pc.is_null(group.column("key")))
+        out = pa.table({"task": places.column("task"), "which": places.column("which"), "marks": pa.nulls(len(places), pa.binary()), "key": places.column("key"), "start": places.column("start")}, schema=schema)
+        if not len(group):
+            return out
+        columns = {c: [np.frombuffer(x.as_buffer(), k) for x in group.column(c)] for c, k in (("token", "<u8"), ("low", "u1"), ("high", "u1"), ("which", "<u4"), ("many", "?"))}
         token, low, high, many = (np.concatenate(columns[c]) for c in ("token", "low", "high", "many"))
         low, high = low.astype(np.int64), high.astype(np.int64)
         part = group.column("part")[0].as_py()
-        if (part > 0 and token.min() < splitters[part - 1]) or (part < len(splitters) and token.max() >= splitters[part]):
+        if len(token) and ((part > 0 and token.min() < splitters[part - 1]) or (part < len(splitters) and token.max() >= splitters[part])):
             raise ValueError("a suffix lies outside its bucket")
-        left = _unpacked(np.concatenate(columns["left"]), high)
-        right = _unpacked(np.concatenate(columns["right"]), TOKEN - low)
+        task = np.repeat(group.column("task").to_numpy(), [len(t) for t in columns["token"]])
+        which = np.concatenate([w[: len(t)] for w, t in zip(columns["which"], columns["token"], strict=True)])
+        # numbers beyond the suffixes of a row tell that an earlier suffix of the task stands there again
+        again_task = np.repeat(group.column("task").to_numpy(), [len(w) - len(t) for w, t in zip(columns["which"], columns["token"], strict=True)])
+        again = np.concatenate([w[len(t) :] for w, t in zip(columns["which"], columns["token"], strict=True)])
+        many = many | np.isin((task << 32) | which, (again_task << 32) | again)
+        left, right = _unpacked(group.column("left"), columns["high"], high), _unpacked(group.column("right"), [TOKEN - x.astype(np.int64) for x in columns["low"]], TOKEN - low)
         marks = np.packbits(repeated_distances(token, low, high, left, right, many), axis=1)
-        ends = np.cumsum([len(t) for t in columns["token"]])
-        some = marks.any(axis=1)
-        which, packed = [], []
-        for w, e in zip(columns["which"], ends, strict=True):
-            here = some[e - len(w) : e]
-            which.append(w[here].tobytes())
-            packed.append(marks[e - len(w) : e][here].tobytes())
-        return pa.table({"chunk": group.column("chunk"), "which": pa.array(which, pa.binary()), "marks": pa.array(packed, pa.binary())})
+        some = np.flatnonzero(marks.any(axis=1))
+        some = some[np.argsort(task[some], kind="stable")]
+        edge = np.flatnonzero(np.append(True, task[some][1:] != task[some][:-1])) if len(some) else some
+        ends = np.append(edge[1:], len(some))
+        found = [(int(task[some[a]]), which[some[a:b]].tobytes(), marks[some[a:b]].tobytes()) for a, b in zip(edge, ends, strict=True)]
+        n = len(found)
+        told = pa.table({"task": pa.array([f[0] for f in found], pa.int64()), "which": pa.array([f[1] for f in found], pa.binary()), "marks": pa.array([f[2] for f in found], pa.binary()), "key": pa.nulls(n, pa.binary()), "start": pa.nulls(n, pa.binary())}, schema=schema)
+        return pa.concat_tables([out, told])
 
     return run
 
@@ -269,29 +312,32 @@ def _bucket(splitters: np.ndarray):
 _MARK_BYTES = (TOKEN + 8) // 8
 
 
-def _covered(batches):
-    """Per chunk: results meet the places of its suffixes; (key, begin and end of each covered run) of every document with one."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            suffix, key, place = (np.frombuffer(row[c], k) for c, k in (("suffix", "<u4"), ("key", "<i8"), ("start", "<u4")))
-            marks = np.zeros((int(suffix.max()) + 1, _MARK_BYTES), np.uint8)
-            for r in row["results"]:
-                marks[np.frombuffer(r["which"], "<u4")] = np.frombuffer(r["marks"], np.uint8).reshape(-1, _MARK_BYTES)
-            hit = np.flatnonzero(marks.any(axis=1)[suffix])
-            out = {}
-            for at in range(0, len(hit), 100_000):
-                some = hit[at : at + 100_000]
-                i, d = np.nonzero(np.unpackbits(marks[suffix[some]], axis=1)[:, : TOKEN + 1])
-                start = place[some[i]].astype(np.int64) - d
-                order = np.lexsort((start, key[some[i]]))
-                keys, start = key[some[i]][order], start[order]
-                new = np.ones(len(keys), bool)
-                new[1:] = (keys[1:] != keys[:-1]) | (start[1:] > start[:-1] + 1)
-                first = np.flatnonzero(new)
-                last = np.append(first[1:], len(keys)) - 1
-                for k, a, b in zip(keys[first].tolist(), start[first].tolist(), (start[last] + LENGTH).tolist(), strict=True):
-                    out.setdefault(k, []).extend((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array([np.array(v, "<i8").tobytes() for v in out.values()], pa.binary())], names=["key", "spans"])
+def _covered(group: pa.Table) -> pa.Table:
+    """Per task: marks meet the places of its suffixes; (key, begin and end of each covered run) of every document with one."""
+    marked = group.filter(pc.is_valid(group.column("marks")))
+    which = [np.frombuffer(x.as_buffer(), "<u4") for x in marked.column("which")]
+    marks = np.zeros((1 + max((int(w.max()) for w in which), default=0), _MARK_BYTES), np.uint8)
+    for w, m in zip(which, marked.column("marks"), strict=True):
+        marks[w] = np.frombuffer(m.as_buffer(), np.uint8).reshape(-1, _MARK_BYTES)
+    out = {}
+    places = group.filter(pc.is_valid(group.column("key")))
+    for w, k, p in zip(places.column("which"), places.column("key"), places.column("start"), strict=True):
+        suffix, key, place = (np.frombuffer(x.as_buffer(), kind) for x, kind in ((w, "<u4"), (k, "<i8"), (p, "<u4")))
+        here = np.flatnonzero(suffix < len(marks))
+        i, d = np.nonzero(np.unpackbits(marks[suffix[here]], axis=1)[:, : TOKEN + 1])
+        i = here[i]
+        start = place[i].astype(np.int64) - d
+        order = np.lexsort((start, key[i]))
+        keys, start = key[i][order], start[order]
+        if not len(keys):
+            continue
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (start[1:] > start[:-1] + 1)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(keys)) - 1
+        for name, a, b in zip(keys[first].tolist(), start[first].tolist(), (start[last] + LENGTH).tolist(), strict=True):
+            out.setdefault(name, []).extend((a, b))
+    return pa.table({"key": pa.array(list(out), pa.int64()), "spans": pa.array([np.array(v, "<i8").tobytes() for v in out.values()], pa.binary())})
 
 
 def _cut(batches):
@@ -314,18 +360,9 @@ def _cut(batches):
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per row of ``docs``: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and ``kept``, the bytes that stay.
-
-    Texts are UTF-8 bytes, null counts as empty, and a string never crosses
-    documents.  Texts under 200 bytes lose nothing.  Repeated rows repeat each
-    other; null ids and other columns do not matter.  An empty table gives an empty result.
-    """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
-    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-
+def _spans(rows: DataFrame, size: int) -> DataFrame:
+    """(key, spans) of the documents that lose bytes, written."""
+    spark = rows.sparkSession
     parts = max(12, -(-size // COUNT_BYTES))
     tokens = rows.select("text").mapInArrow(_tokens(parts), "part int, tokens binary")
     again = written(tokens.groupBy("part").applyInArrow(_repeated, "part int, n long, tokens binary, sample array<long>"), "tokens")
@@ -341,16 +378,29 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     splitters = np.unique(np.array(found or [], np.int64).view(np.uint64) ^ np.uint64(1 << 63))
     shared = spark.sparkContext.broadcast((repeated, splitters))
 
-    schema = "part int, chunk long, token binary, low binary, high binary, left binary, right binary, which binary, many binary, key binary, start binary"
+    schema = "part int, task long, token binary, low binary, high binary, left binary, right binary, which binary, many binary, key binary, start binary"
     suffixes = rows.select("key", "text").where(F.octet_length("text") >= LENGTH).mapInArrow(_suffixes(shared, bits), schema)
-    suffixes = written(suffixes, "suffixes")
-    results = suffixes.where("part >= 0").groupBy("part").applyInArrow(_bucket(splitters), "chunk long, which binary, marks binary")
-    results = results.groupBy("chunk").agg(F.collect_list(F.struct("which", "marks")).alias("results"))
-    places = suffixes.where("part = -1").select("chunk", F.col("which").alias("suffix"), "key", "start")
-    spans = written(places.join(results, "chunk").mapInArrow(_covered, "key long, spans binary"), "spans")
+    told = written(suffixes.groupBy("part").applyInArrow(_bucket(splitters), "task long, which binary, marks binary, key binary, start binary"), "marks")
+    spans = told.groupBy("task").applyInArrow(_covered, "key long, spans binary")
     spans = spans.groupBy("key").agg(F.collect_set("spans").alias("spans"))
     spans = written(spans, "spans")
+    return spans
+
+
+def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row per row of ``docs``: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and ``kept``, the bytes that stay.
+
+    Texts are UTF-8 bytes, null counts as empty, and a string never crosses
+    documents.  Texts under 200 bytes lose nothing.  Repeated rows repeat each
+    other; null ids and other columns do not matter.  An empty table gives an empty result.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
 
+    with small_batches(spark):
+        spans = _spans(rows, size)
     maybe, certain = split_by_ids(rows, spans.select("key"), "key")
     met = maybe.join(spans, "key", "left").select("doc_id", "text", F.coalesce("spans", F.array().cast("array<binary>")).alias("spans"))
     cut = met.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
