@@ -232,7 +232,7 @@ def _event_stream(spark, sf_dir):
 
 @query("stream_audit", _HOURLY)
 def stream_audit(spark, sf_dir):
-    return _hourly(runs.run_available(runs.audit_count_stream(_event_stream(spark, sf_dir), "ts", "event_type"), "complete"))
+    return _hourly(runs.run_available(runs.audit_count_stream(_event_stream(spark, sf_dir), "ts", "event_type"), "update", ["window_start", "event_type"]))
 
 
 def _references(e):
@@ -269,7 +269,7 @@ def reference_list(spark, sf_dir):
 
 @query("stream_refs", _REFS)
 def stream_refs(spark, sf_dir):
-    return _refs_out(runs.run_available(runs.reference_stream(_references(_event_stream(spark, sf_dir)), ["at", "event_id"]), "complete"))
+    return _refs_out(runs.run_available(runs.reference_stream(_references(_event_stream(spark, sf_dir)), ["at", "event_id"]), "update", ["session", "url"]))
 
 
 def _preference_events(e):

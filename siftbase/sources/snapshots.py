@@ -11,10 +11,16 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 class SnapshotStore:
-    """O-21: ``path/version=n``; readers take the highest committed version."""
+    """O-21: ``path/version=n``; readers take the highest committed version.
 
-    def __init__(self, path: str):
-        self.path = path
+    ``keep``: after a write only so many committed versions stay; older ones are
+    removed, so a reader that lasts longer than ``keep`` writes needs a larger number.
+    """
+
+    def __init__(self, path: str, keep: int | None = None):
+        if keep is not None and keep < 1:
+            raise ValueError("keep must be at least 1")
+        self.path, self.keep = path, keep
 
     def versions(self, spark: SparkSession) -> list[int]:
         root = spark._jvm.org.apache.hadoop.fs.Path(self.path)
@@ -34,4 +40,10 @@ class SnapshotStore:
         done = self.versions(df.sparkSession)
         number = done[-1] + 1 if done else 1
         df.write.mode("overwrite").parquet(f"{self.path}/version={number}")
+        if self.keep is not None:
+            spark = df.sparkSession
+            root = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+            fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+            for old in [*done, number][: -self.keep]:
+                fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/version={old}"), True)
         return number

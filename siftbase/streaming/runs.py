@@ -49,12 +49,16 @@ def run_available(stream: DataFrame, mode: str, keys: list[str] | None = None) -
 
 
 def audit_count_stream(audit: DataFrame, ts: str, tier: str, width: str = "1 hour", lateness: str = "30 days") -> DataFrame:
-    """O-132 as a stream: rows later than ``lateness`` behind the newest are dropped."""
+    """O-132 as a stream, for update mode: a window's state goes once it is ``lateness`` behind the newest row.
+
+    Later rows of it are dropped, which the batch form never does; a caller whose
+    rows come later has to say so.
+    """
     return audit_counts(audit.withWatermark(ts, lateness), ts, tier, width)
 
 
 def reference_stream(events: DataFrame, order: list[str]) -> DataFrame:
-    """O-133 as a stream: the batch aggregate, kept as state per (session, url)."""
+    """O-133 as a stream, for update mode: the batch aggregate, kept as state per (session, url)."""
     return session_references(events, order)
 
 

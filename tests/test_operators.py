@@ -144,6 +144,8 @@ def test_snapshots_and_upsert_stream(spark, tmp_path):
     with pytest.raises(Exception):
         store.publish(spark.range(1).select(F.raise_error(F.lit("boom")).alias("x")))
     assert store.current(spark).count() == 2 and len(store.versions(spark)) == 2
+    short = SnapshotStore(store.path, keep=1)
+    assert short.publish(store.current(spark)) >= 3 and len(short.versions(spark)) == 1 and short.current(spark).count() == 2
 
 
 def test_p95_is_the_nearest_rank(spark):
