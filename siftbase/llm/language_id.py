@@ -130,11 +130,11 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     these two names are replaced, other columns pass; an empty table stays empty.
     """
     docs = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score")])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.priors, model.matrix))  # plain values: workers need no copy of this package
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):
-        model = shared.value
+        model = Model(*shared.value)
         for whole in batches:
             for batch in slices(whole, text):
                 data, offsets = utf8(batch.column(text))
