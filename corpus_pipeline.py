@@ -22,8 +22,17 @@ MIN_LANGUAGE_SCORE = 0.5
 ORACLE_SQL = None
 
 
+#: Bytes of an Arrow batch for the session that runs the pipeline: executors and their workers hold a few at a time.
+BATCH_BYTES = "8m"
+
+
+def _bounded(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled rows teach; texts without a letter and uncertain ones go."""
+    _bounded(spark)
     told = identify(docs, train(docs))
     return told.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
@@ -46,6 +55,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents with their places in sequences."""
+    _bounded(spark)
     return best_fit_packing(docs)
 
 

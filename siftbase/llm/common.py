@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 
 #: Rows are cut into slices of about so many text bytes before numpy sees them: temporaries stay in the cache and memory is bounded.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 #: A key that holds more than this share of the rows is hot; there are at most 1 / HOT_SHARE such keys, so their table may be broadcast.
 HOT_SHARE = 1 / 1000

@@ -37,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from siftbase.llm.common import Powers, broadcast_hot, lowered, mixed, slices, split_by_ids, utf8, windows, word_hashes
+from siftbase.llm.common import Powers, broadcast_hot, lowered, mixed, slices, small_batches, split_by_ids, utf8, windows, word_hashes
 from siftbase.llm.registry import query, table
 from siftbase.session import written
 
@@ -50,7 +50,7 @@ COUNTERS, MOST_FREQUENT, FREQUENT = 1 << 22, 1 << 17, 64
 DELETION_SEGMENTS = 4
 
 #: Index rows of one group of buckets.
-GROUP_ROWS = 2_000_000
+GROUP_ROWS = 1_000_000
 
 #: Index rows that a task holds before it deals them out.
 DEALT_ROWS = 400_000
@@ -450,6 +450,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     share an id count as one document in components.  An empty table gives an
     empty result; other columns are not read.
     """
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, text, doc_id)
+
+
+def _near_duplicates(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     described = written(rows.mapInArrow(_described, "doc_id long, n_shingles long, node long, slot long, sketch binary"), "described")
