@@ -170,7 +170,7 @@ def _answerable() -> Column:
     return (F.col("boilerplate_penalty") < 2).cast("int")
 
 
-def _best(scored: DataFrame, key: str, most: int) -> DataFrame:
+def _best(scored: DataFrame, key: str, most: int = MAX_TOP_K) -> DataFrame:
     """The best rows per query, as many as any query may get, answerable ones first."""
     order = Window.partitionBy(key).orderBy(_answerable().desc(), F.col("score").desc(), F.col("chunk_id"))
     return scored.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= most).drop("_rn")
