@@ -48,13 +48,13 @@ def run_available(stream: DataFrame, mode: str, keys: list[str] | None = None) -
     return rows.drop("_batch")
 
 
-def audit_count_stream(audit: DataFrame, ts: str, tier: str, width: str = "1 hour", lateness: str = "30 days") -> DataFrame:
-    """O-132 as a stream, for update mode: a window's state goes once it is ``lateness`` behind the newest row.
+def audit_count_stream(audit: DataFrame, ts: str, tier: str, width: str = "1 hour", lateness: str | None = None) -> DataFrame:
+    """O-132 as a stream, for update mode: every row counts, however late; the state is one row per window and tier.
 
-    Later rows of it are dropped, which the batch form never does; a caller whose
-    rows come later has to say so.
+    With ``lateness`` a window's state goes once it is that far behind the newest
+    row, and later rows of it are dropped, which the batch form never does.
     """
-    return audit_counts(audit.withWatermark(ts, lateness), ts, tier, width)
+    return audit_counts(audit.withWatermark(ts, lateness) if lateness else audit, ts, tier, width)
 
 
 def reference_stream(events: DataFrame, order: list[str]) -> DataFrame:

@@ -133,6 +133,18 @@ def test_optional_and_required_files(spark, tmp_path):
         jsonl.load_or_fail(spark, [str(tmp_path / "none.jsonl")], RECORD)
 
 
+def test_audit_stream_counts_late_rows(spark, tmp_path):
+    """Files that arrive one by one with ever older rows: each row counts, as in the batch form."""
+    folder = str(tmp_path / "audit")
+    for day in ("2024-06-01", "2024-03-01", "2024-01-01"):
+        spark.createDataFrame([(f"{day} 10:05:00", "a"), (f"{day} 10:20:00", "b")], "ts string, tier string").select(F.col("ts").cast("timestamp").alias("ts"), "tier").coalesce(1).write.mode("append").parquet(folder)
+    audit = spark.read.parquet(folder)
+    stream = runs.audit_count_stream(runs.file_stream(spark, folder, audit.schema, 1), "ts", "tier")
+    got = runs.run_available(stream, "update", ["window_start", "tier"])
+    want = SS.audit_counts(audit, "ts", "tier").select(got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 6
+
+
 def test_snapshots_and_upsert_stream(spark, tmp_path):
     inbox, store = str(tmp_path / "in"), SnapshotStore(str(tmp_path / "kb"))
     spark.createDataFrame([(1, "old"), (2, "keep")], "id long, v string").write.parquet(inbox)
