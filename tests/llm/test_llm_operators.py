@@ -164,6 +164,31 @@ def test_lm_scores(docs, rows, nothing):
     assert lm_score.lm_scores(nothing).count() == 0
 
 
+def test_lm_learns_from_all_training_rows(spark):
+    from types import SimpleNamespace
+
+    from siftbase.llm import attention as at
+    from siftbase.llm.common import mixed
+
+    rng = np.random.default_rng(8)
+    ids = [i for i in range(200) if int(mixed(np.array([i], np.uint64))[0]) % 16 and zlib.crc32(str(i).encode()) % 5 != 1][:12] + [i for i in range(50) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in ids]
+    table = spark.createDataFrame([(i, words(rng, 40), h) for i, h in zip(ids, held, strict=True)], "doc_id long, text string, held_out boolean").repartition(2)
+    chunks = table.mapInArrow(lm_score._chunks(12, VOCABULARY), lm_score._CHUNK).where("part = -1").cache()
+    start = at.initial()
+    p, vocab = lm_score.learned(chunks)
+    assert not np.allclose(p["classes"], start["classes"])  # none of these ids is a sixteenth one
+    batches = chunks.select("doc_ids", "ids", "lengths", "held").toArrow().to_batches()
+    shared = SimpleNamespace(value=(start, vocab.of, vocab.share))
+    learned = 0
+    for r in range(lm_score.ROUNDS):
+        for out in lm_score._local_training(shared, r, lm_score.ROUNDS)(iter(batches)):
+            learned += out.column("value").to_numpy()[out.column("entry").to_numpy() < 0].sum()
+    rows = [row for b in batches for row in b.to_pylist()]
+    want = sum(int(n) for row in rows for n, h in zip(np.frombuffer(row["lengths"], "<u4"), row["held"], strict=True) if not h)
+    assert learned == want  # each training id in one round
+
+
 def test_attention_model():
     from siftbase.llm import attention as at
 
