@@ -9,6 +9,11 @@ agree; documents that agree in a segment meet in a bucket.
   for the one or two values of m that its possible partners can need.
 * Subsets: it indexes its first H + 1 segments that hold anything; fewer of a
   partner's can be touched, so empty segments need no bucket.
+* No content, no bucket: an empty segment, or one that a deletion empties, would
+  name a bucket that all such documents share.  These index a prefix instead:
+  their first s - ceil(0.75 s) + 1 shingles, rare ones before frequent ones, of
+  which two similar sets share one.  Sets that only equal sets can be similar to
+  (H = 0) index nothing.
 * Allocation by cost: for small H each segment is worth two when its one-deletion
   neighbourhood is indexed too, which gives few, long, selective segments; for
   large H that would cost more rows than exact segments, which are used instead.
@@ -21,7 +26,7 @@ agree; documents that agree in a segment meet in a bucket.
 
 Buckets are numpy arrays dealt by hash.  Each bucket is first compared with its
 most ordinary member only (a star); then buckets whose members are still in
-different components are compared across these.  So a group of near copies costs
+different components are compared across these, large ones block by block.  So a group of near copies costs
 a star, and no link between different components is lost.  Before sets are
 fetched, a pair must pass the bound that parity sketches give: bits in which they
 differ are never more than the shingles in which the sets do.  Documents with
@@ -55,8 +60,11 @@ GROUP_ROWS = 1_000_000
 #: Index rows that a task holds before it deals them out.
 DEALT_ROWS = 400_000
 
-#: Kinds of bucket: segments over rare shingles, single rare shingles, segments over all shingles.
-_R, _T, _F = 0, 1, 2
+#: Members of a torn bucket that one task compares with each other or with as many others.
+BLOCK = 2048
+
+#: Kinds of bucket: segments over rare shingles, single rare shingles, segments over all shingles, shingles of a prefix.
+_R, _T, _F, _P = 0, 1, 2, 3
 
 
 def most_differences(total, similarity: Fraction = SIMILARITY):
@@ -181,7 +189,7 @@ def _exact_segments(h, row, log_m, needed, mode):
     nth = np.arange(len(rows)) - starts[rows]
     keep = nth < needed[rows]
     filled = np.bincount(rows, minlength=len(log_m))
-    return _name(content, segments, log_m[rows] + 64, mode)[keep], rows[keep], filled, (rows, segments)
+    return _name(content, segments, log_m[rows] + 64, mode)[keep], rows[keep], filled
 
 
 def index_entries(h: np.ndarray, offsets: np.ndarray, frequent: np.ndarray):
@@ -193,6 +201,7 @@ def index_entries(h: np.ndarray, offsets: np.ndarray, frequent: np.ndarray):
     n_frequent = np.bincount(row[is_frequent], minlength=n)
     low, high = _levels(sizes)
     names, rows, full = [], [], []
+    lacking = np.zeros(n, bool)  # rows with a segment that holds too little to name a bucket
 
     def add(name, which, over_all=False):
         names.append(name)
@@ -201,7 +210,7 @@ def index_entries(h: np.ndarray, offsets: np.ndarray, frequent: np.ndarray):
 
     # one-deletion neighbourhoods of few segments
     for k in range(1, DELETION_SEGMENTS + 1):
-        use = (sizes > 0) & (_few(np.maximum(low, 0)) <= k) & (_few(np.minimum(high, _DELETION_H)) >= k) & (low <= _DELETION_H)
+        use = (high > 0) & (_few(np.maximum(low, 0)) <= k) & (_few(np.minimum(high, _DELETION_H)) >= k) & (low <= _DELETION_H)
         mine = use[row]
         hh, rr = h[mine], row[mine]
         if not len(hh):
@@ -211,11 +220,10 @@ def index_entries(h: np.ndarray, offsets: np.ndarray, frequent: np.ndarray):
         content, rows_, segments, first = _content(value, rr, segment)
         add(_name(content, segments, k, _R), rows_)
         length = np.diff(np.append(first, len(hh)))
-        add(_name(np.repeat(content, length) - value, segment, k, _R), rr)
-        seen = np.zeros((n, k), bool)
-        seen[rows_, segments.astype(np.int64)] = True
-        bare = np.argwhere(~seen & use[:, None])
-        add(_name(np.zeros(len(bare), np.uint64), bare[:, 1], k, _R), bare[:, 0])
+        more = np.repeat(length > 1, length)
+        add(_name(np.repeat(content, length) - value, segment, k, _R)[more], rr[more])
+        lacking[rows_[length == 1]] = True
+        lacking |= use & (np.bincount(rows_, minlength=n) < k)
 
     # exact segments
     large = (sizes > 0) & (high > _DELETION_H)
@@ -230,20 +238,23 @@ def index_entries(h: np.ndarray, offsets: np.ndarray, frequent: np.ndarray):
         top = np.where(_log_segments(np.maximum(top + 1, 0)) == log_m, np.minimum(top + 1, high), top)
         needed = top + 1
         rare = use[row] & ~is_frequent
-        name, which, filled, _ = _exact_segments(h[rare], row[rare], log_m, needed, _R)
+        name, which, filled = _exact_segments(h[rare], row[rare], log_m, needed, _R)
         add(name, which)
         poor = use & (filled < needed)
         poor_any |= poor
         if poor.any():
             mine = poor[row]
-            name, which, filled, (rows_, segments) = _exact_segments(h[mine], row[mine], log_m, needed, _F)
+            name, which, filled = _exact_segments(h[mine], row[mine], log_m, needed, _F)
             add(name, which, True)
-            for i in np.flatnonzero(poor & (filled < needed)):
-                held = segments[np.searchsorted(rows_, i) : np.searchsorted(rows_, i + 1)]
-                bare = np.setdiff1d(np.arange(1 << log_m[i]), held.astype(np.int64))
-                add(_name(np.zeros(len(bare), np.uint64), bare, np.full(len(bare), log_m[i] + 64), _F), np.full(len(bare), i), True)
+            lacking |= poor & (filled < needed)
     token = poor_any[row] & ~is_frequent
     add(_name(h[token], np.zeros(int(token.sum()), np.uint64), 0, _T), row[token])
+    mine = np.flatnonzero(lacking[row])
+    mine = mine[np.lexsort((h[mine], is_frequent[mine], row[mine]))]
+    nth = np.arange(len(mine)) - np.searchsorted(row[mine], row[mine])
+    prefix = sizes + sizes * -SIMILARITY.numerator // SIMILARITY.denominator + 1
+    mine = mine[nth < prefix[row[mine]]]
+    add(_name(h[mine], np.zeros(len(mine), np.uint64), 0, _P), row[mine])
     return np.concatenate(names), np.concatenate(rows), np.concatenate(full), sizes - n_frequent, n_frequent
 
 
@@ -350,18 +361,22 @@ def _met(chunk: pa.Table) -> pa.Table:
 
 
 def _across(batches):
-    """Pairs of compatible members of different components, bucket by bucket; the rows come sorted by bucket."""
+    """Pairs of compatible members of different components, by bucket and pair of blocks; the rows come sorted by these."""
     rest = None
 
+    def edges(t: pa.Table):
+        keys = [t.column(c).to_numpy() for c in ("bucket", "low", "high")]
+        return np.flatnonzero(np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0)))
+
     def pairs(t: pa.Table):
-        bucket, node, label, rare, often, full = (t.column(c).to_numpy() for c in ("bucket", "node", "label", "rare", "frequent", "full"))
+        node, label, rare, often, full, low, high, block = (t.column(c).to_numpy() for c in ("node", "label", "rare", "frequent", "full", "low", "high", "block"))
         sketch, total = t.column("sketch").to_pylist(), rare.astype(np.int64) + often
-        edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        edge = edges(t)
         found = []
-        for a, b in zip(edge, np.append(edge[1:], len(bucket)), strict=True):
+        for a, b in zip(edge, np.append(edge[1:], len(node)), strict=True):
             for i in range(a, b, 256):
                 s, o = slice(i, min(i + 256, b)), slice(i, b)
-                ok = (label[s, None] != label[None, o]) & (np.arange(s.start, s.stop)[:, None] < np.arange(i, b)[None, :])
+                ok = (label[s, None] != label[None, o]) & ((low[a] == high[a]) | (block[s, None] != block[None, o])) & (np.arange(s.start, s.stop)[:, None] < np.arange(i, b)[None, :])
                 x, y = np.nonzero(ok)
                 x, y = x + i, y + i
                 fine = _compatible(rare[x], often[x], rare[y], often[y], full[x])
@@ -375,10 +390,9 @@ def _across(batches):
     for batch in batches:
         t = pa.Table.from_batches([batch])
         t = t if rest is None else pa.concat_tables([rest, t])
-        bucket = t.column("bucket").to_numpy()
-        if not len(bucket):
+        if not t.num_rows:
             continue
-        last = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on
+        last = int(edges(t)[-1])  # the last one may go on
         if last:
             yield pairs(t.slice(0, last))
         rest = t.slice(last)
@@ -481,9 +495,12 @@ def _near_duplicates(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     labels = components(links)
 
     told = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    torn = told.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+    torn = told.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low <> high").select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks"))
     told = told.join(torn, "bucket").join(sketches.select("node", "sketch"), "node")
-    cross = told.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_across, "a long, b long").distinct()
+    # a large bucket is dealt as pairs of blocks
+    told = told.withColumn("block", F.expr("pmod(xxhash64(node), blocks)")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    told = told.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("blocks", "other")
+    cross = told.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high").mapInArrow(_across, "a long, b long").distinct()
     more = written(_linked(written(cross.join(stars, ["a", "b"], "left_anti"), "cross"), rows, classes), "links")
     labels = components(links.union(more))
 

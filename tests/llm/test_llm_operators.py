@@ -456,6 +456,35 @@ def test_near_duplicates_at_all_sizes(spark, monkeypatch, frequent):
     assert got == {i: (n[i], label[i]) for i in range(len(texts))}
 
 
+def test_buckets_have_content():
+    """Distinct short texts without a common shingle meet nobody."""
+    from siftbase.llm.common import Powers
+
+    rng = np.random.default_rng(12)
+    texts = [" ".join("".join(rng.choice(list("abcdefghij"), 9)) for _ in range(n)).encode() for n in range(1, 40) for _ in range(60)]
+    h, offsets = near_dup.shingle_sets(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), Powers())
+    name, row, *_ = near_dup.index_entries(h, offsets, np.zeros(near_dup.COUNTERS, bool))
+    _, count = np.unique(np.unique(np.stack([name, row.astype(np.uint64)]), axis=1)[0], return_counts=True)
+    assert count.max() == 1
+
+
+def test_near_duplicates_in_blocks(spark, monkeypatch):
+    """Groups that share a passage, in buckets that are dealt in blocks of a few members."""
+    monkeypatch.setattr(near_dup, "BLOCK", 3)
+    rng = np.random.default_rng(21)
+    texts = []
+    for n in (9, 14, 30, 90):
+        hub = words(rng, n).split()
+        for _ in range(50):
+            other = list(hub)
+            for at in rng.integers(0, n, rng.integers(0, 1 + max(2, n // 15))):
+                other[at] = words(rng, 1) + "z"
+            texts.append(" ".join(other))
+    n, label = linked(texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).collect()}
+    assert got == {i: (n[i], label[i]) for i in range(len(texts))}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 40)] + [(100, 50), (50, 70), (70, 100), (-5, 200)]
     rng = np.random.default_rng(1)
