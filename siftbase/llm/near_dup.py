@@ -14,9 +14,9 @@ agree; documents that agree in a segment meet in a bucket.
   their first s - ceil(0.75 s) + 1 shingles, rare ones before frequent ones, of
   which two similar sets share one.  Sets that only equal sets can be similar to
   (H = 0) index nothing.
-* Allocation by cost: for small H each segment is worth two when its one-deletion
-  neighbourhood is indexed too, which gives few, long, selective segments; for
-  large H that would cost more rows than exact segments, which are used instead.
+* Allocation by a fixed switch: up to DELETION_SEGMENTS segments each is worth two,
+  as its one-deletion neighbourhood is indexed too, which gives few, long, selective
+  segments; for larger H exact segments are used.  No cost is computed from the data.
 * Frequent shingles: leaving any fixed set of shingles out of all documents never
   adds a difference.  Segments are therefore built from rare shingles.  A document
   with too few of them for the pigeonhole also indexes every rare shingle, and
@@ -51,7 +51,7 @@ WIDTH, SIMILARITY = 5, Fraction(3, 4)
 #: Counters for frequent shingles, how many may count as frequent, and from which number of documents on.
 COUNTERS, MOST_FREQUENT, FREQUENT = 1 << 22, 1 << 17, 64
 
-#: Up to so many segments, one-deletion neighbourhoods are cheaper than exact segments.
+#: Up to so many segments, one-deletion neighbourhoods are used instead of exact segments.
 DELETION_SEGMENTS = 4
 
 #: Index rows of one group of buckets.

@@ -10,7 +10,7 @@ at an anchor, at some distance d left of it; anchors are about 50 bytes apart.
 2. Suffixes of the other anchors are range-partitioned by leading token, with
    splitters sampled from these tokens, and sent with the bytes on both sides.
    Equal suffixes of one task are sent once.
-3. Each bucket sorts its suffixes by multikey quicksort, rightwards behind the
+3. Each bucket sorts its suffixes eight bytes at a time, rightwards behind the
    token and, mirrored, leftwards before it, and takes the common lengths of
    neighbours.  For each d, strings are equal if their leftward d and rightward
    100 - d bytes fall into the same runs.  A splitter is a leading token, so equal
@@ -207,10 +207,10 @@ def _suffixes(shared, bits: int):
 
 
 def multikey_order(words: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of rows of 8-byte words within segments, by multikey quicksort, and the bytes each shares with the one before.
+    """Order of rows of 8-byte words within segments, and the bytes each shares with the one before.
 
-    All segments that still hold several rows are split by their next word at
-    once; rows of different ``segment`` share -1.
+    All segments that still hold several rows are sorted by their next word at
+    once, without pivots; rows of different ``segment`` share -1.
     """
     n, width = words.shape
     order = np.argsort(segment, kind="stable")
