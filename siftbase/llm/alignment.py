@@ -3,18 +3,13 @@
 Both encode a blank and the text.  The cumulative byte ends of the ids are keys
 of two end-to-index dictionaries; their common keys, sorted, slice both id lists
 into groups, and within a group every pair of tokens whose byte ranges overlap
-is a link.
-
-Neither tokenizer joins bytes across a single blank before a visible character:
-the first one's pattern starts a piece there, and no piece of the second holds a
-blank behind another character (tested when it is loaded).  Both end there, so
-the groups of a text are those of its parts between such places, and a task
-encodes and aligns each distinct part once.
+is a link.  A slice of rows is one stream of ids, since both tokenizers end where
+a text ends; numpy expands its links and writes its groups.
 
 Corpus-wide counts of linked id pairs never meet the documents whole: rows go in
-chunks of a few megabytes of text, a chunk sends each of its distinct pairs once
-with its number of links, pairs are summed by Spark, and the sums come back to
-the chunks that hold them.
+chunks of some megabytes of text, a chunk sends each of its distinct pairs once
+with its number of links, Spark sums them, and the sums come back to the chunks
+that hold the pair.
 """
 
 from __future__ import annotations
@@ -27,18 +22,16 @@ import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from siftbase.llm.common import slices, small_batches, spans_of
+from siftbase.llm.common import runs, slices, small_batches, spans_of, utf8
 from siftbase.llm.registry import query, table
+from siftbase.llm.tokens import Ids
 from siftbase.session import written
 
 #: The two vocabularies: a byte-level BPE of the tokenizers library and a BPE with byte fallback of sentencepiece.
 FIRST, SECOND = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
-#: Distinct parts that a task remembers, and text bytes of a chunk of rows.
-REMEMBERED, CHUNK_BYTES = 120_000, 4 << 20
-
-#: A blank that follows no other blank and precedes a byte that starts no white space in any script.
-CUT = rb"(?<! ) (?=[!-~\xC3-\xDF\xE4-\xF4])"
+#: Text bytes of a chunk of rows, whose links are counted together, and parts of texts whose ids a task remembers.
+CHUNK_BYTES, REMEMBERED = 8 << 20, 1 << 18
 
 #: The character by which the second vocabulary writes a blank.
 BLANK_MARK = "▁"
@@ -51,156 +44,193 @@ def byte_level() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+class Vocabulary:
+    """The bytes of every token of a vocabulary, end to end, and where each begins."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.lengths = np.array([len(t) for t in tokens], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.data = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def bytes_of(self, ids: np.ndarray) -> np.ndarray:
+        return self.data[runs(self.lengths[ids], self.starts[ids])]
+
+
 class Pair:
-    """The two tokenizers and the byte length and bytes of each of their tokens."""
+    """The two tokenizers and their vocabularies; one object per task."""
 
     def __init__(self, first: str = FIRST, second: str = SECOND):
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
 
-        self.first = Tokenizer.from_file(first)
-        self.first.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.first = Ids(first, REMEMBERED)
         self.second = SentencePieceProcessor(model_file=second)
-        table_ = byte_level()
-        self.first_bytes = {i: bytes(table_[c] for c in entry) if all(c in table_ for c in entry) else entry.encode() for entry, i in self.first.get_vocab(with_added_tokens=False).items()}
+        byte = byte_level()
+        entries = self.first.tokenizer.get_vocab(with_added_tokens=True)
+        tokens = [b""] * (max(entries.values()) + 1)
+        for entry, i in entries.items():
+            tokens[i] = bytes(byte[c] for c in entry) if all(c in byte for c in entry) else entry.encode()
         pieces = [self.second.id_to_piece(i) for i in range(self.second.get_piece_size())]
-        if any(BLANK_MARK in p.lstrip(BLANK_MARK) for p in pieces):
-            raise ValueError("a piece of the second vocabulary holds a blank behind another character")
-        self.second_bytes = [bytes([int(p[3:5], 16)]) if self.second.is_byte(i) else p.replace(BLANK_MARK, " ").encode() for i, p in enumerate(pieces)]
-
-    def ids(self, parts: list[bytes]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of parts that begin with a blank; the second tokenizer adds that blank itself."""
-        first = [e.ids for e in self.first.encode_batch([p.decode() for p in parts], add_special_tokens=False)]
-        return first, self.second.encode([p[1:].decode() for p in parts], num_threads=1)
-
-
-def aligned(a_ids: list[int], a_ends: list[int], b_ids: list[int], b_ends: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]]:
-    """Groups (slices of both id lists between common ends) and links (id pairs whose byte ranges overlap)."""
-    a_at, b_at = {e: i for i, e in enumerate(a_ends)}, {e: i for i, e in enumerate(b_ends)}
-    groups, links, i, j = [], [], 0, 0
-    for end in sorted(a_at.keys() & b_at.keys()):
-        x, y = a_at[end] + 1, b_at[end] + 1
-        groups.append((a_ids[i:x], b_ids[j:y]))
-        if x - i == 1 or y - j == 1:
-            links += [(a, b) for a in a_ids[i:x] for b in b_ids[j:y]]
-        else:
-            a_begin, b_begin = [a_ends[k - 1] if k else 0 for k in range(i, x)], [b_ends[k - 1] if k else 0 for k in range(j, y)]
-            links += [(a_ids[i + k], b_ids[j + m]) for k, s in enumerate(a_begin) for m, t in enumerate(b_begin) if s < b_ends[j + m] and t < a_ends[i + k]]
-        i, j = x, y
-    return groups, links
-
-
-def as_text(groups: list[tuple[list[int], list[int]]]) -> str:
-    """Groups as ``a1,a2|b1;a3|b2,b3``."""
-    return ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups)
-
-
-class Parts:
-    """Distinct parts of texts that a task has met, each encoded and aligned once."""
-
-    def __init__(self, pair: Pair, remembered: int = REMEMBERED):
-        import re
-
-        self.pair, self.remembered, self.cut = pair, remembered, re.compile(CUT)
-        self._forget()
-
-    def _forget(self):
-        self.index: dict[bytes, int] = {}
-        self.text: list[str] = []
-        self.same: list[bool] = []
-        self.numbers: list[tuple[int, int, int, int]] = []  # n_a, n_b, n_groups, n_links
-        self.links: list[np.ndarray] = []  # id pairs as a << 32 | b
-
-    def _learn(self, new: list[bytes]):
-        for part, a_ids, b_ids in zip(new, *self.pair.ids(new), strict=True):
-            a_bytes, b_bytes = [self.pair.first_bytes[i] for i in a_ids], [self.pair.second_bytes[i] for i in b_ids]
-            same = b"".join(a_bytes) == part == b"".join(b_bytes)
-            ends = [np.cumsum([len(x) for x in each]).tolist() for each in (a_bytes, b_bytes)]
-            groups, links = aligned(a_ids, ends[0], b_ids, ends[1]) if same else ([], [])
-            self.index[part] = len(self.text)
-            self.text.append(as_text(groups))
-            self.same.append(same)
-            self.numbers.append((len(a_ids), len(b_ids), len(groups), len(links)))
-            self.links.append(np.array([a << 32 | b for a, b in links], np.int64))
-
-    def split(self, text: str) -> list[bytes]:
-        """The parts of a blank and ``text``, each with its blank in front; none for an empty text."""
-        if not text:
-            return []
-        first, *more = self.cut.split(b" " + text.encode())
-        return [*([first] if first else []), *[b" " + p for p in more]]
-
-    def of(self, texts: list[str]) -> list[list[int]]:
-        """Numbers of the parts of every text, in order."""
-        if len(self.index) > self.remembered:
-            self._forget()
-        split = [self.split(t) for t in texts]
-        new = list(dict.fromkeys(p for p in chain.from_iterable(split) if p not in self.index))
-        for k in range(0, len(new), 5000):
-            self._learn(new[k : k + 5000])
-        return [[self.index[p] for p in parts] for parts in split]
-
-
-def _counted(texts: list[str], parts: Parts):
-    """Of a chunk: per text its numbers, groups and local part numbers; the links of each local part as local pairs; the pairs and their links."""
-    numbered = parts.of(texts)
-    lengths = np.array([len(x) for x in numbered], np.int64)
-    flat = np.fromiter(chain.from_iterable(numbered), np.int64, int(lengths.sum()))
-    used, local = np.unique(flat, return_inverse=True)
-    same = np.array([parts.same[i] for i in used], bool)
-    numbers = np.array([parts.numbers[i] for i in used], np.int64).reshape(-1, 4)
-    offsets = spans_of(lengths)
-    bad = np.concatenate([[0], np.cumsum(~same[local])]) if len(used) else np.zeros(1, np.int64)
-    whole = (lengths > 0) & (bad[offsets[1:]] == bad[offsets[:-1]])
-    sums = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(numbers[local], axis=0)]) if len(used) else np.zeros((1, 4), np.int64)
-    totals = (sums[offsets[1:]] - sums[offsets[:-1]]) * whole[:, None]
-    joined = [";".join([parts.text[i] for i in x]) if ok else "" for x, ok in zip(numbered, whole, strict=True)]
-    times = np.bincount(local[np.repeat(whole, lengths)], minlength=len(used)) if len(used) else np.zeros(0, np.int64)
-    n_links = numbers[:, 3]
-    links = np.concatenate([parts.links[i] for i in used]) if len(used) else np.zeros(0, np.int64)
-    pairs, pair_of = np.unique(links, return_inverse=True)
-    count = np.bincount(pair_of, weights=np.repeat(times, n_links), minlength=len(pairs)).astype(np.int64)
-    kind = np.uint16 if len(used) <= 1 << 16 else np.uint32
-    own = [local[a:b].astype(kind).tobytes() if ok else b"" for a, b, ok in zip(offsets[:-1], offsets[1:], whole, strict=True)]
-    return totals, joined, own, n_links, pair_of, pairs, count
-
-
-def align(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", first: str = FIRST, second: str = SECOND) -> DataFrame:
-    """Align every whole text: one row per row of ``docs``, written.
+        self.a = Vocabulary(tokens)
+        self.b = Vocabulary([bytes([int(p[3:5], 16)]) if self.second.is_byte(i) else p.replace(BLANK_MARK, " ").encode() for i, p in enumerate(pieces)])
+
+    def ids(self, texts: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """Of each tokenizer: ids of a blank and each text, end to end, and their number per text; the second adds that blank itself."""
+        a, offsets = self.first.rows(*utf8(pa.array([" " + t for t in texts])))
+        second = self.second.encode(texts, num_threads=1)
+        n_b = np.array([len(x) for x in second], np.int64)
+        return (a.astype(np.int64), np.diff(offsets)), (np.fromiter(chain.from_iterable(second), np.int64, int(n_b.sum())), n_b)
+
+
+def groups_of(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Common ends in order, and how many tokens of either list end there or before."""
+    a_at, b_at = dict(zip(a_ends.tolist(), range(1, len(a_ends) + 1))), dict(zip(b_ends.tolist(), range(1, len(b_ends) + 1)))
+    common = sorted(a_at.keys() & b_at.keys())
+    n = len(common)
+    return np.array(common, np.int64), np.fromiter(map(a_at.__getitem__, common), np.int64, n), np.fromiter(map(b_at.__getitem__, common), np.int64, n)
+
+
+def links_of(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the tokens of every link, in order: of each first token, the run of second tokens that overlap it, which never leaves its group."""
+    a_begins, b_begins = np.append(0, a_ends[:-1]), np.append(0, b_ends[:-1])
+    first, stop = np.searchsorted(b_ends, a_begins, side="right"), np.searchsorted(b_begins, a_ends, side="left")
+    return np.repeat(np.arange(len(a_ends)), stop - first), runs(stop - first, first)
+
+
+class Digits:
+    """Decimal texts of the numbers below ``n``."""
+
+    def __init__(self, n: int):
+        self.width = len(str(n - 1))
+        numbers = np.arange(n)
+        self.lengths = np.array([len(str(i)) for i in numbers], np.int64)
+        self.marks = np.zeros((n, self.width), np.uint8)
+        for k in range(self.width):
+            have = self.lengths > k
+            self.marks[have, k] = 48 + numbers[have] // 10 ** (self.lengths[have] - 1 - k) % 10
+
+    def joined(self, numbers: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of all numbers, each with its separator behind it (0: none), and where each ends."""
+        lengths = self.lengths[numbers]
+        ends = np.cumsum(lengths + (separators > 0))
+        out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+        begins = ends - lengths - (separators > 0)
+        for k in range(self.width):
+            have = lengths > k
+            out[begins[have] + k] = self.marks[numbers[have], k]
+        out[ends[separators > 0] - 1] = separators[separators > 0]
+        return out, ends
+
+
+class Slice:
+    """Alignment of a slice of texts: numbers and groups per text, and the distinct links of each with their times."""
+
+    def __init__(self, batch: pa.RecordBatch, column: str, pair: Pair, digits: Digits):
+        data, offsets = utf8(batch.column(column))
+        texts = batch.column(column).to_pylist()
+        n = len(texts)
+        (a, n_a), (b, n_b) = pair.ids([t or "" for t in texts])
+        a_bytes, b_bytes = pair.a.bytes_of(a), pair.b.bytes_of(b)
+        a_span, b_span = (spans_of(np.add.reduceat(np.append(v.lengths[x], 0), np.minimum(spans_of(k)[:-1], len(x))) * (k > 0)) for v, x, k in ((pair.a, a, n_a), (pair.b, b, n_b)))
+        good = np.zeros(n, bool)
+        for i in range(n):
+            if offsets[i + 1] > offsets[i]:
+                own = b" " + data[offsets[i] : offsets[i + 1]].tobytes()
+                good[i] = a_bytes[a_span[i] : a_span[i + 1]].tobytes() == own == b_bytes[b_span[i] : b_span[i + 1]].tobytes()
+        a, b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)]
+        n_a, n_b = n_a * good, n_b * good
+        a_ends, b_ends = np.cumsum(pair.a.lengths[a]), np.cumsum(pair.b.lengths[b])
+        stops = np.cumsum((np.diff(offsets) + 1) * good)  # where each text ends in the stream
+        common, a_to, b_to = groups_of(a_ends, b_ends)
+        self.numbers = [n_a, n_b, np.diff(np.searchsorted(common, stops, side="right"), prepend=0)]
+        self.groups = self._written(a, b, a_to, b_to, np.searchsorted(common, stops, side="right"), stops, digits)
+        i, j = links_of(a_ends, b_ends)
+        text_of = np.repeat(np.arange(n), n_a)[i]
+        self.numbers.append(np.bincount(text_of, minlength=n))
+        size = len(pair.b.lengths)
+        if len(pair.a.lengths) * size >= 1 << 40:
+            raise ValueError("the vocabularies have more pairs than a number of 40 bits can tell apart")
+        each, self.times = np.unique((text_of << 40) + a[i] * size + b[j], return_counts=True)
+        self.pairs, self.links = each & ((1 << 40) - 1), np.bincount(each >> 40, minlength=n)
+
+    @staticmethod
+    def _written(a, b, a_to, b_to, last_group, stops, digits) -> pa.Array:
+        """Groups of each text as ``a1,a2|b1;a3|b2,b3``."""
+        n_a, n_b = np.diff(a_to, prepend=0), np.diff(b_to, prepend=0)
+        a_place, b_place = np.arange(len(a)) + np.repeat(b_to - n_b, n_a), np.arange(len(b)) + np.repeat(a_to, n_b)
+        numbers, separators = np.zeros(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+        numbers[a_place], numbers[b_place] = a, b
+        separators[a_to + b_to - n_b - 1], separators[a_to + b_to - 1] = ord("|"), ord(";")
+        final = last_group[np.diff(stops, prepend=0) > 0]
+        separators[(a_to + b_to)[final - 1] - 1] = 0
+        out, ends = digits.joined(numbers, separators)
+        tokens = np.append(0, (a_to + b_to))[last_group]
+        offsets = np.append(0, np.append(0, ends)[tokens]).astype(np.int32)
+        return pa.Array.from_buffers(pa.string(), len(stops), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(out.tobytes())])
+
+
+def _bag(places: np.ndarray, times: np.ndarray) -> bytes:
+    """Ascending places and their times as planes of bytes, which compress."""
+    steps = np.diff(places, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4)
+    return np.concatenate([*steps.T, *times.astype("<u4").view(np.uint8).reshape(-1, 4).T]).tobytes()
+
+
+def _unbagged(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
+    steps, times = (np.ascontiguousarray(x.T).view("<u4").ravel().astype(np.int64) for x in (planes[:4], planes[4:]))
+    return np.cumsum(steps), times
+
+
+NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
+
+
+def align(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", first: str = FIRST, second: str = SECOND, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Align every whole text: one row per row of ``docs``; to be written before it is used twice.
 
     ``doc_id``, ``n_a``, ``n_b``, ``n_groups``, ``n_links`` and ``groups`` (ids of
     both in order, ``a1,a2|b1;a3|b2,b3``) are the result; ``chunk``, ``place``,
-    ``parts`` and, in the first row of each chunk, ``part_links``, ``part_pairs``,
-    ``pairs`` and ``pair_links`` say which linked pairs each row holds, for
-    ``link_counts`` and ``link_sums``.
+    ``bag`` and, in the first row of each chunk, ``pairs`` and ``pair_links`` say
+    which linked pairs each row holds, for ``link_counts`` and ``link_sums``.
 
     Texts that are null or empty, or that a tokenizer does not give back byte for
     byte, have no tokens: zeros and an empty string.  Rows of equal id stay rows
     of their own, a null id stays null, other columns are left out, and an empty
     table gives an empty table.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    id_field = rows.schema["doc_id"]
-    blobs = ["parts", "part_links", "part_pairs", "pairs", "pair_links"]
-    schema = T.StructType(
-        [T.StructField("chunk", T.StringType()), T.StructField("place", T.IntegerType()), id_field]
-        + [T.StructField(k, T.LongType()) for k in ("n_a", "n_b", "n_groups", "n_links")]
-        + [T.StructField("groups", T.StringType())]
-        + [T.StructField(k, T.BinaryType()) for k in blobs]
-    )
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    fields = [("chunk", T.StringType()), ("place", T.IntegerType()), ("doc_id", rows.schema["doc_id"].dataType), *[(k, T.LongType()) for k in NUMBERS]]
+    fields += [("groups", T.StringType()), *[(k, T.BinaryType()) for k in ("bag", "pairs", "pair_links")]]
+    schema = T.StructType([T.StructField(*f) for f in fields])
 
     def run(batches):
-        parts, part, nth = None, TaskContext.get().partitionId(), 0
-        for whole in batches:
-            for batch in slices(whole, "text", CHUNK_BYTES):
-                parts = parts or Parts(Pair(first, second))
+        pair, part, nth, held, size = None, TaskContext.get().partitionId(), 0, [], 0
+
+        def close():
+            nonlocal nth, held, size
+            pairs, local = np.unique(np.concatenate([s.pairs for _, s in held]), return_inverse=True)
+            links = np.bincount(local, weights=np.concatenate([s.times for _, s in held]), minlength=len(pairs)).astype("<i8")
+            at, place = 0, 0
+            wide = len(pair.b.lengths)
+            for batch, s in held:
                 n = batch.num_rows
-                totals, joined, own, n_links, pair_of, pairs, count = _counted(batch.column("text").to_pylist(), parts)
-                once = [n_links.astype("<u4").tobytes(), pair_of.astype("<u4").tobytes(), pairs.astype("<i8").tobytes(), count.astype("<i8").tobytes()]
-                columns = [pa.array([f"{part}-{nth}"] * n), pa.array(range(n), pa.int32()), batch.column("doc_id"), *[pa.array(totals[:, k]) for k in range(4)], pa.array(joined, pa.string()), pa.array(own, pa.binary())]
-                columns += [pa.array([x] + [None] * (n - 1), pa.binary()) for x in once]
-                nth += 1
+                ends = at + np.cumsum(s.links)
+                bags = [_bag(local[a:b], s.times[a - at : b - at]) for a, b in zip(ends - s.links, ends, strict=True)]
+                once = [pa.array([x.tobytes() if place == 0 else None] + [None] * (n - 1), pa.binary()) for x in ((pairs // wide << 32 | pairs % wide).astype("<i8"), links)]
+                columns = [pa.array([f"{part}-{nth}"] * n), pa.array(range(place, place + n), pa.int32()), batch.column("doc_id"), *map(pa.array, s.numbers), s.groups, pa.array(bags, pa.binary()), *once]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+                at, place = at + len(s.pairs), place + n
+            nth, held, size = nth + 1, [], 0
+
+        for whole in batches:
+            for batch in slices(whole, "text", 1 << 20):
+                if pair is None:
+                    pair = Pair(first, second)
+                    digits = Digits(max(len(pair.a.lengths), len(pair.b.lengths)))
+                held.append((batch, Slice(batch, "text", pair, digits)))
+                size += batch.column("text").nbytes
+                if size >= chunk_bytes:
+                    yield from close()
+        if held:
+            yield from close()
 
     return rows.mapInArrow(run, schema)
 
@@ -209,8 +239,7 @@ def _chunk_pairs(batches):
     for batch in batches:
         for chunk, pairs, links in zip(*(batch.column(k).to_pylist() for k in ("chunk", "pairs", "pair_links")), strict=True):
             pairs, links = np.frombuffer(pairs, "<i8"), np.frombuffer(links, "<i8")
-            at = np.flatnonzero(links)
-            columns = [pa.array([chunk] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array((pairs[at] >> 32).astype(np.int32)), pa.array((pairs[at] & 0xFFFFFFFF).astype(np.int32)), pa.array(links[at])]
+            columns = [pa.array([chunk] * len(pairs), pa.string()), pa.array(np.arange(len(pairs), dtype=np.int32)), pa.array((pairs >> 32).astype(np.int32)), pa.array((pairs & 0xFFFFFFFF).astype(np.int32)), pa.array(links)]
             yield pa.RecordBatch.from_arrays(columns, names=["chunk", "at", "a_id", "b_id", "n"])
 
 
@@ -219,39 +248,43 @@ def chunk_pairs(alignment: DataFrame) -> DataFrame:
     return alignment.where("place = 0").select("chunk", "pairs", "pair_links").mapInArrow(_chunk_pairs, "chunk string, at int, a_id int, b_id int, n long")
 
 
-def link_counts(alignment: DataFrame) -> DataFrame:
-    """The corpus-wide map between the vocabularies: ``a_id``, ``b_id``, ``n`` (links that hold the pair) and ``best`` (no pair of this ``b_id`` has more)."""
-    counts = chunk_pairs(alignment).groupBy("a_id", "b_id").agg(F.sum("n").alias("n"))
+def told_pairs(alignment: DataFrame) -> DataFrame:
+    """``chunk_pairs`` with ``total``, the links of the whole corpus that hold the pair; a pair has a row per chunk at most."""
+    total = F.sum("n").over(Window.partitionBy("a_id", "b_id"))
+    return written(chunk_pairs(alignment).withColumn("total", total).drop("n"), "pairs")
+
+
+def link_counts(told: DataFrame) -> DataFrame:
+    """The corpus-wide map between the vocabularies: ``a_id``, ``b_id``, ``n`` and ``best`` (no pair of this ``b_id`` has more links)."""
+    counts = told.groupBy("a_id", "b_id").agg(F.max("total").alias("n"))
     return counts.withColumn("best", F.col("n") == F.max("n").over(Window.partitionBy("b_id")))  # a b_id has at most a vocabulary of partners
 
 
 def _summed(key, docs: pa.Table, told: pa.Table) -> pa.Table:
-    """Sums of one chunk: every part's links looked up once, then summed over the parts of each row."""
-    docs = docs.sort_by("place")
-    head = {k: docs.column(k)[0].as_py() for k in ("part_links", "part_pairs", "pairs")}
-    n_links, pair_of = np.frombuffer(head["part_links"], "<u4").astype(np.int64), np.frombuffer(head["part_pairs"], "<u4")
-    count, best = np.zeros(len(head["pairs"]) // 8, np.int64), np.zeros(len(head["pairs"]) // 8, np.int64)
+    """Sums over the links of each row of one chunk."""
+    n = told.num_rows
+    total, best = np.zeros(n, np.int64), np.zeros(n, np.int64)
     at = told.column("at").to_numpy()
-    count[at], best[at] = told.column("n").to_numpy(), told.column("best").to_numpy()
-    ends = spans_of(n_links)
-    per_part = [np.concatenate([[0], np.cumsum(each[pair_of])]) for each in (count, best)]
-    per_part = [s[ends[1:]] - s[ends[:-1]] for s in per_part]
-    kind = np.uint16 if len(n_links) <= 1 << 16 else np.uint32
-    own = [np.frombuffer(x, kind) for x in docs.column("parts").to_pylist()]
-    columns = [pa.array([int(each[x].sum()) for x in own], pa.int64()) for each in per_part]
+    total[at], best[at] = told.column("total").to_numpy(), told.column("best").to_numpy()
+    sums = []
+    for bag in docs.column("bag").to_pylist():
+        places, times = _unbagged(bag)
+        sums.append((int((total[places] * times).sum()), int((best[places] * times).sum())))
+    columns = [pa.array([s[k] for s in sums], pa.int64()) for k in (0, 1)]
     return pa.table([docs.column("chunk"), docs.column("place"), *columns], names=["chunk", "place", "count_sum", "n_best"])
 
 
-def link_sums(alignment: DataFrame) -> DataFrame:
-    """``chunk``, ``place``, ``count_sum`` and ``n_best`` of every row of a written ``align``.
+def link_sums(alignment: DataFrame, told: DataFrame) -> DataFrame:
+    """``chunk``, ``place``, ``count_sum`` and ``n_best`` of every row of a written ``align``; ``told`` is its ``told_pairs``.
 
     A chunk and the counts of its pairs meet in one task; both are bounded by the
-    text of a chunk, whatever the input.
+    text of a chunk, whatever the input.  The highest count of each second id is
+    a row per id of a vocabulary, so it is broadcast.
     """
-    counts = written(link_counts(alignment), "link_counts")
-    told = chunk_pairs(alignment).select("chunk", "at", "a_id", "b_id").join(counts, ["a_id", "b_id"]).select("chunk", "at", "n", F.col("best").cast("long").alias("best"))
-    rows = alignment.select("chunk", "place", "parts", "part_links", "part_pairs", "pairs")
-    return rows.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_summed, "chunk string, place int, count_sum long, n_best long")
+    highest = written(told.groupBy("b_id").agg(F.max("total").alias("_most")), "highest")
+    marked = told.join(F.broadcast(highest), "b_id").select("chunk", "at", "total", (F.col("total") == F.col("_most")).cast("long").alias("best"))
+    rows = alignment.select("chunk", "place", "bag")
+    return rows.groupBy("chunk").cogroup(marked.groupBy("chunk")).applyInArrow(_summed, "chunk string, place int, count_sum long, n_best long")
 
 
 @query("op12_token_alignment")
@@ -260,6 +293,6 @@ def op12_token_alignment(spark, sf_dir):
     with small_batches(spark):
         made = align(docs).withColumn("groups_sha256", F.when(F.col("groups") == "", F.lit("")).otherwise(F.sha2("groups", 256))).drop("groups")
         made = written(made, "alignment")
-        sums = link_sums(made)
-        shown = made.select("chunk", "place", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256").join(sums, ["chunk", "place"])
-        return written(shown.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"), "aligned")
+        sums = link_sums(made, told_pairs(made))
+        shown = made.select("chunk", "place", "doc_id", *NUMBERS, "groups_sha256").join(sums, ["chunk", "place"])
+        return written(shown.select("doc_id", *NUMBERS, "n_best", "count_sum", "groups_sha256"), "aligned")
