@@ -22,7 +22,7 @@ import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from siftbase.llm.common import runs, slices, small_batches, spans_of, utf8
+from siftbase.llm.common import Powers, runs, slices, small_batches, utf8
 from siftbase.llm.registry import query, table
 from siftbase.llm.tokens import Ids
 from siftbase.session import written
@@ -56,37 +56,60 @@ class Vocabulary:
         return self.data[runs(self.lengths[ids], self.starts[ids])]
 
 
+class Pieces(Ids):
+    """Ids of the sentencepiece vocabulary, each distinct part of the texts encoded once.
+
+    Texts come with a blank in front, which the library adds itself.  No piece
+    holds a blank behind another character, so no merge crosses the place before
+    a blank that follows none.
+    """
+
+    def __init__(self, vocabulary: str = SECOND, remembered: int = REMEMBERED):
+        from sentencepiece import SentencePieceProcessor
+
+        self.model = SentencePieceProcessor(model_file=vocabulary)
+        self.pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        if any(BLANK_MARK in p.lstrip(BLANK_MARK) for p in self.pieces):
+            raise ValueError("a piece holds a blank behind another character")
+        self.blank = self.model.piece_to_id(BLANK_MARK)
+        self.size, self.remembered, self.powers = len(self.pieces), remembered, Powers()
+        self._forget()
+
+    def _cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        cut = np.zeros(len(data) + 1, bool)
+        blank = data == 0x20
+        cut[1:-1] = blank[1:] & ~blank[:-1]
+        cut[offsets] = True
+        cut[-1] = False
+        return np.flatnonzero(cut)
+
+    def _encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        parts = [data[a + 1 : b].tobytes().decode() for a, b in zip(starts, ends, strict=True)]
+        ids = [x or [self.blank] for x in self.model.encode(parts, num_threads=1)]  # the library adds no blank to nothing
+        counts = np.array([len(x) for x in ids], np.int64)
+        return np.fromiter(chain.from_iterable(ids), np.int64, int(counts.sum())), counts
+
+
 class Pair:
     """The two tokenizers and their vocabularies; one object per task."""
 
     def __init__(self, first: str = FIRST, second: str = SECOND):
-        from sentencepiece import SentencePieceProcessor
-
-        self.first = Ids(first, REMEMBERED)
-        self.second = SentencePieceProcessor(model_file=second)
+        self.first, self.second = Ids(first, REMEMBERED, added=False), Pieces(second)  # strings of added tokens are ordinary text
         byte = byte_level()
         entries = self.first.tokenizer.get_vocab(with_added_tokens=True)
         tokens = [b""] * (max(entries.values()) + 1)
         for entry, i in entries.items():
             tokens[i] = bytes(byte[c] for c in entry) if all(c in byte for c in entry) else entry.encode()
-        pieces = [self.second.id_to_piece(i) for i in range(self.second.get_piece_size())]
         self.a = Vocabulary(tokens)
-        self.b = Vocabulary([bytes([int(p[3:5], 16)]) if self.second.is_byte(i) else p.replace(BLANK_MARK, " ").encode() for i, p in enumerate(pieces)])
-
-    def ids(self, texts: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-        """Of each tokenizer: ids of a blank and each text, end to end, and their number per text; the second adds that blank itself."""
-        a, offsets = self.first.rows(*utf8(pa.array([" " + t for t in texts])))
-        second = self.second.encode(texts, num_threads=1)
-        n_b = np.array([len(x) for x in second], np.int64)
-        return (a.astype(np.int64), np.diff(offsets)), (np.fromiter(chain.from_iterable(second), np.int64, int(n_b.sum())), n_b)
+        is_byte = self.second.model.is_byte
+        self.b = Vocabulary([bytes([int(p[3:5], 16)]) if is_byte(i) else p.replace(BLANK_MARK, " ").encode() for i, p in enumerate(self.second.pieces)])
 
 
-def groups_of(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Common ends in order, and how many tokens of either list end there or before."""
-    a_at, b_at = dict(zip(a_ends.tolist(), range(1, len(a_ends) + 1))), dict(zip(b_ends.tolist(), range(1, len(b_ends) + 1)))
+def groups_of(a_ends: list[int], b_ends: list[int], i: int = 0, j: int = 0) -> tuple[list[int], list[int]]:
+    """Of one text, for each common end in order: how many tokens of either list end there or before, ``i`` and ``j`` more."""
+    a_at, b_at = dict(zip(a_ends, range(i + 1, i + 1 + len(a_ends)))), dict(zip(b_ends, range(j + 1, j + 1 + len(b_ends))))
     common = sorted(a_at.keys() & b_at.keys())
-    n = len(common)
-    return np.array(common, np.int64), np.fromiter(map(a_at.__getitem__, common), np.int64, n), np.fromiter(map(b_at.__getitem__, common), np.int64, n)
+    return list(map(a_at.__getitem__, common)), list(map(b_at.__getitem__, common))
 
 
 def links_of(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,24 +148,34 @@ class Slice:
     """Alignment of a slice of texts: numbers and groups per text, and the distinct links of each with their times."""
 
     def __init__(self, batch: pa.RecordBatch, column: str, pair: Pair, digits: Digits):
-        data, offsets = utf8(batch.column(column))
         texts = batch.column(column).to_pylist()
         n = len(texts)
-        (a, n_a), (b, n_b) = pair.ids([t or "" for t in texts])
-        a_bytes, b_bytes = pair.a.bytes_of(a), pair.b.bytes_of(b)
-        a_span, b_span = (spans_of(np.add.reduceat(np.append(v.lengths[x], 0), np.minimum(spans_of(k)[:-1], len(x))) * (k > 0)) for v, x, k in ((pair.a, a, n_a), (pair.b, b, n_b)))
-        good = np.zeros(n, bool)
-        for i in range(n):
-            if offsets[i + 1] > offsets[i]:
-                own = b" " + data[offsets[i] : offsets[i + 1]].tobytes()
-                good[i] = a_bytes[a_span[i] : a_span[i + 1]].tobytes() == own == b_bytes[b_span[i] : b_span[i + 1]].tobytes()
-        a, b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)]
-        n_a, n_b = n_a * good, n_b * good
+        data, offsets = utf8(pa.array([f" {t}" if t else "" for t in texts], pa.string()))
+        spans, streams = [], []
+        for vocabulary, encoder in ((pair.a, pair.first), (pair.b, pair.second)):
+            ids, at = encoder.rows(data, offsets)
+            ids = ids.astype(np.int64)
+            ends = np.append(0, np.cumsum(vocabulary.lengths[ids]))
+            spans.append((vocabulary.bytes_of(ids), ends[at]))
+            streams.append((ids, at))
+        good = np.diff(offsets) > 0
+        if not all(len(x) == len(data) and (x == data).all() for x, _ in spans):  # some text is not given back; see which
+            for i in np.flatnonzero(good):
+                own = data[offsets[i] : offsets[i + 1]].tobytes()
+                good[i] = all(x[at[i] : at[i + 1]].tobytes() == own for x, at in spans)
+        (a, n_a), (b, n_b) = ((ids[np.repeat(good, np.diff(at))], np.diff(at) * good) for ids, at in streams)
         a_ends, b_ends = np.cumsum(pair.a.lengths[a]), np.cumsum(pair.b.lengths[b])
-        stops = np.cumsum((np.diff(offsets) + 1) * good)  # where each text ends in the stream
-        common, a_to, b_to = groups_of(a_ends, b_ends)
-        self.numbers = [n_a, n_b, np.diff(np.searchsorted(common, stops, side="right"), prepend=0)]
-        self.groups = self._written(a, b, a_to, b_to, np.searchsorted(common, stops, side="right"), stops, digits)
+        a_list, b_list, a_to, b_to, n_groups, i, j = a_ends.tolist(), b_ends.tolist(), [], [], np.zeros(n, np.int64), 0, 0
+        for k in np.flatnonzero(good):
+            x, y = i + int(n_a[k]), j + int(n_b[k])
+            a_own, b_own = groups_of(a_list[i:x], b_list[j:y], i, j)
+            n_groups[k] = len(a_own)
+            a_to += a_own
+            b_to += b_own
+            i, j = x, y
+        a_to, b_to = np.array(a_to, np.int64), np.array(b_to, np.int64)
+        self.numbers = [n_a, n_b, n_groups]
+        self.groups = self._written(a, b, a_to, b_to, np.cumsum(n_groups), digits)
         i, j = links_of(a_ends, b_ends)
         text_of = np.repeat(np.arange(n), n_a)[i]
         self.numbers.append(np.bincount(text_of, minlength=n))
@@ -153,19 +186,19 @@ class Slice:
         self.pairs, self.links = each & ((1 << 40) - 1), np.bincount(each >> 40, minlength=n)
 
     @staticmethod
-    def _written(a, b, a_to, b_to, last_group, stops, digits) -> pa.Array:
+    def _written(a, b, a_to, b_to, last_group, digits) -> pa.Array:
         """Groups of each text as ``a1,a2|b1;a3|b2,b3``."""
         n_a, n_b = np.diff(a_to, prepend=0), np.diff(b_to, prepend=0)
         a_place, b_place = np.arange(len(a)) + np.repeat(b_to - n_b, n_a), np.arange(len(b)) + np.repeat(a_to, n_b)
         numbers, separators = np.zeros(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
         numbers[a_place], numbers[b_place] = a, b
         separators[a_to + b_to - n_b - 1], separators[a_to + b_to - 1] = ord("|"), ord(";")
-        final = last_group[np.diff(stops, prepend=0) > 0]
+        final = last_group[np.diff(last_group, prepend=0) > 0]
         separators[(a_to + b_to)[final - 1] - 1] = 0
         out, ends = digits.joined(numbers, separators)
         tokens = np.append(0, (a_to + b_to))[last_group]
         offsets = np.append(0, np.append(0, ends)[tokens]).astype(np.int32)
-        return pa.Array.from_buffers(pa.string(), len(stops), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(out.tobytes())])
+        return pa.Array.from_buffers(pa.string(), len(last_group), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(out.tobytes())])
 
 
 def _bag(places: np.ndarray, times: np.ndarray) -> bytes:

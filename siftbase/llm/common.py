@@ -40,17 +40,6 @@ def crc_bucket(doc_id: str, parts: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts
 
 
-def kept(key, make):
-    """``make()``, or what it gave an earlier task of this Python worker.  Only for what can be made again."""
-    import sys
-    import types
-
-    place = sys.modules.setdefault("siftbase_worker", types.ModuleType("siftbase_worker")).__dict__
-    if key not in place:
-        place[key] = make()
-    return place[key]
-
-
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary column and the n + 1 offsets into them; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -13,13 +13,13 @@ from __future__ import annotations
 import numpy as np
 import public_tokenizers
 
-from siftbase.llm.common import Powers, kept, runs, span_hashes
+from siftbase.llm.common import Powers, runs, span_hashes
 
 #: The vocabulary that the token queries use; a parameter of every function here.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 #: Distinct parts that a task remembers; beyond them it starts afresh.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 18
 
 _LETTER, _PUNCT, _BLANK, _LINE, _LATIN = 1, 2, 4, 8, 16
 _CLASS = np.zeros(256, np.uint8)
@@ -54,12 +54,17 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Ids:
     """Token ids of rows of text; one object per task."""
 
-    def __init__(self, vocabulary: str = VOCABULARY, remembered: int = REMEMBERED):
+    def __init__(self, vocabulary: str = VOCABULARY, remembered: int = REMEMBERED, added: bool = True):
+        """``added``: the strings of the vocabulary's added tokens get their ids wherever a text holds them, as the library does; else they are ordinary text."""
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.remembered, self.powers = remembered, Powers()
+        self.tokenizer.encode_special_tokens = not added
+        tokens = self.tokenizer.get_added_tokens_decoder().values() if added else []
+        if any(t.lstrip or t.rstrip or t.single_word for t in tokens):
+            raise ValueError("added tokens that take in their surroundings are not supported")
+        self.added = sorted((t.content.encode() for t in tokens), key=len, reverse=True)
+        self.size, self.remembered, self.powers = self.tokenizer.get_vocab_size(), remembered, Powers()
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self._forget()
 
@@ -67,7 +72,7 @@ class Ids:
         self.keys = np.zeros(4 * self.remembered, np.uint64)
         self.where = np.zeros(4 * self.remembered, np.int32)
         self.n = 0
-        self.flat = np.zeros(0, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
+        self.flat = np.zeros(0, np.uint16 if self.size <= 1 << 16 else np.uint32)
         self.flat_begin = np.zeros(1, np.int64)
 
     def _find(self, h: np.ndarray) -> np.ndarray:
@@ -141,9 +146,29 @@ class Ids:
         self.flat = np.concatenate([self.flat, ids.astype(self.flat.dtype)])
         self.flat_begin = np.concatenate([self.flat_begin, self.flat_begin[-1] + np.cumsum(counts)])
 
+    def _cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        return self._with_added(cuts(data, offsets), data, offsets)
+
+    def _with_added(self, starts: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Cut round the added tokens too, and nowhere inside them."""
+        if not self.added:
+            return starts
+        text, found = data.tobytes(), []
+        for token in self.added:
+            at = text.find(token)
+            while at >= 0:
+                end = at + len(token)
+                row = np.searchsorted(offsets, at, side="right")
+                if end <= offsets[min(row, len(offsets) - 1)] and not any(a < end and at < b for a, b in found):
+                    found.append((at, end))
+                at = text.find(token, at + 1)
+        for at, end in found:
+            starts = np.concatenate([starts[(starts <= at) | (starts >= end)], [at, end]])
+        return np.unique(starts[starts < len(data)]) if found else starts
+
     def rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, one row after the other, and the offsets of the rows among them."""
-        starts = cuts(data, offsets)
+        starts = self._cuts(data, offsets)
         ends = np.append(starts[1:], len(data))
         if not len(starts):
             return np.zeros(0, np.uint16), np.zeros(len(offsets), np.int64)
@@ -163,5 +188,5 @@ class Ids:
 
 
 def task_ids(vocabulary: str = VOCABULARY) -> Ids:
-    """The encoder of this Python worker; later tasks in it find its parts again."""
-    return kept(("ids", vocabulary), lambda: Ids(vocabulary))
+    """An encoder for one task; what it remembers goes with the task, so that idle workers hold nothing."""
+    return Ids(vocabulary)
