@@ -32,17 +32,17 @@ def consume(df) -> None:
 def synthetic(spark, n: int) -> dict[str, float]:
     from pyspark.sql import functions as F
 
-    from siftbase.operators import index as ix, retrieve as rt
+    from siftbase.operators import blocks as bk, index as ix
     from siftbase.sources.synthetic import synthetic_chunks, synthetic_queries
 
     families = ["f0", "f1", "f2", "f3", "f4", "f5"]
     ref = F.lit("2024-06-01").cast("timestamp")
     out: dict[str, float] = {}
     stored = []
-    out[f"synthetic_{n}_index"] = timed(lambda: stored.append(ix.store_index(ix.build_index(synthetic_chunks(spark, n, families)))))
+    out[f"synthetic_{n}_index"] = timed(lambda: stored.append(bk.TermIndex.build(ix.build_index(synthetic_chunks(spark, n, families)))))
     for label, filtered in (("plain", False), ("filtered", True)):
         asked = synthetic_queries(spark, 20, families, filtered)
-        out[f"synthetic_{n}_{label}_20"] = timed(lambda: consume(rt.retrieve(stored[0], asked, ref)))
+        out[f"synthetic_{n}_{label}_20"] = timed(lambda: consume(bk.retrieve(stored[0], asked, ref)))
     return out
 
 
@@ -56,11 +56,11 @@ def main() -> None:
 
     from siftbase.plans import QUERIES
 
-    from siftbase.plans.retrieval import stored_index
+    from siftbase.plans.retrieval import stored_terms
 
     names = [n for n in (sys.argv[1:] or HEADLINE) if n in QUERIES]
     consume(QUERIES["corpus_stats"](spark, sf_dir))  # class loading and compiler warm-up
-    times = {} if len(sys.argv) > 1 else {"index_build": timed(lambda: stored_index(spark, sf_dir))}  # shared by the retrieval queries below
+    times = {} if len(sys.argv) > 1 else {"index_build": timed(lambda: stored_terms(spark, sf_dir))}  # shared by the retrieval queries below
     times |= {name: timed(lambda name=name: consume(QUERIES[name](spark, sf_dir))) for name in names}
     if len(sys.argv) == 1:
         times.update(synthetic(spark, int(os.environ.get("BENCH_CHUNKS", "100000"))))

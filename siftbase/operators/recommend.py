@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siftbase.functions import dates as D, text as T, urls as U
-from siftbase.operators.retrieve import MAX_TOP_K, retrieve
+from siftbase.operators.retrieve import MAX_TOP_K, matched_terms, query_terms, retrieve
 from siftbase.operators.roles import INTERNSHIP_OPPORTUNITY, OPPORTUNITY, internship_signal
 from siftbase.session import broadcast_if_small, computed_once, written
 
@@ -187,17 +189,16 @@ def reason_failures(reasons: Column, allowed: Column) -> Column:
     return F.concat(count, F.flatten(F.transform(reasons, per_reason)))
 
 
-def recommend(index: DataFrame, chunks: DataFrame, profiles: DataFrame, ref_ts: Column, **options) -> DataFrame:
+def recommend(index, chunks: DataFrame, profiles: DataFrame, ref_ts: Column, search: Callable[..., DataFrame] = retrieve, explain: Callable[..., DataFrame] = matched_terms, **options) -> DataFrame:
     """O-86, O-114: profiles (query_id, major, target_role, lists, deadline_sensitivity) to ranked, explained recommendations.
 
     A profile row with a null ``major`` stands for a request without preferences.
+    ``search`` and ``explain`` are the retrieval and the matched terms of the kind of ``index``.
     """
-    from siftbase.operators.retrieve import matched_terms, query_terms
-
     asked = written(profile_queries(profiles), "profile-queries")
-    pool = written(retrieve(index, asked.select("query_id", "query", "top_k", "collection_categories"), ref_ts, **options), "candidates")
+    pool = written(search(index, asked.select("query_id", "query", "top_k", "collection_categories"), ref_ts, **options), "candidates")
     terms = query_terms(asked, use_nfkc=options.get("use_nfkc", True))
-    with_terms = matched_terms(pool, index, terms)
+    with_terms = explain(pool, index, terms)
     own = asked.drop("query", "top_k", "collection_categories")
     with_terms = written(with_terms, "results")
     used = chunks.join(broadcast_if_small(with_terms.select("chunk_id").distinct()), "chunk_id", "left_semi")
@@ -208,9 +209,9 @@ def recommend(index: DataFrame, chunks: DataFrame, profiles: DataFrame, ref_ts:
 
 
 def minimised_profile(raw: DataFrame, list_columns: tuple[str, ...] = ("industry", "region", "employment_type")) -> DataFrame:
-    """O-144: comma lists split, trimmed and cut to five; free text dropped; failures of the strict limits."""
+    """O-144: comma lists split and trimmed; free text dropped; failures of the strict limits, a list of more than five items among them."""
     def items(c: str) -> Column:
-        return F.slice(F.filter(F.transform(F.split(F.coalesce(F.col(c), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != ""), 1, 5)
+        return F.filter(F.transform(F.split(F.coalesce(F.col(c), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
     out = raw.select(
         "session_key", F.trim("major").alias("major"), F.trim("target_role").alias("target_role"), *[items(c).alias(c) for c in list_columns],
@@ -220,6 +221,7 @@ def minimised_profile(raw: DataFrame, list_columns: tuple[str, ...] = ("industry
         F.array(
             F.when(~F.coalesce(F.length("major").between(1, 80), F.lit(False)), "major must have 1-80 characters"),
             F.when(~F.coalesce(F.length("target_role").between(1, 120), F.lit(False)), "target_role must have 1-120 characters"),
+            *[F.when(F.size(c) > 5, f"{c} must have at most 5 items") for c in list_columns],
             *[F.when(F.exists(c, lambda x: F.length(x) > 80), f"{c} items must have at most 80 characters") for c in list_columns],
             F.when(~F.col("deadline_sensitivity").isin(*SENSITIVITY_TERMS), "unknown deadline_sensitivity"),
         )

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftbase.functions import text as T
-from siftbase.operators import answers as A, retrieve as rt, roles, safety as S
+from siftbase.operators import answers as A, blocks as bk, retrieve as rt, roles, safety as S
 from siftbase.plans import corpus as C
 from siftbase.plans.registry import query, table
-from siftbase.plans.retrieval import full_retrieval_sql, stored_index
+from siftbase.plans.retrieval import full_retrieval_sql, stored_terms
 from siftbase.plans.scalars import sql_clean, sql_negated, sql_redact, sql_safety, sql_visible
 
 POLICY_REFUSAL = "현재 요청은 안전 범위를 벗어납니다. 공식 출처에서 확인 가능한 범위로 다시 질문해 주세요."
@@ -137,8 +137,8 @@ def source_worst_action(spark, sf_dir):
 
 # --- evidence and prompts ---------------------------------------------------------
 def _ranked_with_terms(spark, sf_dir):
-    index, asked = stored_index(spark, sf_dir), C.filtered_queries(spark, sf_dir)
-    found = rt.matched_terms(rt.retrieve(index, asked, C.ref_ts()), index, rt.query_terms(asked))
+    index, asked = stored_terms(spark, sf_dir), C.filtered_queries(spark, sf_dir)
+    found = bk.matched_terms(bk.retrieve(index, asked, C.ref_ts()), index, rt.query_terms(asked))
     i = F.substring("chunk_id", 2, 12).cast("bigint")
     return asked, found.withColumn("has_anchors", i % 29 != 0).withColumn("boilerplate_only", F.col("boilerplate_penalty") >= 2)
 
@@ -179,8 +179,8 @@ b AS (SELECT query_id, string_agg(block, chr(10) ORDER BY rank) AS blocks, count
 SELECT a.query_id, coalesce(b.n, 0) AS n_citations, concat_ws(chr(10), '사용자 질문: ' || {_prompt_clean('a.query')}, '<retrieved_context source_text_trust="untrusted_source_text">', b.blocks, '</retrieved_context>', {C.sql_text(A.EVIDENCE_TAIL)}) AS evidence_message
 FROM asked a LEFT JOIN b USING (query_id)""")
 def prompt_blocks(spark, sf_dir):
-    index, asked, chunks = stored_index(spark, sf_dir), C.filtered_queries(spark, sf_dir), C.chunks(spark, sf_dir)
-    rows = rt.attach_chunks(rt.retrieve(index, asked, C.ref_ts()), chunks, C.ref_ts())
+    index, asked, chunks = stored_terms(spark, sf_dir), C.filtered_queries(spark, sf_dir), C.chunks(spark, sf_dir)
+    rows = rt.attach_chunks(bk.retrieve(index, asked, C.ref_ts()), chunks, C.ref_ts())
     anchors = F.array(F.struct(F.col("canonical_url").alias("url"), F.col("title").alias("label"), F.lit(None).cast("int").alias("page_number")))
     out = A.prompts(asked.select("query_id", "query"), A.evidence_blocks(rows.withColumn("citation_anchors", anchors)))
     return out.select("query_id", F.coalesce(F.size("citations"), F.lit(0)).cast("bigint").alias("n_citations"), "evidence_message")
@@ -277,8 +277,8 @@ def answer_requests(spark, sf_dir):
     open_requests = asked.filter("input_action <> 'refuse'").select(
         "query_id", F.when(F.col("input_action") == "redact", F.col("redacted_query")).otherwise(F.col("query")).alias("query"), F.lit(5).alias("top_k")
     )
-    index, chunks = stored_index(spark, sf_dir), sources(spark, sf_dir)
-    found = rt.matched_terms(roles.retrieve_by_role(index, open_requests, C.ref_ts()), index, rt.query_terms(open_requests))
+    index, chunks = stored_terms(spark, sf_dir), sources(spark, sf_dir)
+    found = bk.matched_terms(roles.retrieve_by_role(index, open_requests, C.ref_ts(), search=bk.retrieve), index, rt.query_terms(open_requests))
     safe = S.sanitize_sources(rt.attach_chunks(found, chunks, C.ref_ts())).filter("source_action <> 'quarantine'")
     safe = safe.withColumn("has_anchors", F.size("citation_anchors") > 0).withColumn("boilerplate_only", F.lit(False))
     # prompts and later steps see the redacted query, never the raw one

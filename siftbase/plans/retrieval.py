@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftbase.functions import text as T
+from siftbase.operators import blocks as bk
 from siftbase.operators import index as ix
 from siftbase.operators import retrieve as rt
 from siftbase.operators import roles
@@ -12,6 +13,7 @@ from siftbase.operators.vocabulary import ANSWER_SIGNALS, FILLER_TERMS, LISTING_
 from siftbase.plans import corpus as C
 from siftbase.plans.registry import query, table
 from siftbase.session import computed_once
+from siftbase.sources.versions import fingerprint
 
 BM25_SQL = f"""
 WITH {C.CHUNKS_SQL}, {C.INDEX_SQL}, {C.QUERIES_SQL},
@@ -25,20 +27,20 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY lexical_s
 """
 
 
-_STORED: dict[tuple[str, str], object] = {}
+_STORED: dict[tuple[str, str, str], bk.TermIndex] = {}
 
 
-def stored_index(spark, sf_dir):
-    """One index per corpus and application, shared by all retrieval queries."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def stored_terms(spark, sf_dir):
+    """One term-clustered index per corpus and application, shared by all retrieval queries; a corpus written anew gets a new one."""
+    key = (spark.sparkContext.applicationId, sf_dir, fingerprint(spark, f"{sf_dir}/documents.parquet"))
     if key not in _STORED:
-        _STORED[key] = ix.store_index(ix.build_index(C.chunks(spark, sf_dir)))
+        _STORED[key] = bk.TermIndex.build(ix.build_index(C.chunks(spark, sf_dir)))
     return _STORED[key]
 
 
 @query("bm25_topk", BM25_SQL + "SELECT query_id, chunk_id, rank, lexical_score, n_terms FROM ranked WHERE rank <= 5")
 def bm25_topk(spark, sf_dir):
-    return rt.bm25(stored_index(spark, sf_dir), C.benchmark_queries(spark, sf_dir)).select("query_id", "chunk_id", "rank", "lexical_score", "n_terms")
+    return bk.bm25(stored_terms(spark, sf_dir), C.benchmark_queries(spark, sf_dir)).select("query_id", "chunk_id", "rank", "lexical_score", "n_terms")
 
 
 @query("hit_at_k", BM25_SQL + r"""
@@ -50,7 +52,7 @@ def hit_at_k(spark, sf_dir):
     from siftbase.operators.evaluate import expected_passages, hit_rate
 
     chunks, asked = C.chunks(spark, sf_dir), C.benchmark_queries(spark, sf_dir)
-    found = rt.bm25(stored_index(spark, sf_dir), asked)
+    found = bk.bm25(stored_terms(spark, sf_dir), asked)
     return hit_rate(expected_passages(chunks, asked), found)
 
 
@@ -110,17 +112,17 @@ RESULT_COLUMNS = ["query_id", "chunk_id", "rank", "score", "normalized_score", *
 
 @query("retrieve_full", full_retrieval_sql(NO_FILTERS_SQL) + f"SELECT {', '.join(RESULT_COLUMNS)} FROM results")
 def retrieve_full(spark, sf_dir):
-    return rt.retrieve(stored_index(spark, sf_dir), C.benchmark_queries(spark, sf_dir), C.ref_ts()).select(*RESULT_COLUMNS)
+    return bk.retrieve(stored_terms(spark, sf_dir), C.benchmark_queries(spark, sf_dir), C.ref_ts()).select(*RESULT_COLUMNS)
 
 
 @query("retrieve_filtered", full_retrieval_sql(C.FILTERED_SQL) + f"SELECT {', '.join(RESULT_COLUMNS)} FROM results")
 def retrieve_filtered(spark, sf_dir):
-    return rt.retrieve(stored_index(spark, sf_dir), C.filtered_queries(spark, sf_dir), C.ref_ts()).select(*RESULT_COLUMNS)
+    return bk.retrieve(stored_terms(spark, sf_dir), C.filtered_queries(spark, sf_dir), C.ref_ts()).select(*RESULT_COLUMNS)
 
 
 @query("retrieve_zero_match", full_retrieval_sql(C.FILTERED_SQL) + "SELECT query_id, chunk_id, rank, score, freshness_boost, deadline_penalty FROM results WHERE lexical_score = 0")
 def retrieve_zero_match(spark, sf_dir):
-    found = rt.retrieve(stored_index(spark, sf_dir), C.filtered_queries(spark, sf_dir), C.ref_ts())
+    found = bk.retrieve(stored_terms(spark, sf_dir), C.filtered_queries(spark, sf_dir), C.ref_ts())
     return found.filter("lexical_score = 0").select("query_id", "chunk_id", "rank", "score", "freshness_boost", "deadline_penalty")
 
 
@@ -129,8 +131,8 @@ SELECT r.query_id, r.chunk_id, r.rank, coalesce(string_agg(p.term, ' ' ORDER BY
 FROM results r LEFT JOIN (SELECT q.query_id, p.chunk_id, p.term FROM qterms q JOIN postings p USING (term)) p ON p.query_id = r.query_id AND p.chunk_id = r.chunk_id
 GROUP BY r.query_id, r.chunk_id, r.rank""")
 def matched_terms(spark, sf_dir):
-    index, asked = stored_index(spark, sf_dir), C.filtered_queries(spark, sf_dir)
-    found = rt.matched_terms(rt.retrieve(index, asked, C.ref_ts()), index, rt.query_terms(asked))
+    index, asked = stored_terms(spark, sf_dir), C.filtered_queries(spark, sf_dir)
+    found = bk.matched_terms(bk.retrieve(index, asked, C.ref_ts()), index, rt.query_terms(asked))
     return found.select("query_id", "chunk_id", "rank", F.array_join("matched_terms", " ").alias("matched_terms"))
 
 
@@ -202,5 +204,5 @@ asked AS (SELECT request_id || '#' || CAST(plan AS VARCHAR) AS query_id, *, CAST
 merged AS (SELECT request_id, chunk_id, min(pos) AS pos, arg_max(score, [score, -pos]) AS score, arg_max(normalized_score, [score, -pos]) AS normalized_score FROM listed GROUP BY ALL)
 SELECT request_id, chunk_id, row_number() OVER (PARTITION BY request_id ORDER BY pos) AS rank, score, normalized_score FROM merged QUALIFY rank <= 5""")
 def role_merge(spark, sf_dir):
-    found = roles.retrieve_by_role(stored_index(spark, sf_dir), _role_requests(spark, sf_dir), C.ref_ts())
+    found = roles.retrieve_by_role(stored_terms(spark, sf_dir), _role_requests(spark, sf_dir), C.ref_ts(), search=bk.retrieve)
     return found.select(F.col("query_id").alias("request_id"), "chunk_id", "rank", "score", "normalized_score")

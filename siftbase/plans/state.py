@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftbase.functions import dates as D
-from siftbase.operators import evaluate as E, ingest as I, recommend as R, safety as S, sessions as SS
+from siftbase.operators import blocks as bk, evaluate as E, ingest as I, recommend as R, safety as S, sessions as SS
 from siftbase.operators import retrieve as rt
 from siftbase.plans import corpus as C
 from siftbase.plans.guard import INPUT_SQL
 from siftbase.plans.registry import query, table
-from siftbase.plans.retrieval import full_retrieval_sql, stored_index
+from siftbase.plans.retrieval import full_retrieval_sql, stored_terms
 from siftbase.sources import jsonl
 from siftbase.session import shared_dir
 from siftbase.streaming import runs
@@ -76,7 +76,7 @@ recommended AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fina
 def _recommended(spark, sf_dir):
     chunks = C.chunks(spark, sf_dir)
     anchor = F.struct(F.col("canonical_url").alias("url"), F.col("title").alias("label"), F.lit(None).cast("int").alias("page_number"))
-    return R.recommend(stored_index(spark, sf_dir), chunks.withColumn("citation_anchors", F.array(anchor)), profiles(spark, sf_dir), C.ref_ts())
+    return R.recommend(stored_terms(spark, sf_dir), chunks.withColumn("citation_anchors", F.array(anchor)), profiles(spark, sf_dir), C.ref_ts(), search=bk.retrieve, explain=bk.matched_terms)
 
 
 @query("recommend", REC_SQL + "SELECT query_id, position, chunk_id, final_score, match_strength, major_match_score, role_score, optional_score, source_quality_score, freshness_score FROM recommended")
@@ -127,10 +127,11 @@ def source_quality(spark, sf_dir):
     return R.source_quality(c.withColumn("citation_anchors", F.array(anchor)), C.ref_ts()).select("chunk_id", "source_quality_score", "freshness_score")
 
 
-@query("preference_minimising", """SELECT 's' || CAST(event_id AS VARCHAR) AS session_key, trim(' ' || event_type || ' ') AS major, array_to_string((list_filter(list_transform(string_split(replace(props, ':', ','), ','), lambda x: trim(x)), lambda x: x <> ''))[1:5], '|') AS industry,
-  CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS n_failures FROM events""")
+@query("preference_minimising", """SELECT 's' || CAST(event_id AS VARCHAR) AS session_key, trim(' ' || event_type || ' ') AS major, array_to_string(items, '|') AS industry,
+  CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END + CASE WHEN len(items) > 5 THEN 1 ELSE 0 END AS n_failures
+FROM (SELECT *, list_filter(list_transform(string_split(replace(CASE WHEN event_id % 5 = 0 THEN props || ',a,b,c,d' ELSE props END, ':', ','), ','), lambda x: trim(x)), lambda x: x <> '') AS items FROM events)""")
 def preference_minimising(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
+    e = table(spark, sf_dir, "events").withColumn("props", F.when(F.col("event_id") % 5 == 0, F.concat("props", F.lit(",a,b,c,d"))).otherwise(F.col("props")))  # some have six items
     raw = e.select(F.concat(F.lit("s"), F.col("event_id")).alias("session_key"), F.concat(F.lit(" "), "event_type", F.lit(" ")).alias("major"), F.when(F.col("event_id") % 7 != 0, "role").alias("target_role"),
                    F.replace("props", F.lit(":"), F.lit(",")).alias("industry"), F.lit("").alias("region"), F.lit("").alias("employment_type"),
                    F.when(F.col("event_id") % 3 == 0, "sometimes").alias("deadline_sensitivity"), F.lit("free text").alias("session_only_optional_text"))
@@ -167,7 +168,7 @@ def retrieval_evaluation(spark, sf_dir):
     i = F.substring("query_id", 2, 6).cast("bigint")
     cases = asked.drop("query", "top_k").withColumn("expected_source_id", F.concat(F.lit("src"), i % 20)).withColumn(
         "expected_chunk_id", F.concat(F.lit("c"), F.lpad(i.cast("string"), 12, "0"))).withColumn("expected_tier", F.lit("normal_answer")).withColumn("observed_tier", F.lit("normal_answer"))
-    found = rt.retrieve(stored_index(spark, sf_dir), asked, C.ref_ts()).select("query_id", "chunk_id")
+    found = bk.retrieve(stored_terms(spark, sf_dir), asked, C.ref_ts()).select("query_id", "chunk_id")
     chunks = C.chunks(spark, sf_dir).select("chunk_id", "source_id", "collection_category", "source_family", D.effective_status("deadline_raw_text", "deadline_status", C.ref_ts()).alias("status"))
     out = E.retrieval_failures(cases, found.join(chunks, "chunk_id"))
     return out.select("query_id", F.size("failures").cast("bigint").alias("n_failures"), "passed")
@@ -312,20 +313,27 @@ def stream_prefs(spark, sf_dir):
 
 
 # --- sources ------------------------------------------------------------------------
-@query("jsonl_scan", """SELECT kind, count(*) AS n FROM (SELECT CASE WHEN doc_id % 10 = 3 THEN 'invalid JSON' WHEN doc_id % 10 = 4 THEN 'lang must not be empty' ELSE 'valid' END AS kind FROM documents) GROUP BY kind""")
+@query("jsonl_scan", """WITH l AS (SELECT doc_id, doc_id % 16 AS part, doc_id % 10 AS kind FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY doc_id) AS line FROM l WHERE kind <> 5)
+SELECT part, CASE WHEN kind IN (3, 6) OR kind = 4 THEN line END AS line, CASE WHEN kind IN (3, 6) THEN 'invalid JSON' WHEN kind = 4 THEN 'schema invalid: lang must not be empty' END AS message,
+       CASE WHEN kind NOT IN (3, 4, 6) THEN doc_id END AS doc_id FROM n""")
 def jsonl_scan(spark, sf_dir):
-    """Documents written as JSON lines, some broken, then scanned with schema and rules."""
+    """Documents as JSON lines in files of their own, some lines broken, blank or empty: every valid row, and every failure with its file and line."""
     from pyspark.sql.types import StructType
     import uuid
 
-    d = table(spark, sf_dir, "documents")
     i = F.col("doc_id")
+    d = table(spark, sf_dir, "documents").withColumn("part", i % 16)
     line = F.to_json(F.struct("doc_id", "text", F.when(i % 10 == 4, "").otherwise(F.col("lang")).alias("lang")))
+    value = F.when(i % 10 == 3, F.substring(line, 1, 20)).when(i % 10 == 5, "").when(i % 10 == 6, "  ").otherwise(line)
     path = f"{shared_dir(spark)}/siftbase/jsonl-{uuid.uuid4().hex}"
-    d.select(F.when(i % 10 == 3, F.substring(line, 1, 20)).otherwise(line).alias("value")).write.text(path)
+    d.repartition("part").sortWithinPartitions("part", "doc_id").select("part", value.alias("value")).write.partitionBy("part").text(path)
     schema = StructType().add("doc_id", "long").add("text", "string").add("lang", "string")
     ok, bad = jsonl.scan_jsonl(spark, [path], schema, rules=[("lang_filled", F.length("lang") > 0, "lang must not be empty")])
-    return ok.select(F.lit("valid").alias("kind")).unionByName(bad.select(F.col("message").alias("kind"))).groupBy("kind").agg(F.count("*").alias("n"))
+    part = F.regexp_extract("file", r"part=(\d+)", 1).cast("bigint")
+    none = F.lit(None).cast("bigint")
+    failed = bad.select(part.alias("part"), "line", "message", none.alias("doc_id"))
+    return ok.select((i % 16).alias("part"), none.alias("line"), F.lit(None).cast("string").alias("message"), "doc_id").unionByName(failed)
 
 
 @query("canonical_json", """SELECT doc_id, '{"a":{"lang":' || to_json(lang) || ',"source":' || to_json(source) || '},"doc_id":' || CAST(doc_id AS VARCHAR) || ',"z":[' || CAST(n_chars AS VARCHAR) || ']}' AS json FROM documents""")
@@ -351,7 +359,7 @@ def kb_write_read(spark, sf_dir):
     r = records(spark, sf_dir).withColumn("cleaned_text", F.col("text"))
     path = f"{shared_dir(spark)}/siftbase/kb-{uuid.uuid4().hex}"
     jsonl.write_knowledge_base(r.drop("chunk_id", "text"), r.withColumn("chunk_ordinal", F.lit(0)).drop("cleaned_text", "raw_text"), path)
-    back = spark.read.parquet(f"{path}/records")
+    back = jsonl.read_knowledge_base(spark, path, "records")
     return back.groupBy("source_family").agg(F.count("*").alias("records"), F.min("record_id").alias("first_id"), F.count_distinct("source_id").alias("sources"))
 
 
@@ -363,13 +371,16 @@ def _two_writes(batch):
 
 @query("stream_upsert", "SELECT doc_id, lang, sha256(text) AS hash, CAST(1 AS BIGINT) AS version FROM documents")
 def stream_upsert(spark, sf_dir):
-    """Documents streamed twice into versioned snapshots, each as two conflicting writes of which the later wins; the second run merges nothing new."""
+    """Documents streamed in four micro-batches into bucketed snapshots, each as two conflicting writes of which the later wins; the second run merges nothing new."""
     import uuid
 
     from siftbase.sources.snapshots import SnapshotStore
 
-    store = SnapshotStore(f"{shared_dir(spark)}/siftbase/snapshots-{uuid.uuid4().hex}")
-    stream = runs.file_stream(spark, f"{sf_dir}/documents*.parquet", spark.read.parquet(f"{sf_dir}/documents.parquet").schema)
+    store = SnapshotStore(f"{shared_dir(spark)}/siftbase/snapshots-{uuid.uuid4().hex}", key="doc_id", buckets=16)
+    documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    inbox = f"{store.path}-inbox"
+    documents.repartition(4).write.parquet(inbox)
+    stream = runs.file_stream(spark, inbox, documents.schema, 1)  # a micro-batch per file
     for _ in range(2):
         runs.upsert_stream(stream, store, "doc_id", F.col("version"), _two_writes).awaitTermination()
     return store.current(spark).select("doc_id", "lang", "hash", "version")

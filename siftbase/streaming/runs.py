@@ -128,13 +128,18 @@ def upsert_stream(stream: DataFrame, store: SnapshotStore, key: str, order: Colu
     """O-135, O-136: merge each micro-batch into the next snapshot version; a failed batch leaves the current one.
 
     Of the rows of one key in a batch the last by ``order``, a bigint, wins.
+    A store whose ``key`` is this one rewrites only the buckets that a batch touches.
     """
+    if store.key not in (None, key):
+        raise ValueError(f"the store is bucketed by {store.key}, not by {key}")
 
-    def merge(batch: DataFrame, number: int) -> None:
-        rows = (transform(batch) if transform else batch).withColumn("_batch", F.lit(1)).withColumn("_pos", order)
-        current = store.current(batch.sparkSession)
-        if current is not None:
-            rows = current.withColumn("_batch", F.lit(0)).withColumn("_pos", F.lit(0).cast("bigint")).unionByName(rows)
-        store.publish(merge_by_id(rows, key, "_batch", "_pos").drop("_batch", "_pos"))
+    def merge(old: DataFrame | None, batch: DataFrame) -> DataFrame:
+        rows = batch.withColumn("_batch", F.lit(1)).withColumn("_pos", order)
+        if old is not None:
+            rows = old.withColumn("_batch", F.lit(0)).withColumn("_pos", F.lit(0).cast("bigint")).unionByName(rows)
+        return merge_by_id(rows, key, "_batch", "_pos").drop("_batch", "_pos")
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{store.path}/_stream").trigger(availableNow=True).start()
+    def apply(batch: DataFrame, number: int) -> None:
+        store.upsert(transform(batch) if transform else batch, merge)
+
+    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{store.path}/_stream").trigger(availableNow=True).start()

@@ -118,7 +118,7 @@ def test_sink_checks_before_it_writes(spark, tmp_path):
     chunks = chunking.chunk_records(good)
     path = str(tmp_path / "kb")
     jsonl.write_knowledge_base(good, chunks, path)
-    assert spark.read.parquet(f"{path}/records").count() == 3
+    assert jsonl.read_knowledge_base(spark, path, "records").count() == 3
     for bad in (record_rows(spark, title=""), record_rows(spark, record_id="same")):
         with pytest.raises(jsonl.ValidationError):
             jsonl.write_knowledge_base(bad, chunks, str(tmp_path / "no"))
