@@ -8,7 +8,7 @@ neighbours, alike in filter attributes and length.  Its tables:
 - ``bounds``: one row per (term, block) with the greatest term frequency and the
   smallest length, from which no chunk of the block can weigh more.
 
-A batch of queries reads the buckets of its terms only.  It bounds every (query,
+A batch of queries reads the buckets of its terms only.  In a large index it bounds every (query,
 block) from ``bounds``, scores the most promising blocks exactly, takes the
 k-th best score so far as a threshold, and scores of the other blocks only those
 whose bound reaches it.  Blocks below cannot hold a result, so the lists are
@@ -40,6 +40,9 @@ BUCKET_CHUNKS, MAX_BUCKETS, SHARD_CHUNKS = 4_000, 4096, 1_000_000
 #: Blocks of a query that are scored before a threshold is known, and the rounding that a bound must allow for.
 SEEDS, SLACK = 4, 1e-5
 
+#: Bounds cost some jobs of their own: an index of fewer blocks is scored without them.
+SKIP_FROM = 4096
+
 ATTRIBUTES = list(rt.FILTERS.values())
 
 _POSTINGS = "term string, chunk_no long, tf int, in_title boolean, in_category boolean, token_count long, bucket int"
@@ -79,6 +82,11 @@ class TermIndex:
     def n_chunks(self) -> int:
         return sum(s["n_chunks"] for s in self.segments) - self.manifest["n_replaced"]
 
+    @property
+    def n_blocks(self) -> int:
+        """At least so many blocks hold the chunks."""
+        return sum(-(-s["n_chunks"] // (1 << BLOCK_BITS)) for s in self.segments)
+
     @property
     def avg_length(self) -> float:
         """O-88: mean length, at least 1, from the counts of the manifest."""
@@ -187,7 +195,7 @@ def _ddl(df: DataFrame) -> str:
 
 def _weighted(index: TermIndex, terms: DataFrame) -> tuple[DataFrame, list[list[int]]]:
     """(qn, term, idf) of the query terms that occur, and the buckets they are in."""
-    distinct = written(terms.select("term").distinct(), "terms")
+    distinct = terms.select("term").distinct()
     buckets = index.buckets_of(distinct)
     df = index.document_frequencies(distinct, buckets)
     weighted = terms.join(df, "term").select("qn", "term", rt.idf(F.lit(index.n_chunks), F.col("df")).alias("idf"))
@@ -207,10 +215,8 @@ def _bounded(index: TermIndex, weighted: DataFrame, buckets: list[list[int]]) ->
     )
 
 
-def _sums(index: TermIndex, pairs: DataFrame, weighted: DataFrame, buckets: list[list[int]]) -> DataFrame:
-    """Exact sums of the chunks of these (qn, block) pairs: (term, block) is the key, so a frequent term is no hot one."""
-    wanted = stored_side(pairs.select("qn", "block").join(weighted, "qn"), "wanted")
-    return index.postings(buckets).join(wanted, ["term", "block"]).groupBy("qn", "chunk_no").agg(
+def _summed(index: TermIndex, hits: DataFrame) -> DataFrame:
+    return hits.groupBy("qn", "chunk_no").agg(
         F.round(F.sum(_weight(index, "tf", "token_count")), 6).alias("lexical_score"),
         F.round(F.sum(F.col("in_title").cast("int")) * rt.TITLE_BOOST, 6).alias("title_boost"),
         F.round(F.sum(F.col("in_category").cast("int")) * rt.CATEGORY_BOOST, 6).alias("category_boost"),
@@ -218,6 +224,19 @@ def _sums(index: TermIndex, pairs: DataFrame, weighted: DataFrame, buckets: list
     )
 
 
+def _sums(index: TermIndex, pairs: DataFrame, weighted: DataFrame, buckets: list[list[int]]) -> DataFrame:
+    """Exact sums of the chunks of these (qn, block) pairs: (term, block) is the key, so a frequent term is no hot one."""
+    wanted = stored_side(pairs.select("qn", "block").join(weighted, "qn"), "wanted")
+    return _summed(index, index.postings(buckets).join(wanted, ["term", "block"]))
+
+
+def _all_sums(index: TermIndex, weighted: DataFrame, buckets: list[list[int]]) -> DataFrame:
+    """Exact sums of all chunks that hold a term: the postings of the terms are hashed by chunk, so the sum per query is local."""
+    terms = broadcast_if_small(weighted.select("term").distinct())
+    hits = index.postings(buckets).join(terms, "term", "left_semi").repartition("chunk_no")
+    return _summed(index, hits.join(weighted, "term"))
+
+
 def _by_bound(bounded: DataFrame) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("qn").orderBy(F.desc("bound"), "block"))
     return written(bounded.withColumn("_place", place), "bounds")
@@ -225,7 +244,7 @@ def _by_bound(bounded: DataFrame) -> DataFrame:
 
 def _reaching(ranked: DataFrame, thresholds: DataFrame, seeds: int) -> DataFrame:
     """The pairs that are not scored yet and whose bound reaches their query's threshold; all of them where there is none."""
-    rest = ranked.where(F.col("_place") > seeds).join(broadcast_if_small(thresholds), "qn", "left")
+    rest = ranked.where(F.col("_place") > seeds).join(thresholds, "qn", "left")
     return rest.where(F.col("threshold").isNull() | (F.col("bound") + SLACK >= F.col("threshold"))).select("qn", "block")
 
 
@@ -246,7 +265,7 @@ def _block_state(state: DataFrame) -> DataFrame:
 
 def retrieve(
     index: TermIndex, queries: DataFrame, ref_ts: Column, use_nfkc: bool = True, synonym_groups: Sequence[Sequence[str]] = SYNONYM_GROUPS,
-    fillers: Sequence[str] = FILLER_TERMS, listing_terms: Sequence[str] = LISTING_TERMS, max_top_k: int = rt.MAX_TOP_K, seeds: int = SEEDS,
+    fillers: Sequence[str] = FILLER_TERMS, listing_terms: Sequence[str] = LISTING_TERMS, max_top_k: int = rt.MAX_TOP_K, seeds: int = SEEDS, skip_from: int = SKIP_FROM,
 ) -> DataFrame:
     """O-78..O-80, O-89, O-108: the rows of ``retrieve.retrieve``, from the blocks that can hold them.
 
@@ -256,44 +275,51 @@ def retrieve(
     terms = written(rt.query_terms(queries, synonym_groups, fillers, use_nfkc), "query-terms")
     listing = terms.groupBy("query_id").agg(F.bool_or(F.col("term").isin(*listing_terms)).alias("listing"))
     asked = written(queries.drop("query").join(listing, "query_id").withColumn("qn", F.monotonically_increasing_id()), "asked")
-    weighted, buckets = _weighted(index, terms.join(broadcast_if_small(asked.select("query_id", "qn")), "query_id"))
-    state = chunk_state(index, ref_ts)
     numbers = broadcast_if_small(asked.select("query_id", "qn", "top_k", "listing", *rt.FILTERS))
-    unmatched = written(rt.zero_match_candidates(state, asked, max_top_k).join(broadcast_if_small(asked.select("query_id", "qn")), "query_id"), "unmatched")
-
-    blocks = stored_side(_block_state(state), "blocks")
-    bounded = _bounded(index, weighted, buckets).join(blocks, "block").join(numbers, "qn")
-    for values, attribute in rt.FILTERS.items():
-        bounded = bounded.where(F.col(values).isNull() | F.arrays_overlap(F.col(values), F.col(f"_{attribute}")))
-    rest = F.when(F.col("listing"), F.col("_listing")).otherwise(F.col("_plain"))
-    ranked = _by_bound(bounded.select("qn", "block", (F.col("lexical_bound") + F.col("boost_bound") + rest).alias("bound")))
+    weighted, buckets = _weighted(index, terms.join(numbers.select("query_id", "qn"), "query_id"))
+    state = chunk_state(index, ref_ts)
+    unmatched = rt.zero_match_candidates(state, asked, max_top_k).join(numbers.select("query_id", "qn"), "query_id")
 
-    def scored(pairs: DataFrame) -> DataFrame:
-        met = _sums(index, pairs, weighted, buckets).join(state, "chunk_no").join(numbers, "qn").where(rt.passes_filters())
+    def scored(sums: DataFrame) -> DataFrame:
+        met = sums.join(state, "chunk_no").join(numbers, "qn").where(rt.passes_filters())
         met = met.withColumn("deadline_penalty", rt.deadline_penalty(F.col("status"), F.col("listing"))).withColumn("score", rt.total_score())
         return met.where("score > 0").select("qn", "query_id", "chunk_id", "top_k", *rt.FEATURES, "score")
 
-    first = written(scored(ranked.where(F.col("_place") <= seeds)), "first")
-    known = first.unionByName(unmatched.select(*first.columns)).where("boilerplate_penalty < 2")
-    known = known.groupBy("qn", "chunk_id").agg(F.max("score").alias("score"), F.first("top_k").alias("top_k"))
-    place = F.row_number().over(Window.partitionBy("qn").orderBy(F.desc("score")))
-    thresholds = written(known.withColumn("_k", place).where(F.col("_k") == F.col("top_k")).select("qn", F.col("score").alias("threshold")), "thresholds")
-    best = rt._best(first.unionByName(scored(_reaching(ranked, thresholds, seeds))), "qn", max_top_k)
+    if index.n_blocks < skip_from:
+        every = scored(_all_sums(index, weighted, buckets))
+    else:
+        unmatched = written(unmatched, "unmatched")
+        blocks = stored_side(_block_state(state), "blocks")
+        bounded = _bounded(index, weighted, buckets).join(blocks, "block").join(numbers, "qn")
+        for values, attribute in rt.FILTERS.items():
+            bounded = bounded.where(F.col(values).isNull() | F.arrays_overlap(F.col(values), F.col(f"_{attribute}")))
+        rest = F.when(F.col("listing"), F.col("_listing")).otherwise(F.col("_plain"))
+        ranked = _by_bound(bounded.select("qn", "block", (F.col("lexical_bound") + F.col("boost_bound") + rest).alias("bound")))
+        first = written(scored(_sums(index, ranked.where(F.col("_place") <= seeds), weighted, buckets)), "first")
+        known = first.unionByName(unmatched.select(*first.columns)).where("boilerplate_penalty < 2")
+        known = known.groupBy("qn", "chunk_id").agg(F.max("score").alias("score"), F.first("top_k").alias("top_k"))
+        place = F.row_number().over(Window.partitionBy("qn").orderBy(F.desc("score")))
+        thresholds = known.withColumn("_k", place).where(F.col("_k") == F.col("top_k")).select("qn", F.col("score").alias("threshold"))
+        every = first.unionByName(scored(_sums(index, _reaching(ranked, thresholds, seeds), weighted, buckets)))
+    best = rt._best(every, "qn", max_top_k)
     return rt.rank_candidates(best.drop("qn").unionByName(unmatched.drop("qn")))
 
 
-def bm25(index: TermIndex, queries: DataFrame, top_k: int = rt.DEFAULT_TOP_K, use_nfkc: bool = True, seeds: int = SEEDS) -> DataFrame:
+def bm25(index: TermIndex, queries: DataFrame, top_k: int = rt.DEFAULT_TOP_K, use_nfkc: bool = True, seeds: int = SEEDS, skip_from: int = SKIP_FROM) -> DataFrame:
     """O-89, O-101: the rows of ``retrieve.bm25``, from the blocks that can hold them; ``top_k`` has no other bound."""
     numbered = queries.select("query_id", "query").withColumn("qn", F.monotonically_increasing_id())
     norm = computed_once(numbered, {"_n": T.normalize_search_text("query", use_nfkc)}, ["query_id", "qn"])
     terms = written(norm.select("query_id", "qn", F.explode(T.search_terms("_n")).alias("term")), "query-terms")
     weighted, buckets = _weighted(index, terms.select("qn", "term"))
-    ranked = _by_bound(_bounded(index, weighted, buckets).select("qn", "block", F.col("lexical_bound").alias("bound")))
-    scored = lambda pairs: index.alive(_sums(index, pairs, weighted, buckets).select("qn", "chunk_no", "lexical_score", "n_terms"))
-    first = written(scored(ranked.where(F.col("_place") <= seeds)), "first")
-    place = F.row_number().over(Window.partitionBy("qn").orderBy(F.desc("lexical_score")))
-    thresholds = written(first.withColumn("_k", place).where(F.col("_k") == top_k).select("qn", F.col("lexical_score").alias("threshold")), "thresholds")
-    every = first.unionByName(scored(_reaching(ranked, thresholds, seeds)))
+    scored = lambda sums: index.alive(sums.select("qn", "chunk_no", "lexical_score", "n_terms"))
+    if index.n_blocks < skip_from:
+        every = scored(_all_sums(index, weighted, buckets))
+    else:
+        ranked = _by_bound(_bounded(index, weighted, buckets).select("qn", "block", F.col("lexical_bound").alias("bound")))
+        first = written(scored(_sums(index, ranked.where(F.col("_place") <= seeds), weighted, buckets)), "first")
+        place = F.row_number().over(Window.partitionBy("qn").orderBy(F.desc("lexical_score")))
+        thresholds = first.withColumn("_k", place).where(F.col("_k") == top_k).select("qn", F.col("lexical_score").alias("threshold"))
+        every = first.unionByName(scored(_sums(index, _reaching(ranked, thresholds, seeds), weighted, buckets)))
     # ids decide ties, so the cut waits for them; rows that tie with the last place stay until then
     near = every.withColumn("_r", F.rank().over(Window.partitionBy("qn").orderBy(F.desc("lexical_score")))).where(F.col("_r") <= top_k).drop("_r")
     named = index.chunks().select("chunk_no", "chunk_id").join(stored_side(near, "near"), "chunk_no")

@@ -30,12 +30,13 @@ def stop_word_queries(spark, forward):
     return spark.createDataFrame(data, "query_id string, query string, top_k int, collection_categories array<string>")
 
 
-def test_equal_to_the_full_form(spark, sf_dir, forward, terms, monkeypatch):
-    monkeypatch.setattr(bk, "SEEDS", 1)
+def test_equal_to_the_full_form(spark, sf_dir, forward, terms):
+    """With bounds and without."""
     for asked in (C.filtered_queries(spark, sf_dir), stop_word_queries(spark, forward)):
-        assert rows(bk.retrieve(terms, asked, C.ref_ts())) == rows(rt.retrieve(forward, asked, C.ref_ts()))
-        full = rt.bm25(forward, asked)
-        assert rows(bk.bm25(terms, asked).select(full.columns)) == rows(full)
+        expected, full = rows(rt.retrieve(forward, asked, C.ref_ts())), rt.bm25(forward, asked)
+        for options in ({"skip_from": 0, "seeds": 1}, {}):
+            assert rows(bk.retrieve(terms, asked, C.ref_ts(), **options)) == expected
+            assert rows(bk.bm25(terms, asked, **options).select(full.columns)) == rows(full)
 
 
 def test_small_blocks_are_skipped(spark, sf_dir, forward, tmp_path, monkeypatch):
@@ -52,7 +53,7 @@ def test_small_blocks_are_skipped(spark, sf_dir, forward, tmp_path, monkeypatch)
         return out
 
     monkeypatch.setattr(bk, "_reaching", counted)
-    assert rows(bk.retrieve(index, asked, C.ref_ts())) == rows(rt.retrieve(forward, asked, C.ref_ts()))
+    assert rows(bk.retrieve(index, asked, C.ref_ts(), skip_from=0)) == rows(rt.retrieve(forward, asked, C.ref_ts()))
     assert counts["seeds"] + counts["rest"] < 0.6 * counts["all"]
 
 
@@ -95,7 +96,8 @@ def test_upserts_write_segments_and_equal_a_rebuilt_index(spark, sf_dir, forward
     every = ix.term_stats(want)
     assert rows(newer.document_frequencies(every.select("term"))) == rows(every.select("term", "df"))
     expected, full = rows(rt.retrieve(want, asked, C.ref_ts())), rt.bm25(want, asked)
-    assert rows(bk.retrieve(newer, asked, C.ref_ts())) == expected
+    assert rows(bk.retrieve(newer, asked, C.ref_ts())) == expected and rows(bk.retrieve(newer, asked, C.ref_ts(), skip_from=0)) == expected
+    assert rows(bk.bm25(newer, asked, skip_from=0).select(full.columns)) == rows(full)
     assert rows(bk.bm25(newer, asked).select(full.columns)) == rows(full)
     # the version before is still read as it was
     assert rows(bk.retrieve(bk.TermIndex(spark, terms.path, 1), asked, C.ref_ts())) == rows(rt.retrieve(forward, asked, C.ref_ts()))
