@@ -35,11 +35,66 @@ def small_batches(spark, size: str = "8m"):
         spark.conf.set(name, before)
 
 
+def _allocator():
+    import ctypes
+
+    return ctypes.CDLL(None)
+
+
+def _lean() -> None:
+    """Let this Python worker map large arrays one by one, so that freeing one gives its memory back at once."""
+    libc = _allocator()
+    if hasattr(libc, "mallopt"):
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+def _returned() -> None:
+    """Give back what is free when a task ends: an idle worker holds it else as long as it lives."""
+    libc = _allocator()
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def lean_map(run):
+    """A function for ``mapInArrow`` whose worker keeps no free memory."""
+
+    def task(batches):
+        _lean()
+        yield from run(batches)
+        _returned()
+
+    return task
+
+
+def lean_cogroup(run):
+    """A function of key and two groups for ``applyInArrow`` whose worker keeps no free memory."""
+
+    def task(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        _lean()
+        out = run(key, left, right)
+        _returned()
+        return out
+
+    return task
+
+
 def crc_bucket(doc_id: str, parts: int) -> Column:
     """crc32 of the decimal text of an id, modulo ``parts``: the fold of a row."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts
 
 
+def kept(key, make):
+    """``make()``, or what it gave an earlier task of this Python worker.  Only for what can be made again."""
+    import sys
+    import types
+
+    place = sys.modules.setdefault("siftbase_worker", types.ModuleType("siftbase_worker")).__dict__
+    if key not in place:
+        place[key] = make()
+    return place[key]
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary column and the n + 1 offsets into them; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

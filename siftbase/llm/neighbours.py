@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from siftbase.llm.common import broadcast_hot, mixed, utf8
+from siftbase.llm.common import broadcast_hot, lean_cogroup, lean_map, mixed, utf8
 from siftbase.llm.registry import query, table
 from siftbase.session import written
 
@@ -39,6 +39,9 @@ BLOCK, LINES = 2048, 2
 #: Nodes a query keeps, expands at a time and scores exactly, for each wanted neighbour; queries of a block; nodes that every query starts from beside its own.
 BEAM, EXPANDED, EXACT, QUERY_BLOCK, STARTS = 128, 32, 6, 128, 16
 
+#: Comparisons that a task holds before it keeps the nearest of each node.
+FOUND = 300_000
+
 #: Below every cosine.
 NONE = np.float32(-9)
 
@@ -172,7 +175,7 @@ def _coded_rows(nodes: DataFrame, dimension: int, blocks: int, width: int) -> Da
             columns = [pa.array(block_of(node, blocks)), pa.array(node), _packed(codes), *map(_packed, nothing), pa.array(np.full(n, NONE)), pa.array(np.zeros(n, np.int64)), *[pa.array(places[:, k]) for k in range(LINES)]]
             yield pa.RecordBatch.from_arrays(columns, names=["block", "node", "code", "nbr", "sim", "fresh", "kth", "n_fresh", *[f"line{k}" for k in range(LINES)]])
 
-    return written(nodes.mapInArrow(run, schema), "codes")
+    return written(nodes.mapInArrow(lean_map(run), schema), "codes")
 
 
 def _stretches(dimension: int, blocks: int, width: int, block: int):
@@ -307,7 +310,7 @@ def _introduced(dimension: int, blocks: int, width: int, sampled: int):
             for one, other in ((u, w), (w, u)):
                 better = s > kth[one]
                 found.append((one[better], other[better], s[better]))
-            if sum(len(f[0]) for f in found) > 2_000_000 or at + 128 >= len(fresh):
+            if sum(len(f[0]) for f in found) > FOUND or at + 128 >= len(fresh):
                 best = _cut(*(np.concatenate(c) for c in zip(best, *found, strict=True)), width)
                 found = []
         u, w = ids[best[0]] if len(ids) else best[0], ids[best[1]] if len(ids) else best[1]
@@ -397,28 +400,28 @@ def build(
     lines = []
     for k in range(LINES):
         ranged = start.select("node", "code", f"line{k}").repartitionByRange(blocks, f"line{k}").sortWithinPartitions(f"line{k}").select("node", "code")
-        lines.append(ranged.mapInArrow(_stretches(dimension, blocks, neighbours, block), _EDGES))
+        lines.append(ranged.mapInArrow(lean_map(_stretches(dimension, blocks, neighbours, block)), _EDGES))
     found = lines[0]
     for more in lines[1:]:
         found = found.unionByName(more)
     columns = [c.split()[0] for c in _GRAPH.split(", ")]
 
     def merge(graph, edges, turn):
-        made = graph.select(*columns).groupBy("block").cogroup(edges.groupBy("block")).applyInArrow(_merged(dimension, neighbours, sampled, turn), _GRAPH)
+        made = graph.select(*columns).groupBy("block").cogroup(edges.groupBy("block")).applyInArrow(lean_cogroup(_merged(dimension, neighbours, sampled, turn)), _GRAPH)
         return written(made, "graph")
 
     graph, turn = merge(start, found, 0), 0
     while turn < rounds and (graph.agg(F.sum("n_fresh")).first()[0] or 0) > changed * n * neighbours:
         turn += 1
-        back = graph.select("node", "nbr", "fresh").mapInArrow(_reversed(blocks, neighbours, sampled, turn), _EDGES)
+        back = graph.select("node", "nbr", "fresh").mapInArrow(lean_map(_reversed(blocks, neighbours, sampled, turn)), _EDGES)
         listed = graph.select("block", "node", "nbr", "fresh").groupBy("block").cogroup(back.groupBy("block"))
-        lists = written(listed.applyInArrow(_members(neighbours, sampled, turn), "block int, nodes binary, fresh binary, old binary"), "members")
-        wanted = lists.select("block", "fresh", "old").mapInArrow(_wanted(("fresh", "old")), "node long, block int")
+        lists = written(listed.applyInArrow(lean_cogroup(_members(neighbours, sampled, turn)), "block int, nodes binary, fresh binary, old binary"), "members")
+        wanted = lists.select("block", "fresh", "old").mapInArrow(lean_map(_wanted(("fresh", "old"))), "node long, block int")
         vectors = wanted.join(graph.select("node", "code", "kth"), "node")
-        met = lists.groupBy("block").cogroup(vectors.groupBy("block")).applyInArrow(_introduced(dimension, blocks, neighbours, sampled), _EDGES)
+        met = lists.groupBy("block").cogroup(vectors.groupBy("block")).applyInArrow(lean_cogroup(_introduced(dimension, blocks, neighbours, sampled)), _EDGES)
         graph = merge(graph, met, turn)
-    back = graph.select("node", "nbr", "sim").mapInArrow(_backward(blocks, neighbours), _EDGES)
-    walk = graph.select("block", "node", "code", "nbr").groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_adjacent(neighbours), "node long, code binary, adjacent binary")
+    back = graph.select("node", "nbr", "sim").mapInArrow(lean_map(_backward(blocks, neighbours)), _EDGES)
+    walk = graph.select("block", "node", "code", "nbr").groupBy("block").cogroup(back.groupBy("block")).applyInArrow(lean_cogroup(_adjacent(neighbours)), "node long, code binary, adjacent binary")
     return Index(nodes, classes.select("node", "id"), written(walk, "walk"), dimension, n, neighbours, turn)
 
 
@@ -551,15 +554,15 @@ def search(index: Index, queries: DataFrame, k: int = 5, beam: int = BEAM, expan
     scored = _scored(index.dimension, beam)
 
     def score(state):
-        codes = fetch(state.select("block", "pending").mapInArrow(_wanted(("pending",)), "node long, block int"), "code")
-        return written(state.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(scored, _STATE), "beams")
+        codes = fetch(state.select("block", "pending").mapInArrow(lean_map(_wanted(("pending",))), "node long, block int"), "code")
+        return written(state.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(lean_cogroup(scored), _STATE), "beams")
 
-    state = score(queries.mapInArrow(_begun(index.dimension, blocks, beam, common), _STATE))
+    state = score(queries.mapInArrow(lean_map(_begun(index.dimension, blocks, beam, common)), _STATE))
     while (state.agg(F.sum("n_open")).first()[0] or 0) > 0:
-        near = fetch(state.select("block", "beam", "done").mapInArrow(_asking(beam, expanded), "node long, block int"), "adjacent")
-        walked = state.groupBy("block").cogroup(near.groupBy("block")).applyInArrow(_walked(beam, expanded, index.neighbours), _STATE)
+        near = fetch(state.select("block", "beam", "done").mapInArrow(lean_map(_asking(beam, expanded)), "node long, block int"), "adjacent")
+        walked = state.groupBy("block").cogroup(near.groupBy("block")).applyInArrow(lean_cogroup(_walked(beam, expanded, index.neighbours)), _STATE)
         state = score(written(walked, "walked"))
-    pairs = state.select("query", "beam").mapInArrow(_heads(beam, k * exact), "query long, node long")
+    pairs = state.select("query", "beam").mapInArrow(lean_map(_heads(beam, k * exact)), "query long, node long")
     asked = queries.select("query", F.col("embedding").alias("_asked"))
     met = pairs.join(index.nodes, "node").join(asked, "query")
     return met.select("query", "node", cosine("_asked", "embedding").alias("score"))

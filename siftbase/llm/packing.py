@@ -32,16 +32,17 @@ CAPACITY, END = 2048, 0
 BLOCK_ITEMS, ISLANDS, EPOCHS, GENERATIONS, POPULATION, ELITE = 4096, 3, 2, 8, 6, 2
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, text: str = "text", doc_id: str = "doc_id", vocabulary: str = VOCABULARY) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = CAPACITY, text: str = "text", doc_id: str = "doc_id", vocabulary: str = VOCABULARY, keep: bool = True) -> DataFrame:
     """One row per piece: ``_no`` (unique), ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32``.
 
     A document is the ids of its whole text (null: empty) and the id ``END``.
     Longer ones than ``capacity`` are cut so that all pieces but the first are full.
+    ``keep``: workers remember the parts of texts beyond a task (``task_ids``).
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches):
-        encoder, number = task_ids(vocabulary), TaskContext.get().partitionId() << 33
+        encoder, number = task_ids(vocabulary, keep), TaskContext.get().partitionId() << 33
         for whole in batches:
             for batch in slices(whole, "text"):
                 ids, offsets = encoder.rows(*utf8(batch.column("text")))
@@ -194,9 +195,12 @@ def pack(items: DataFrame, capacity: int = CAPACITY, islands: int = ISLANDS, epo
     return full.unionByName(laid)
 
 
-def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY, text: str = "text", doc_id: str = "doc_id", vocabulary: str = VOCABULARY) -> DataFrame:
-    """Pack whole documents: one row per piece with its place (``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id``, ``offset``)."""
-    return pack(written(pieces(docs, capacity, text, doc_id, vocabulary), "pieces"), capacity)
+def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY, text: str = "text", doc_id: str = "doc_id", vocabulary: str = VOCABULARY, keep: bool = True) -> DataFrame:
+    """Pack whole documents: one row per piece with its place (``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id``, ``offset``).
+
+    Null texts are empty ones, rows of equal id are packed each for itself, and an empty table gives an empty one.
+    """
+    return pack(written(pieces(docs, capacity, text, doc_id, vocabulary, keep), "pieces"), capacity)
 
 
 def layouts(packed: DataFrame) -> DataFrame:

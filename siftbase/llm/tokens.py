@@ -13,13 +13,13 @@ from __future__ import annotations
 import numpy as np
 import public_tokenizers
 
-from siftbase.llm.common import Powers, runs, span_hashes
+from siftbase.llm.common import Powers, kept, runs, span_hashes
 
 #: The vocabulary that the token queries use; a parameter of every function here.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 #: Distinct parts that a task remembers; beyond them it starts afresh.
-REMEMBERED = 1 << 18
+REMEMBERED, FEWER = 1 << 20, 1 << 18
 
 _LETTER, _PUNCT, _BLANK, _LINE, _LATIN = 1, 2, 4, 8, 16
 _CLASS = np.zeros(256, np.uint8)
@@ -187,6 +187,10 @@ class Ids:
         return ids, np.concatenate([[0], np.cumsum(lengths)])[np.searchsorted(starts, offsets)]
 
 
-def task_ids(vocabulary: str = VOCABULARY) -> Ids:
-    """An encoder for one task; what it remembers goes with the task, so that idle workers hold nothing."""
-    return Ids(vocabulary)
+def task_ids(vocabulary: str = VOCABULARY, keep: bool = True) -> Ids:
+    """The encoder of this Python worker; later tasks in it find its parts again.
+
+    Without ``keep`` it is one of a task's own, with a smaller memory that goes
+    with the task: for jobs after which other stages need the worker's memory.
+    """
+    return kept(("ids", vocabulary), lambda: Ids(vocabulary)) if keep else Ids(vocabulary, FEWER)
