@@ -83,7 +83,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents with their places in sequences; a null text is an empty one."""
     _bounded(spark)
-    return best_fit_packing(docs)
+    return best_fit_packing(docs, keep=False)  # a worker's memory is for the next stage
 
 
 STAGES = [("language_id", language), ("exact_dedup", exact), ("ngram_jaccard", near), ("mixing", mixture), ("packing", packing)]
