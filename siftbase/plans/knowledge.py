@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftbase.functions import text as T
-from siftbase.operators import chunking, governance as G, html as H, ingest as I, quality as Q
+from siftbase.operators import chunking, elements as EL, governance as G, html as H, ingest as I, quality as Q
 from siftbase.plans import corpus as C
 from siftbase.plans.registry import query, table
 from siftbase.plans.scalars import sql_clean, sql_collapse
@@ -388,6 +388,24 @@ def page_links(spark, sf_dir):
     return H.page_links(table(spark, sf_dir, "pages"), ["page_id"]).select("page_id", "target", "pos", "label")
 
 
+_DETAIL = "/board/view.aspx?idx={}"
+_RULES = (EL.assigned("idx", ["idx"], _DETAIL), EL.in_query("query", ["idx"], _DETAIL), EL.posted_back("postback", ["View"], _DETAIL), EL.called("call", ["goView"], _DETAIL))
+
+
+@query("detail_candidates", """WITH c(n, element, rule, told) AS (VALUES (100, 'div', 'idx', true), (5000, 'button', 'call', true), (7000, 'script', 'idx', true), (300, 'a', 'link', false), (8000, 'a', 'postback', true), (900, 'span', 'idx', true))
+SELECT page_id, lower(regexp_extract(url, '^([a-z]+://[^/?#]+)', 1)) || '/board/view.aspx?idx=' || CAST(n + page_id AS VARCHAR) AS target, element, rule, CASE WHEN told THEN CAST(n + page_id AS VARCHAR) END AS argument FROM pages, c""")
+def detail_candidates(spark, sf_dir):
+    """Pages with a data attribute, a handler, a script, a quoted link, a postback, a repeated id, a comment and another host's id appended."""
+    i = F.col("page_id")
+    parts = [
+        '<div class="x" data-idx="', i + 100, '">t</div><button disabled onclick="if (1 > 0) goView(\'', i + 5000, "')\">b</button><script>var u='/board/view.aspx?idx=", i + 7000, "';</script>",
+        '<!-- <a href="/board/view.aspx?idx=', i + 1, "\">c</a> --><a class=y href='/board/view.aspx?idx=", i + 300, "#top'>v</a><input type=\"button\" value=\"idx: ", i + 100,
+        '"><a href="javascript:__doPostBack(\'x$View\',\'', i + 8000, '\')">p</a><a href="https://other.example.com/board/view.aspx?idx=', i + 2, '">o</a><span ROLE=button DATA-SEQ=', i + 900, ">s</span>",
+    ]
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.concat("html", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]).alias("html"))
+    return EL.detail_candidates(pages, ["page_id"], _RULES, r"/board/view\.aspx\?idx=\d+$").select("page_id", "target", "element", "rule", "argument")
+
+
 _HINTS = ("and", "of", "der", "la")
 
 
