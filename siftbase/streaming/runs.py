@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+import json
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -62,59 +64,131 @@ def reference_stream(events: DataFrame, order: list[str]) -> DataFrame:
     return session_references(events, order)
 
 
+#: Events of a key that are sorted in memory at once, and events of a piece in which the rest waits in the state store.
+RUN_EVENTS, PIECE_EVENTS = 10_000, 256
+
+_EVENT = ("at_micros", "seq", "event", "persist", "expires_micros", *PREFERENCE_FIELDS)
+
+
 class _Preferences(StatefulProcessor):
-    """Profile per session key; a lapsed persistent profile reads as absent."""
+    """Profile per session key; a lapsed persistent profile reads as absent.
+
+    A key's events of a micro-batch are applied in order.  Up to ``RUN_EVENTS``
+    of them are sorted in memory; of more, sorted runs wait in pieces in the
+    state store and are merged, one piece of each run at a time.
+    """
+
+    def __init__(self, timed: bool):
+        self.timed = timed
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        fields = ", ".join(f"{f} string" if f in ("major", "target_role", "deadline_sensitivity") else f"{f} array<string>" for f in PREFERENCE_FIELDS)
-        self.profile = handle.getValueState("profile", f"{fields}, scope string, expires bigint")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values(["at_micros", "seq"])
-        state = dict(zip([*PREFERENCE_FIELDS, "scope", "expires"], self.profile.get())) if self.profile.exists() else None
-        for e in events.itertuples(index=False):
-            if state is not None and state["expires"] is not None and e.at_micros >= state["expires"]:
-                state = None
-            if e.event == "clear":
-                state = None
-                continue
-            given = {f: _plain(getattr(e, f)) for f in PREFERENCE_FIELDS}
-            base = {f: state[f] for f in PREFERENCE_FIELDS} if e.event == "update" and state else dict.fromkeys(PREFERENCE_FIELDS)
-            merged = {f: given[f] if given[f] is not None else base[f] for f in PREFERENCE_FIELDS}
-            if merged["major"] is None or merged["target_role"] is None:
-                continue
-            persist = bool(e.persist)
-            state = {**merged, "scope": "persistent" if persist else "session", "expires": int(e.expires_micros) if persist else None}
+        self.handle = handle
+        self.profile = handle.getValueState("profile", f"{_FIELD_TYPES}, scope string, expires bigint")
+        self.waiting = handle.getMapState("waiting", "run int, piece int", "events string")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        held, pieces = [], []
+        for frame in rows:
+            held += [[_plain(v) for v in e] for e in frame[list(_EVENT)].itertuples(index=False)]
+            while len(held) > RUN_EVENTS:
+                pieces.append(self._set_aside(len(pieces), sorted(held[:RUN_EVENTS], key=_place)))
+                held = held[RUN_EVENTS:]
+        runs = [self._run(number, count) for number, count in enumerate(pieces)]
+        before = self._profile()
+        state = before
+        for event in heapq.merge(*runs, sorted(held, key=_place), key=_place):
+            state = _after(state, dict(zip(_EVENT, event, strict=True)))
+        if pieces:
+            self.waiting.clear()
+        self._lapse_at(before, state)
         if state is None:
             self.profile.clear()
-            values = [None] * (len(PREFERENCE_FIELDS) + 2)
         else:
-            values = [state[f] for f in PREFERENCE_FIELDS] + [state["scope"], state["expires"]]
-            self.profile.update(tuple(values))
-        yield pd.DataFrame([[key[0], *values]], columns=["session_key", *PREFERENCE_FIELDS, "storage_scope", "expires_micros"])
+            self.profile.update(tuple(state.values()))
+        yield _row(key, state)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        state = self._profile()
+        if state is not None and state["expires"] is not None and -(-state["expires"] // 1000) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.profile.clear()
+            yield _row(key, None)
+
+    def _profile(self) -> dict | None:
+        return dict(zip([*PREFERENCE_FIELDS, "scope", "expires"], self.profile.get(), strict=True)) if self.profile.exists() else None
+
+    def _lapse_at(self, before: dict | None, after: dict | None) -> None:
+        """Move the key's timer from the end of the old profile to that of the new one."""
+        old, new = ((-(-s["expires"] // 1000) if s and s["expires"] is not None else None) for s in (before, after))
+        if self.timed and old != new:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            if new is not None:
+                self.handle.registerTimer(new)
+
+    def _set_aside(self, run: int, events: list) -> int:
+        starts = range(0, len(events), PIECE_EVENTS)
+        for piece, start in enumerate(starts):
+            self.waiting.updateValue((run, piece), (json.dumps(events[start : start + PIECE_EVENTS]),))
+        return len(starts)
+
+    def _run(self, run: int, pieces: int) -> Iterator[list]:
+        for piece in range(pieces):
+            yield from json.loads(self.waiting.getValue((run, piece))[0])
 
     def close(self) -> None:
         pass
 
 
+_FIELD_TYPES = ", ".join(f"{f} string" if f in ("major", "target_role", "deadline_sensitivity") else f"{f} array<string>" for f in PREFERENCE_FIELDS)
+
+
+def _place(event: list) -> tuple:
+    return event[0], event[1]
+
+
+def _after(state: dict | None, e: dict) -> dict | None:
+    """The profile after an event."""
+    if state is not None and state["expires"] is not None and e["at_micros"] >= state["expires"]:
+        state = None
+    if e["event"] == "clear":
+        return None
+    base = state if e["event"] == "update" and state else dict.fromkeys(PREFERENCE_FIELDS)
+    merged = {f: e[f] if e[f] is not None else base[f] for f in PREFERENCE_FIELDS}
+    if merged["major"] is None or merged["target_role"] is None:
+        return state
+    return {**merged, "scope": "persistent" if e["persist"] else "session", "expires": int(e["expires_micros"]) if e["persist"] else None}
+
+
+def _row(key: Any, state: dict | None) -> pd.DataFrame:
+    values = [None] * (len(PREFERENCE_FIELDS) + 2) if state is None else list(state.values())
+    return pd.DataFrame([[key[0], *values]], columns=["session_key", *PREFERENCE_FIELDS, "storage_scope", "expires_micros"])
+
+
 def _plain(value: Any) -> Any:
     if value is None or (isinstance(value, float) and value != value):
         return None
     return list(value) if hasattr(value, "__len__") and not isinstance(value, str) else value
 
 
-def preference_stream(events: DataFrame, at: str, seq: str) -> DataFrame:
+def preference_stream(events: DataFrame, at: str, seq: str, lateness: str | None = None) -> DataFrame:
     """O-134 as a stream: the latest state row per session key; a null scope means no profile.
 
-    The state of a key is one small row; needs the RocksDB state store.
+    The state of a key between micro-batches is one small row; needs the RocksDB
+    state store.  Without ``lateness`` every event counts, and a lapse shows when
+    the next event comes or the table is read.  With it, a timer emits the lapse
+    once the newest event is that far beyond it, without an event of the key, and
+    rows that come later than ``lateness`` are dropped, which the batch form
+    never does.
     """
+    if lateness:
+        events = events.withWatermark(at, lateness)
     e = events.filter(valid_preference_event()).select(
         "session_key", "event", *PREFERENCE_FIELDS, F.coalesce("persist", F.lit(False)).alias("persist"), F.unix_micros(at).alias("at_micros"), F.col(seq).alias("seq"),
-        F.coalesce(F.unix_micros("consented_at") + F.col("retention_days") * 86_400_000_000, F.lit(0).cast("bigint")).alias("expires_micros"),
+        F.coalesce(F.unix_micros("consented_at") + F.col("retention_days") * 86_400_000_000, F.lit(0).cast("bigint")).alias("expires_micros"), *([at] if lateness else []),
     )
-    fields = ", ".join(f"{f} string" if f in ("major", "target_role", "deadline_sensitivity") else f"{f} array<string>" for f in PREFERENCE_FIELDS)
     return e.groupBy("session_key").transformWithStateInPandas(
-        statefulProcessor=_Preferences(), outputStructType=f"session_key string, {fields}, storage_scope string, expires_micros bigint", outputMode="Update", timeMode="None"
+        statefulProcessor=_Preferences(bool(lateness)), outputStructType=f"session_key string, {_FIELD_TYPES}, storage_scope string, expires_micros bigint",
+        outputMode="Update", timeMode="EventTime" if lateness else "None",
     )
 
 
