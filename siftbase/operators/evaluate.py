@@ -95,6 +95,46 @@ def retrieval_failures(cases: DataFrame, results: DataFrame) -> DataFrame:
 ISO_START = r"^\d{4}-\d{2}-\d{2}T"
 
 
+def citation_failures(cases: DataFrame, citations: DataFrame, results: DataFrame) -> DataFrame:
+    """O-85: (query_id, failure) of the citations of filtered cases that were answered.
+
+    ``cases``: query_id, refusal_tier and the four filter lists; a case without
+    any list, or refused, is not judged.  ``citations``: query_id, citation_id,
+    chunk_id, url, posted_at, fetched_at, deadline_status, the times as text.
+    ``results``: query_id, chunk_id, source_id, collection_category,
+    source_family, status, one row per chunk of a query.  A citation of a chunk
+    that is not among the results fails for that alone.
+    """
+    from siftbase.operators.retrieve import FILTERS, passes_filters
+
+    judged = cases.filter(F.coalesce(*FILTERS).isNotNull() & ~F.col("refusal_tier").eqNullSafe("hard_refuse")).select("query_id", *FILTERS)
+    cited = citations.select("query_id", "chunk_id", *[F.col(c).alias(f"cited_{c}") for c in ("citation_id", "url", "posted_at", "fetched_at", "deadline_status")])
+    seen = results.select("query_id", "chunk_id", *FILTERS.values()).withColumn("_found", F.lit(True))
+    rows = cited.join(judged, "query_id").join(seen, ["query_id", "chunk_id"], "left")
+
+    def fails(ok: Column, before: str, after: str) -> Column:
+        return F.when(~F.coalesce(ok, F.lit(False)), F.concat(F.lit(before), F.col("cited_citation_id").cast("string"), F.lit(after)))
+
+    failures = F.when(F.col("_found").isNull(), F.array(fails(F.lit(False), "citation ", " does not map to public filtered retrieval results"))).otherwise(
+        F.array_compact(
+            F.array(
+                fails(passes_filters(), "citation ", " cites evidence outside requested filters"),
+                fails(F.col("cited_posted_at").rlike(ISO_START), "filtered citation ", " lacks posted_at"),
+                fails(F.col("cited_fetched_at").rlike(ISO_START), "filtered citation ", " lacks fetched_at"),
+                fails(F.col("cited_deadline_status").isin("active", "expired", "unknown"), "filtered citation ", " lacks deadline_status"),
+                fails(F.col("cited_url").startswith("https://"), "filtered citation ", " lacks HTTPS source URL"),
+            )
+        )
+    )
+    return rows.select("query_id", F.explode(failures).alias("failure"))
+
+
+def prohibited_matches(answers: DataFrame, patterns: DataFrame) -> DataFrame:
+    """O-125: (query_id, failure) of answers that match a pattern of their case; ``patterns`` holds (query_id, pattern)."""
+    hits = patterns.select("query_id", "pattern").join(answers.select("query_id", "answer"), "query_id").filter(F.regexp_like("answer", F.col("pattern")))
+    return hits.select("query_id", F.concat(F.lit("answer contains prohibited pattern "), "pattern").alias("failure"))
+
+
 def answer_checks(cases: DataFrame, institutions: Sequence[str] = DEFAULT_INSTITUTIONS) -> DataFrame:
     """O-126: one row per (case, required check) with its verdict; ``institutions`` are the names whose official endorsement must not be claimed.
 

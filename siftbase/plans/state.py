@@ -12,7 +12,7 @@ from siftbase.plans.guard import INPUT_SQL
 from siftbase.plans.registry import query, table
 from siftbase.plans.retrieval import full_retrieval_sql, stored_terms
 from siftbase.sources import jsonl
-from siftbase.session import shared_dir
+from siftbase.session import shared_dir, written
 from siftbase.streaming import runs
 
 
@@ -174,6 +174,36 @@ def retrieval_evaluation(spark, sf_dir):
     return out.select("query_id", F.size("failures").cast("bigint").alias("n_failures"), "passed")
 
 
+PROHIBITED = (r"zzqx\d+3$", "[.!?] [A-Z]")
+
+
+@query("citation_evaluation", full_retrieval_sql(C.FILTERED_SQL) + f"""
+, cites AS (SELECT r.query_id, r.rank AS k, r.rank % 5 <> 0 AS found FROM results r JOIN asked a USING (query_id)
+  WHERE (len(a.collection_categories) > 0 OR len(a.source_families) > 0 OR len(a.source_ids) > 0 OR len(a.deadline_statuses) > 0) AND CAST(substr(r.query_id, 2) AS BIGINT) % 6 <> 0)
+SELECT query_id, 'citation ' || CAST(k AS VARCHAR) || ' does not map to public filtered retrieval results' AS failure FROM cites WHERE NOT found
+UNION ALL SELECT query_id, 'filtered citation ' || CAST(k AS VARCHAR) || ' lacks posted_at' FROM cites WHERE found AND k % 3 = 0
+UNION ALL SELECT query_id, 'filtered citation ' || CAST(k AS VARCHAR) || ' lacks fetched_at' FROM cites WHERE found AND k % 8 = 0
+UNION ALL SELECT query_id, 'filtered citation ' || CAST(k AS VARCHAR) || ' lacks deadline_status' FROM cites WHERE found AND k % 7 = 0
+UNION ALL SELECT query_id, 'filtered citation ' || CAST(k AS VARCHAR) || ' lacks HTTPS source URL' FROM cites WHERE found AND k % 4 = 0
+UNION ALL SELECT query_id, 'answer contains prohibited pattern ' || pattern FROM asked, (SELECT unnest({C.sql_list(PROHIBITED)}) AS pattern) WHERE regexp_matches(query, pattern)""")
+def citation_evaluation(spark, sf_dir):
+    """Citations made of the retrieved rows, some of them damaged by rank, judged against the rows; the passages stand for answers."""
+    asked = rt.with_defaults(C.filtered_queries(spark, sf_dir))
+    state = C.chunks(spark, sf_dir).select(
+        "chunk_id", "source_id", "collection_category", "source_family", "canonical_url", D.effective_status("deadline_raw_text", "deadline_status", C.ref_ts()).alias("status"))
+    results = written(bk.retrieve(stored_terms(spark, sf_dir), asked, C.ref_ts()).select("query_id", "chunk_id", "rank").join(state, "chunk_id"), "results")
+    k, day = F.col("rank"), F.lit("2026-01-02T00:00:00Z")
+    citations = results.select(
+        "query_id", k.alias("citation_id"), F.when(k % 5 == 0, "none").otherwise(F.col("chunk_id")).alias("chunk_id"),
+        F.when(k % 4 == 0, F.regexp_replace("canonical_url", "^https", "http")).otherwise(F.col("canonical_url")).alias("url"), F.when(k % 3 != 0, day).alias("posted_at"),
+        F.when(k % 8 == 0, "yesterday").otherwise(day).alias("fetched_at"), F.when(k % 7 == 0, "open").otherwise(F.col("status")).alias("deadline_status"),
+    )
+    refused = F.substring("query_id", 2, 6).cast("bigint") % 6 == 0
+    cases = asked.withColumn("refusal_tier", F.when(refused, "hard_refuse").otherwise("normal_answer"))
+    patterns = asked.select("query_id", F.explode(F.array(*[F.lit(p) for p in PROHIBITED])).alias("pattern"))
+    return E.citation_failures(cases, citations, results).unionByName(E.prohibited_matches(asked.withColumnRenamed("query", "answer"), patterns))
+
+
 CHECKS = ("inline_citation", "structured_citation", "korean", "refusal_behavior", "no_guaranteed_outcome", "source_url", "deadline_status")
 
 
