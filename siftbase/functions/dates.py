@@ -14,6 +14,7 @@ DAY = r"(?:3[01]|[12]\d|0?[1-9])"
 MONTH = r"(?:0?[1-9]|1[0-2])"
 OPEN_ENDED = r"채용\s*시\s*까지|채용시까지|상시(?:채용|모집)?"
 D_DAY = r"(?i)D\s*([+-])\s*(\d+)"
+PROSE_D_DAY = r"(?i)(?<![A-Za-z])D\s*([+-])\s*(\d+)"  # in whole pages: the d that ends a word before a phone number is none
 SHORT_DATE = (
     r"(?<!\d)(?:~|마감(?:일)?\s*[:：]?\s*|접수\s*(?:기한|마감)\s*[:：]?\s*)(0?[1-9]|1[0-2])[.\-/월]\s*" + DAY + r"(?:일)?"
 )
@@ -50,7 +51,7 @@ def _date_parts(c: Column, pattern: str) -> Column:
     )
 
 
-def classify_deadline(text: Column | str, ref_ts: Column) -> Column:
+def classify_deadline(text: Column | str, ref_ts: Column, d_day_pattern: str = D_DAY) -> Column:
     """O-63: six ordered rules; a struct of status, raw text and date."""
     t = collapse(text)
     today = ref_date(ref_ts)
@@ -66,8 +67,8 @@ def classify_deadline(text: Column | str, ref_ts: Column) -> Column:
         return F.when(date >= today, "active").otherwise("expired")
 
     open_ended = F.regexp_extract(t, OPEN_ENDED, 0)
-    d_day = F.regexp_extract(t, D_DAY, 0)
-    d_sign, d_count = F.regexp_extract(t, D_DAY, 1), F.regexp_extract(t, D_DAY, 2).cast("decimal(38,0)")
+    d_day = F.regexp_extract(t, d_day_pattern, 0)
+    d_sign, d_count = F.regexp_extract(t, d_day_pattern, 1), F.regexp_extract(t, d_day_pattern, 2).cast("decimal(38,0)")
     short = F.regexp_extract(t, SHORT_DATE, 0)
     short_date = _iso(F.substring(today, 1, 4), F.regexp_extract(t, SHORT_DATE, 1), F.regexp_extract(short, MONTH_DAY, 1))
     full = F.regexp_extract(t, LABELLED_DATE, 0)

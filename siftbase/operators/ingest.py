@@ -92,7 +92,7 @@ def page_records(pages: DataFrame, source: dict[str, str], fetched_at: Column, r
     raw = F.concat_ws("\n", given(F.col("title")), F.when(posted != "", F.concat(F.lit("작성일 "), posted)), given(F.col("body_text")), F.concat(F.lit("공식 상세 URL: "), "canonical_url"))
     p = p.withColumn("raw_text", raw).withColumn("cleaned_text", T.clean_block("raw_text")).withColumn("posted_at", F.try_to_timestamp(D.posted_date(posted)))
     p = with_ids(p.withColumns({k: F.lit(v) for k, v in source.items()}), ("cleaned_text", "canonical_url"))
-    p = p.withColumn("_deadline", D.classify_deadline(F.concat_ws("\n", "title", "body_text"), ref_ts))
+    p = p.withColumn("_deadline", D.classify_deadline(F.concat_ws("\n", "title", "body_text"), ref_ts, D.PROSE_D_DAY))
     anchor = F.struct(F.col("canonical_url").alias("url"), F.concat(F.lit(anchor_label), "title").alias("label"), F.lit(None).cast("int").alias("page_number"))
     return p.select(
         *keep, "record_id", "source_id", "source_name", F.col("canonical_url").alias("source_url"), "canonical_url", "title", "category", "collection_category", "source_family", "category_label_ko",

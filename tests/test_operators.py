@@ -200,3 +200,9 @@ def test_references_without_semicolon_are_text(spark):
     r = H.page_texts(spark.createDataFrame([(1, html)], "id int, html string"), ["id"]).first()
     assert r.title == "R&D a &amp"
     assert r.body_text == "R&D a &ampx <b> &copy 2024 &ampx; A &#65"
+
+
+def test_in_pages_the_d_that_ends_a_word_is_no_d_day(spark):
+    rows = spark.createDataFrame([("sold and +1 (275) 555-5927",), ("D+2",), ("모집D-3",), ("(d - 1)",)], "t string")
+    got = rows.select(D.classify_deadline(F.col("t"), F.lit("2024-06-01").cast("timestamp"), D.PROSE_D_DAY).alias("d")).collect()
+    assert [r.d.status for r in got] == ["unknown", "expired", "active", "active"]
