@@ -79,11 +79,17 @@ def keep_first(df: DataFrame, key: str, position: str) -> DataFrame:
 def orphans(chunks: DataFrame, records: DataFrame) -> DataFrame:
     """O-82: chunks whose record is missing.  The anti-join sees each record id once, however many chunks it has."""
     wanted = chunks.groupBy("record_id").agg(F.count("*").alias("n_chunks"))
-    return wanted.join(records.select("record_id").distinct(), "record_id", "left_anti")
+    return wanted.join(_known(records), "record_id", "left_anti")
+
+
+def _known(records: DataFrame) -> DataFrame:
+    """Distinct record ids; there are as many as records, so they are never sent through the driver, however small their file looks."""
+    return records.select("record_id").distinct().hint("merge")
 
 
 def orphan_rows(chunks: DataFrame, records: DataFrame) -> DataFrame:
-    return salted_join(chunks, orphans(chunks, records).select("record_id"), "record_id", "chunk_id", "left_semi")
+    """The chunks that name a missing record; a null names none.  Tasks with a hot id are split by the adaptive skew join."""
+    return chunks.where(F.col("record_id").isNotNull()).join(_known(records), "record_id", "left_anti")
 
 
 def set_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

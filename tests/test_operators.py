@@ -206,3 +206,16 @@ def test_in_pages_the_d_that_ends_a_word_is_no_d_day(spark):
     rows = spark.createDataFrame([("sold and +1 (275) 555-5927",), ("D+2",), ("모집D-3",), ("(d - 1)",)], "t string")
     got = rows.select(D.classify_deadline(F.col("t"), F.lit("2024-06-01").cast("timestamp"), D.PROSE_D_DAY).alias("d")).collect()
     assert [r.d.status for r in got] == ["unknown", "expired", "active", "active"]
+
+
+def _plan(df):
+    df.write.format("noop").mode("overwrite").save()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_orphan_rows_send_no_ids_through_the_driver(spark):
+    chunks = spark.createDataFrame([(1, 1), (2, 1), (3, 2), (4, None), (5, 3)], "chunk_id long, record_id long")
+    found = Q.orphan_rows(chunks, spark.createDataFrame([(2,), (2,), (None,)], "record_id long"))
+    assert sorted((r.chunk_id, r.record_id) for r in found.collect()) == [(1, 1), (2, 1), (5, 3)]
+    plan = _plan(found)
+    assert "Broadcast" not in plan and "Generate" not in plan
