@@ -115,3 +115,10 @@ def test_matched_terms(spark, sf_dir, forward, terms):
     words = rt.query_terms(asked)
     columns = ["query_id", "chunk_id", "rank", "matched_terms"]
     assert rows(bk.matched_terms(found, terms, words).select(columns)) == rows(rt.matched_terms(found, forward, words).select(columns))
+
+
+def test_chunks_of_the_corpus_are_not_broadcast(spark, sf_dir, terms):
+    found = bk.retrieve(terms, C.filtered_queries(spark, sf_dir), C.ref_ts())
+    found.write.format("noop").mode("overwrite").save()
+    joins = [line for line in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Join" in line and line.count("chunk_no#") == 2]
+    assert joins and not [line for line in joins if "Broadcast" in line]
