@@ -409,8 +409,9 @@ def stream_upsert(spark, sf_dir):
     store = SnapshotStore(f"{shared_dir(spark)}/siftbase/snapshots-{uuid.uuid4().hex}", key="doc_id", buckets=16)
     documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     inbox = f"{store.path}-inbox"
-    documents.repartition(4).write.parquet(inbox)
-    stream = runs.file_stream(spark, inbox, documents.schema, 1)  # a micro-batch per file
+    documents.write.parquet(inbox)  # a file per task, so none holds a share of the whole table
+    files = len(spark.read.schema(documents.schema).parquet(inbox).inputFiles())
+    stream = runs.file_stream(spark, inbox, documents.schema, -(-files // 4))  # four micro-batches
     for _ in range(2):
         runs.upsert_stream(stream, store, "doc_id", F.col("version"), _two_writes).awaitTermination()
     return store.current(spark).select("doc_id", "lang", "hash", "version")

@@ -60,3 +60,23 @@ def test_a_lapse_needs_no_further_event(spark, tmp_path):
     assert timed == {"short": (None, None), "renewed": ("n", "persistent"), "long": ("m", "persistent"), "other": ("o", "session")}
     untimed = {r.session_key: r.storage_scope for r in streamed(spark, tmp_path / "untimed", batches).collect()}
     assert untimed == {"short": "persistent", "renewed": "persistent", "long": "persistent", "other": "session"}
+
+
+def test_the_inbox_of_the_upsert_stream_has_a_file_per_task(spark, sf_dir, tmp_path):
+    import glob
+
+    from siftbase.plans import QUERIES
+    from siftbase.session import shared_dir
+
+    root = shared_dir(spark).removeprefix("file:")
+    before = set(glob.glob(f"{root}/siftbase/snapshots-*-inbox"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    docs.repartition(12).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000000")
+    try:
+        got = QUERIES["stream_upsert"](spark, str(tmp_path))
+        assert got.count() == 60
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (inbox,) = set(glob.glob(f"{root}/siftbase/snapshots-*-inbox")) - before
+    assert len(glob.glob(f"{inbox}/part-*")) > 4
