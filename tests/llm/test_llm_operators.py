@@ -527,3 +527,42 @@ def test_ids_are_those_of_the_tokenizer(tokenizer):
         assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
     check()
+
+
+def test_lm_scores_of_held_out_rows_beat_the_unigram(spark):
+    rng = np.random.default_rng(12)
+    lists = [[f"{c}{i}" for i in range(60)] for c in "xyz"]  # a text keeps to one list: context tells which
+    told = [(i, " ".join(rng.choice(lists[i % 3], 60))) for i in range(3000)]
+    for n, most in ((30, 1.005), (3000, 0.97)):  # with next to nothing to learn from it is the unigram
+        docs = spark.createDataFrame(told[:n], "doc_id long, text string").coalesce(1)
+        got = [r for r in lm_score.lm_scores(docs).collect() if r.held_out]
+        assert got and all(math.isfinite(r.score) for r in got)
+        assert sum(r.score for r in got) > most * sum(r.base_score for r in got)
+
+
+def test_attention_predicts_cells():
+    from siftbase.llm import attention as at
+
+    rng = np.random.default_rng(5)
+    ids = (rng.integers(0, 40, 900) ** 2).astype(np.uint16)
+    offsets = np.array([0, 300, 900])
+    vocab = at.vocabulary(np.bincount(ids, minlength=2000).astype(float))
+    p = {k: v.astype(np.float64) for k, v in at.initial(3).items()}
+    p["cells"] = rng.normal(0, 0.3, p["cells"].shape)
+    inputs, targets, counts = at.cut(ids, offsets)
+    classes, cells = vocab.of[targets].astype(np.int64), vocab.cell[targets]
+    g = at.gradients(p, inputs, classes, counts, vocab, cells)[1]
+    for name in p:
+        at_ = tuple(np.unravel_index(np.argmax(np.abs(g[name])), g[name].shape))
+        ends = []
+        for e in (1e-4, -1e-4):
+            q = {k: v.copy() for k, v in p.items()}
+            q[name][at_] += e
+            ends.append(at.gradients(q, inputs, classes, counts, vocab, cells)[0])
+        assert abs((ends[0] - ends[1]) / 2e-4 - g[name][at_]) < 1e-5, name
+    # after any context the probabilities of all ids sum to one, once classes without ids are out
+    p["bias"][~np.isin(np.arange(at.CLASSES), vocab.of)] = -30
+    head = ids[:5]
+    every = np.concatenate([np.append(head, i) for i in range(2000)]).astype(np.uint16)
+    with_next = at.log10_probabilities(p, vocab, every, np.arange(0, 12001, 6))
+    assert abs((10.0 ** (with_next - at.log10_probabilities(p, vocab, head, np.array([0, 5]))[0])).sum() - 1) < 1e-3
