@@ -196,12 +196,17 @@ def recommend(index, chunks: DataFrame, profiles: DataFrame, ref_ts: Column, sea
     ``search`` and ``explain`` are the retrieval and the matched terms of the kind of ``index``.
     """
     asked = written(profile_queries(profiles), "profile-queries")
-    pool = written(search(index, asked.select("query_id", "query", "top_k", "collection_categories"), ref_ts, **options), "candidates")
-    terms = query_terms(asked, use_nfkc=options.get("use_nfkc", True))
-    with_terms = explain(pool, index, terms)
-    own = asked.drop("query", "top_k", "collection_categories")
-    with_terms = written(with_terms, "results")
-    used = chunks.join(broadcast_if_small(with_terms.select("chunk_id").distinct()), "chunk_id", "left_semi")
+    # profiles that ask the same are searched and explained once
+    same = ["query", "top_k", "collection_categories"]
+    searches = written(asked.groupBy(*same).agg(F.min("query_id").alias("search_id")), "searches")
+    plain = searches.withColumnRenamed("search_id", "query_id")
+    pool = written(search(index, plain, ref_ts, **options), "candidates")
+    terms = query_terms(plain, use_nfkc=options.get("use_nfkc", True))
+    found = written(explain(pool, index, terms).withColumnRenamed("query_id", "search_id"), "explained")
+    members = asked.join(searches, same).select("query_id", "search_id")
+    with_terms = written(members.join(broadcast_if_small(found), "search_id").drop("search_id"), "results")
+    own = asked.drop(*same)
+    used = chunks.join(broadcast_if_small(found.select("chunk_id").distinct()), "chunk_id", "left_semi")
     # evidence is normalised once per used chunk, not once per (profile, chunk)
     payload = with_evidence(used).drop("text").withColumn("deadline_status", D.effective_status("deadline_raw_text", "deadline_status", ref_ts))
     candidates = payload.join(broadcast_if_small(with_terms), "chunk_id").join(broadcast_if_small(own), "query_id")
