@@ -2,15 +2,17 @@
 
 A neighbour of a neighbour is likely a neighbour.  Every node keeps its best
 ``NEIGHBOURS`` so far; in a round it introduces its neighbours, forward and
-reverse, to each other: Spark joins bring the vectors of the members of a block
-of nodes to the block, numpy compares them, and each comparison that beats a
+reverse, to each other: the vectors of the members of a block of nodes come to
+the block, packed in one row per block that sends them, numpy compares them, and each comparison that beats a
 node's worst neighbour goes to that node's block.  Rounds end when few lists
 change.  The start is one comparison within stretches of vectors that lie next
 to each other on a random line.
 
 A query keeps the best ``BEAM`` nodes it has seen and expands the best that it
-has not expanded, until none is left.  The beam's head is then scored on the
-original vectors in double precision.
+has not expanded, until none is left.  What it wants scored goes to the blocks of
+those nodes, packed in one row per block of queries and block of nodes, and the
+cosines come back.  The beam's head is then scored on the original vectors in
+double precision.
 
 Nodes are distinct vectors, so copies cannot fill the lists of each other; each
 node knows the smallest ids of its copies.  Blocks of nodes hold about ``BLOCK``
@@ -24,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siftbase.llm.common import broadcast_hot, lean_cogroup, lean_map, mixed, utf8
@@ -48,6 +51,13 @@ NONE = np.float32(-9)
 _GRAPH = "block int, node long, code binary, nbr binary, sim binary, fresh binary, kth float, n_fresh long"
 _EDGES = "block int, u binary, w binary, s binary"
 _STATE = "block int, query long, code binary, beam binary, sim binary, done binary, pending binary, n_open long"
+_ASKS = "block int, asker int, query binary, code binary, place binary, w binary"
+_NEEDS = "block int, asker int, w binary"
+_SENT = "block int, node binary, code binary, kth binary"
+_TOLD = "block int, query binary, w binary, s binary"
+
+#: Queries whose questions are packed at a time, and pairs that are scored at a time.
+PACKED, PAIRS = 512, 16_384
 
 
 def _flat(column, kind) -> np.ndarray:
@@ -118,12 +128,13 @@ def directions(codes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """A built graph.  ``nodes``: node, embedding; ``members``: node, id (the smallest of its copies); ``graph``: node, code, adjacent (packed ids)."""
+    """A built graph.  ``nodes``: node, embedding; ``members``: node, id (the smallest of its copies); ``graph``: block, node, code, adjacent (packed ids)."""
 
     nodes: DataFrame
     members: DataFrame
     graph: DataFrame
     dimension: int
+    blocks: int
     n_nodes: int
     neighbours: int
     rounds: int
@@ -257,20 +268,35 @@ def _members(width: int, sampled: int, turn: int):
     return run
 
 
-def _wanted(columns: tuple[str, ...], asker: str = "block"):
-    """Distinct (node, block that needs it) of packed columns of ids."""
+def _needed(blocks: int):
+    """Distinct members of the introductions of each block, one row per block that holds them."""
 
     def run(batches):
         for batch in batches:
-            blocks = batch.column(asker).to_pylist()
-            held: dict[int, list] = {}
-            for name in columns:
-                for block, ids in zip(blocks, batch.column(name).to_pylist(), strict=True):
-                    held.setdefault(block, []).append(np.frombuffer(ids or b"", np.int64))
-            for block, ids in held.items():
-                some = np.unique(np.concatenate(ids))
-                some = some[some >= 0]
-                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), block, np.int32))], names=["node", "block"])
+            for asker, *lists in zip(*[batch.column(c).to_pylist() for c in ("block", "fresh", "old")], strict=True):
+                w = np.unique(np.concatenate([np.frombuffer(ids or b"", np.int64) for ids in lists]))
+                w = w[w >= 0]
+                asks = _by_block(block_of(w, blocks), w=w)
+                yield pa.RecordBatch.from_arrays([asks.column("block"), pa.array(np.full(asks.num_rows, asker, np.int32)), asks.column("w")], names=["block", "asker", "w"])
+
+    return run
+
+
+def _sent(dimension: int):
+    """The vectors of a block's nodes for every block that needs some, packed in one row for each."""
+
+    def run(key, needs: pa.Table, graph: pa.Table) -> pa.Table:
+        ids = graph.column("node").to_numpy()
+        order = np.argsort(ids)
+        ids = ids[order]
+        codes, kth = _rows(graph.column("code"), np.uint8, dimension + 4)[order], graph.column("kth").to_numpy()[order].astype("<f4")
+        askers, packed = [], []
+        for asker, w in zip(needs.column("asker").to_pylist(), needs.column("w").to_pylist(), strict=True) if len(ids) else []:
+            at = np.searchsorted(ids, np.frombuffer(w, np.int64))
+            askers.append(asker)
+            packed.append((ids[at].tobytes(), codes[at].tobytes(), kth[at].tobytes()))
+        columns = [pa.array(askers, pa.int32()), *[pa.array([p[i] for p in packed], pa.binary()) for i in range(3)]]
+        return pa.table(columns, names=["block", "node", "code", "kth"])
 
     return run
 
@@ -289,11 +315,11 @@ def _introduced(dimension: int, blocks: int, width: int, sampled: int):
     """Compare the members of every node of a block; keep what beats the worst neighbour of either end."""
 
     def run(key, lists: pa.Table, vectors: pa.Table) -> pa.Table:
-        ids = vectors.column("node").to_numpy()
+        ids = _flat(vectors.column("node"), np.int64)
         order = np.argsort(ids)
         ids = ids[order]
         x = directions(_rows(vectors.column("code"), np.uint8, dimension + 4)[order])
-        kth = vectors.column("kth").to_numpy()[order]
+        kth = _flat(vectors.column("kth"), np.float32)[order]
         fresh, old = _rows(lists.column("fresh"), np.int64, 2 * sampled), _rows(lists.column("old"), np.int64, width + sampled)
         best, found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)], []
         for at in range(0, len(fresh), 128):
@@ -362,7 +388,8 @@ def _adjacent(width: int):
         at, w, s = np.searchsorted(node, _flat(edges.column("u"), np.int64)), _flat(edges.column("w"), np.int64), _flat(edges.column("s"), np.float32)
         keep = _best(at, -s, width)
         both = np.concatenate([nbr, _filled(at[keep], w[keep], len(node), width)], axis=1)
-        return pa.table([pa.array(node), graph.column("code").combine_chunks().take(pa.array(order)), _packed(both)], names=["node", "code", "adjacent"])
+        block = pa.array(np.full(len(node), key[0].as_py(), np.int32))
+        return pa.table([block, pa.array(node), graph.column("code").combine_chunks().take(pa.array(order)), _packed(both)], names=["block", "node", "code", "adjacent"])
 
     return run
 
@@ -416,13 +443,13 @@ def build(
         back = graph.select("node", "nbr", "fresh").mapInArrow(lean_map(_reversed(blocks, neighbours, sampled, turn)), _EDGES)
         listed = graph.select("block", "node", "nbr", "fresh").groupBy("block").cogroup(back.groupBy("block"))
         lists = written(listed.applyInArrow(lean_cogroup(_members(neighbours, sampled, turn)), "block int, nodes binary, fresh binary, old binary"), "members")
-        wanted = lists.select("block", "fresh", "old").mapInArrow(lean_map(_wanted(("fresh", "old"))), "node long, block int")
-        vectors = wanted.join(graph.select("node", "code", "kth"), "node")
+        needs = lists.select("block", "fresh", "old").mapInArrow(lean_map(_needed(blocks)), _NEEDS)
+        vectors = needs.groupBy("block").cogroup(graph.select("block", "node", "code", "kth").groupBy("block")).applyInArrow(lean_cogroup(_sent(dimension)), _SENT)
         met = lists.groupBy("block").cogroup(vectors.groupBy("block")).applyInArrow(lean_cogroup(_introduced(dimension, blocks, neighbours, sampled)), _EDGES)
         graph = merge(graph, met, turn)
     back = graph.select("node", "nbr", "sim").mapInArrow(lean_map(_backward(blocks, neighbours)), _EDGES)
-    walk = graph.select("block", "node", "code", "nbr").groupBy("block").cogroup(back.groupBy("block")).applyInArrow(lean_cogroup(_adjacent(neighbours)), "node long, code binary, adjacent binary")
-    return Index(nodes, classes.select("node", "id"), written(walk, "walk"), dimension, n, neighbours, turn)
+    walk = graph.select("block", "node", "code", "nbr").groupBy("block").cogroup(back.groupBy("block")).applyInArrow(lean_cogroup(_adjacent(neighbours)), "block int, node long, code binary, adjacent binary")
+    return Index(nodes, classes.select("node", "id"), written(walk, "walk"), dimension, blocks, n, neighbours, turn)
 
 
 def _next(beam: np.ndarray, done: np.ndarray, expanded: int) -> np.ndarray:
@@ -479,22 +506,70 @@ def _walked(beam_width: int, expanded: int, width: int):
     return run
 
 
-def _scored(dimension: int, beam_width: int):
-    """Score what is pending and keep the nearest in the beam."""
+def _asked(dimension: int, blocks: int):
+    """What the queries of a batch want scored, one row per block of queries and block of nodes."""
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, PACKED):
+                batch = whole.slice(at, PACKED)
+                w = _flat(batch.column("pending"), np.int64)
+                if not len(w):
+                    continue
+                row = np.repeat(np.arange(batch.num_rows), pc.binary_length(batch.column("pending")).to_numpy(zero_copy_only=False) // 8)
+                asker, to = batch.column("block").to_numpy()[row], block_of(w, blocks)
+                order = np.lexsort((w, row, to, asker))
+                w, row, asker, to = w[order], row[order], asker[order], to[order]
+                cut = np.flatnonzero(np.append(True, (asker[1:] != asker[:-1]) | (to[1:] != to[:-1])))
+                query, codes = batch.column("query").to_numpy(), _rows(batch.column("code"), np.uint8, dimension + 4)
+                packed = []
+                for a, b in zip(cut, np.append(cut[1:], len(w)), strict=True):
+                    own, place = np.unique(row[a:b], return_inverse=True)
+                    packed.append([query[own].tobytes(), codes[own].tobytes(), place.astype(np.int32).tobytes(), w[a:b].tobytes()])
+                columns = [pa.array(to[cut], pa.int32()), pa.array(asker[cut], pa.int32()), *[pa.array([p[i] for p in packed], pa.binary()) for i in range(4)]]
+                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _ASKS.split(", ")])
+
+    return run
+
+
+def _answered(dimension: int):
+    """The cosines of a block's nodes and the queries that ask for them."""
+
+    def run(key, asks: pa.Table, graph: pa.Table) -> pa.Table:
+        ids = graph.column("node").to_numpy()
+        order = np.argsort(ids)
+        ids = ids[order]
+        x = directions(_rows(graph.column("code"), np.uint8, dimension + 4)[order])
+        told = []
+        for ask in asks.to_pylist() if len(ids) else []:
+            query, place, w = (np.frombuffer(ask[c], kind) for c, kind in (("query", np.int64), ("place", np.int32), ("w", np.int64)))
+            own = directions(np.frombuffer(ask["code"], np.uint8).reshape(-1, dimension + 4))
+            at = np.minimum(np.searchsorted(ids, w), len(ids) - 1)
+            here = ids[at] == w
+            at, place, w = at[here], place[here], w[here]
+            s = [np.einsum("ij,ij->i", x[at[i : i + PAIRS]], own[place[i : i + PAIRS]]) for i in range(0, len(w), PAIRS)]
+            told.append((ask["asker"], query[place].tobytes(), w.tobytes(), np.concatenate([np.zeros(0, np.float32), *s]).astype("<f4").tobytes()))
+        columns = [pa.array([t[i] for t in told], kind) for i, kind in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))]
+        return pa.table(columns, names=["block", "query", "w", "s"])
+
+    return run
+
+
+def _scored(beam_width: int):
+    """Keep the nearest of what the beams hold and what was scored for them."""
 
     def run(key, state: pa.Table, told: pa.Table) -> pa.Table:
-        ids, first = _distinct_nodes(told)
-        x = directions(_rows(told.column("code"), np.uint8, dimension + 4)[first])
-        own = directions(_rows(state.column("code"), np.uint8, dimension + 4))
         beam, sim, done = (_rows(state.column(c), kind, beam_width) for c, kind in (("beam", np.int64), ("sim", np.float32), ("done", np.uint8)))
-        for r, blob in enumerate(state.column("pending").to_pylist()):
-            w = np.frombuffer(blob or b"", np.int64)
-            if not len(w) or not len(ids):
-                continue
-            at = np.minimum(np.searchsorted(ids, w), len(ids) - 1)
-            at, w = at[ids[at] == w], w[ids[at] == w]
-            s = x[at] @ own[r]
-            both, sims, flags = np.concatenate([beam[r], w]), np.concatenate([sim[r], s]), np.concatenate([done[r], np.zeros(len(w), np.uint8)])
+        ids = state.column("query").to_numpy()
+        by_id = np.argsort(ids)
+        row = by_id[np.searchsorted(ids, _flat(told.column("query"), np.int64), sorter=by_id)]
+        w, s = _flat(told.column("w"), np.int64), _flat(told.column("s"), np.float32)
+        order = np.argsort(row, kind="stable")
+        row, w, s = row[order], w[order], s[order]
+        ends = np.searchsorted(row, np.arange(len(beam) + 1))
+        for r in np.unique(row):
+            mine = slice(ends[r], ends[r + 1])
+            both, sims, flags = np.concatenate([beam[r], w[mine]]), np.concatenate([sim[r], s[mine]]), np.append(done[r], np.zeros(ends[r + 1] - ends[r], np.uint8))
             top = np.lexsort((both, -sims))[:beam_width]
             beam[r], sim[r], done[r] = both[top], sims[top], flags[top]
         n_open = ((beam >= 0) & (done == 0)).sum(axis=1).astype(np.int64)
@@ -505,8 +580,10 @@ def _scored(dimension: int, beam_width: int):
     return run
 
 
-def _begun(dimension: int, blocks: int, beam_width: int, starts: list[int]):
-    """Empty beams; pending are the common starts and, if the query is a node, that node."""
+def _begun(dimension: int, blocks: int, beam_width: int, starts: list[int], codes: list[bytes]):
+    """Beams of the common starts, which every query scores where it is; pending is the query's own node, if it is one."""
+    order = np.argsort(np.array(starts, np.int64))
+    ids, x = np.array(starts, np.int64)[order], directions(np.frombuffer(b"".join(codes), np.uint8).reshape(-1, dimension + 4)[order])
 
     def run(batches):
         for batch in batches:
@@ -514,10 +591,16 @@ def _begun(dimension: int, blocks: int, beam_width: int, starts: list[int]):
             if not n:
                 continue
             values = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, dimension)
-            ids = batch.column("query").to_numpy()
-            pending = [np.unique(np.array([*starts, *([s] if s is not None else [])], np.int64)).tobytes() for s in batch.column("start").to_pylist()]
-            nothing = [np.full((n, beam_width), -1, np.int64), np.full((n, beam_width), NONE), np.zeros((n, beam_width), np.uint8)]
-            columns = [pa.array(block_of(ids, blocks)), pa.array(ids), _packed(coded(values)), *map(_packed, nothing), pa.array(pending, pa.binary()), pa.array(np.zeros(n, np.int64))]
+            query, own = batch.column("query").to_numpy(), coded(values)
+            pending = [np.array([s] if s is not None and s not in starts else [], np.int64).tobytes() for s in batch.column("start").to_pylist()]
+            beam, sim = np.full((n, beam_width), -1, np.int64), np.full((n, beam_width), NONE)
+            near = np.stack([np.einsum("ij,j->i", directions(own), v) for v in x], axis=1) if len(ids) else np.zeros((n, 0), np.float32)
+            top = np.argsort(-near, axis=1, kind="stable")[:, :beam_width]
+            beam[:, : top.shape[1]], sim[:, : top.shape[1]] = ids[top], np.take_along_axis(near, top, 1)
+            columns = [
+                pa.array(block_of(query, blocks)), pa.array(query), _packed(own), _packed(beam), _packed(sim), _packed(np.zeros((n, beam_width), np.uint8)),
+                pa.array(pending, pa.binary()), pa.array((beam >= 0).sum(axis=1).astype(np.int64)),
+            ]
             yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _STATE.split(", ")])
 
     return run
@@ -549,17 +632,19 @@ def search(index: Index, queries: DataFrame, k: int = 5, beam: int = BEAM, expan
     """
     queries = written(queries.select("query", "embedding", "start"), "queries")
     blocks = max(1, -(-queries.count() // query_block))
-    common = [r.node for r in index.graph.select("node").orderBy(F.xxhash64("node"), "node").limit(starts).collect()]
-    fetch = lambda wanted, column: wanted.join(index.graph.select("node", column), "node")
-    scored = _scored(index.dimension, beam)
+    common = index.graph.select("node", "code").orderBy(F.xxhash64("node"), "node").limit(starts).collect()
+    begun = _begun(index.dimension, blocks, beam, [r.node for r in common], [bytes(r.code) for r in common])
+    codes = index.graph.select("block", "node", "code").groupBy("block")
 
     def score(state):
-        codes = fetch(state.select("block", "pending").mapInArrow(lean_map(_wanted(("pending",))), "node long, block int"), "code")
-        return written(state.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(lean_cogroup(scored), _STATE), "beams")
+        asks = state.select("block", "query", "code", "pending").mapInArrow(lean_map(_asked(index.dimension, index.blocks)), _ASKS)
+        told = asks.groupBy("block").cogroup(codes).applyInArrow(lean_cogroup(_answered(index.dimension)), _TOLD)
+        return written(state.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lean_cogroup(_scored(beam)), _STATE), "beams")
 
-    state = score(queries.mapInArrow(lean_map(_begun(index.dimension, blocks, beam, common)), _STATE))
+    state = score(queries.mapInArrow(lean_map(begun), _STATE))
     while (state.agg(F.sum("n_open")).first()[0] or 0) > 0:
-        near = fetch(state.select("block", "beam", "done").mapInArrow(lean_map(_asking(beam, expanded)), "node long, block int"), "adjacent")
+        wanted = state.select("block", "beam", "done").mapInArrow(lean_map(_asking(beam, expanded)), "node long, block int")
+        near = wanted.join(index.graph.select("node", "adjacent"), "node")
         walked = state.groupBy("block").cogroup(near.groupBy("block")).applyInArrow(lean_cogroup(_walked(beam, expanded, index.neighbours)), _STATE)
         state = score(written(walked, "walked"))
     pairs = state.select("query", "beam").mapInArrow(lean_map(_heads(beam, k * exact)), "query long, node long")

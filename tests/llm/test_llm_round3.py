@@ -227,3 +227,51 @@ def test_search_of_new_vectors(spark, sf_dir):
         s = {n: x @ np.array(v) / np.linalg.norm(x) / np.linalg.norm(v) for n, x in nodes.items()}
         hits += len(set(sorted(s, key=s.get)[-5:]) & set(sorted(got[q], key=got[q].get)[-5:]))
     assert hits >= 45
+
+
+def test_walk_asks_blocks():
+    """What queries want scored is a row per block of queries and block of nodes, not one per node; every pair comes back with its cosine."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    nodes, n, dimension, blocks = np.arange(5000, dtype=np.int64) * 7, 300, 16, 3
+    vectors, asked = neighbours.coded(rng.standard_normal((len(nodes), dimension))), neighbours.coded(rng.standard_normal((n, dimension)))
+    pending = [np.sort(rng.choice(nodes, 400, replace=False)) if q % 5 else nodes[:0] for q in range(n)]
+    state = pa.RecordBatch.from_arrays(
+        [pa.array(np.arange(n, dtype=np.int32) % 2), pa.array(np.arange(n)), neighbours._packed(asked), pa.array([p.tobytes() for p in pending], pa.binary())], names=["block", "query", "code", "pending"]
+    )
+    asks = pa.Table.from_batches(neighbours._asked(dimension, blocks)([state.slice(0, 150), state.slice(150)]))
+    assert asks.num_rows <= 2 * 2 * blocks
+    got, home = {}, neighbours.block_of(nodes, blocks)
+    for b in range(blocks):
+        mine = asks.filter(pa.compute.equal(asks["block"], b))
+        graph = pa.table({"node": nodes[home == b], "code": neighbours._packed(vectors[home == b])})
+        for r in neighbours._answered(dimension)((pa.scalar(b),), mine, graph).to_pylist():
+            for q, w, s in zip(*[np.frombuffer(r[c], k).tolist() for c, k in (("query", np.int64), ("w", np.int64), ("s", np.float32))], strict=True):
+                assert q % 2 == r["block"] and (q, w) not in got
+                got[q, w] = s
+    assert got.keys() == {(q, w) for q in range(n) for w in pending[q].tolist()}
+    x, own = neighbours.directions(vectors), neighbours.directions(asked)
+    assert all(abs(s - float(x[w // 7] @ own[q])) < 1e-5 for (q, w), s in got.items())
+
+
+def test_introductions_need_blocks():
+    """Members' vectors travel in one row per block that needs and block that holds them; each comes once, with its own vector and limit."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(10)
+    nodes, dimension, blocks = np.arange(3000, dtype=np.int64) * 5, 16, 4
+    vectors, kth, home = neighbours.coded(rng.standard_normal((len(nodes), dimension))), rng.random(len(nodes)).astype(np.float32), neighbours.block_of(nodes, blocks)
+    lists = [[np.append(rng.choice(nodes, 2000), -1) for _ in range(blocks)] for _ in range(2)]
+    table_ = pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), *[pa.array([x.tobytes() for x in y], pa.binary()) for y in lists]], names=["block", "fresh", "old"])
+    needs = pa.Table.from_batches(neighbours._needed(blocks)([table_]))
+    assert needs.num_rows <= blocks * blocks
+    got = {b: [] for b in range(blocks)}
+    for b in range(blocks):
+        mine, at = needs.filter(pa.compute.equal(needs["block"], b)), np.flatnonzero(home == b)
+        graph = pa.table({"node": nodes[at], "code": neighbours._packed(vectors[at]), "kth": kth[at]})
+        for r in neighbours._sent(dimension)((pa.scalar(b),), mine, graph).to_pylist():
+            node = np.frombuffer(r["node"], np.int64)
+            assert (np.frombuffer(r["code"], np.uint8).reshape(-1, dimension + 4) == vectors[node // 5]).all() and (np.frombuffer(r["kth"], np.float32) == kth[node // 5]).all()
+            got[r["block"]] += node.tolist()
+    assert all(sorted(got[b]) == sorted({i for y in lists for i in y[b].tolist() if i >= 0}) for b in got)
