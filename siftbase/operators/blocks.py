@@ -8,7 +8,7 @@ neighbours, alike in filter attributes and length.  Its tables:
 - ``bounds``: one row per (term, block) with the greatest term frequency and the
   smallest length, from which no chunk of the block can weigh more.
 
-A batch of queries reads the buckets of its terms only.  In a large index it bounds every (query,
+A batch of queries reads the buckets of its terms only.  A small batch in a large index bounds every (query,
 block) from ``bounds``, scores the most promising blocks exactly, takes the
 k-th best score so far as a threshold, and scores of the other blocks only those
 whose bound reaches it.  Blocks below cannot hold a result, so the lists are
@@ -40,8 +40,8 @@ BUCKET_CHUNKS, MAX_BUCKETS, SHARD_CHUNKS = 4_000, 4096, 1_000_000
 #: Blocks of a query that are scored before a threshold is known, and the rounding that a bound must allow for.
 SEEDS, SLACK = 4, 1e-5
 
-#: Bounds cost some jobs of their own: an index of fewer blocks is scored without them.
-SKIP_FROM = 4096
+#: Bounds cost some jobs of their own and a row for each query and block: an index of fewer blocks, and a batch of more such pairs, is scored without them.
+SKIP_FROM, SKIP_PAIRS = 4096, 1 << 18
 
 ATTRIBUTES = list(rt.FILTERS.values())
 
@@ -202,6 +202,10 @@ def _weighted(index: TermIndex, terms: DataFrame) -> tuple[DataFrame, list[list[
     return stored_side(weighted, "weighted"), buckets
 
 
+def _bounds_pay(index: TermIndex, queries: DataFrame, skip_from: int) -> bool:
+    return index.n_blocks >= skip_from and index.n_blocks * queries.count() <= SKIP_PAIRS
+
+
 def _weight(index: TermIndex, tf: str, length: str) -> Column:
     return rt.bm25_weight(F.col("idf"), F.col(tf), F.col(length), F.lit(index.avg_length))
 
@@ -279,7 +283,7 @@ def retrieve(
         met = met.withColumn("deadline_penalty", rt.deadline_penalty(F.col("status"), F.col("listing"))).withColumn("score", rt.total_score())
         return met.where("score > 0").select("qn", "query_id", "chunk_id", "top_k", *rt.FEATURES, "score")
 
-    if index.n_blocks < skip_from:
+    if not _bounds_pay(index, asked, skip_from):
         found = sc.top_lists(index.postings(buckets), weighted, asked, state, index.n_chunks, _weight(index, "tf", "token_count"))
         every = scored(rt._best(found, "qn", max_top_k).select("qn", "chunk_no", "lexical_score", "title_boost", "category_boost"))
     else:
@@ -309,7 +313,7 @@ def bm25(index: TermIndex, queries: DataFrame, top_k: int = rt.DEFAULT_TOP_K, us
     order = Window.partitionBy("qn").orderBy(F.desc("lexical_score"), "chunk_id")
     ids = broadcast_if_small(terms.select("qn", "query_id").distinct())
     result = ["query_id", "chunk_id", "lexical_score", "n_terms", "rank"]
-    if index.n_blocks < skip_from:
+    if not _bounds_pay(index, ids, skip_from):
         none = F.lit(None).cast("array<string>")
         asked = terms.select("qn").distinct().select("qn", F.lit(top_k).alias("top_k"), F.lit(False).alias("listing"), *[none.alias(v) for v in rt.FILTERS])
         plain = index.chunks().select("chunk_no", "chunk_id", *[F.lit("").alias(a) for a in ATTRIBUTES], *[F.lit(0.0).alias(v) for v in sc.STATE])
