@@ -388,7 +388,8 @@ def kb_write_read(spark, sf_dir):
 
     r = records(spark, sf_dir).withColumn("cleaned_text", F.col("text"))
     path = f"{shared_dir(spark)}/siftbase/kb-{uuid.uuid4().hex}"
-    jsonl.write_knowledge_base(r.drop("chunk_id", "text"), r.withColumn("chunk_ordinal", F.lit(0)).drop("cleaned_text", "raw_text"), path)
+    chunked = r.where(F.col("text").rlike(r"\S"))  # a record without text has no chunk
+    jsonl.write_knowledge_base(r.drop("chunk_id", "text"), chunked.withColumn("chunk_ordinal", F.lit(0)).drop("cleaned_text", "raw_text"), path)
     back = jsonl.read_knowledge_base(spark, path, "records")
     return back.groupBy("source_family").agg(F.count("*").alias("records"), F.min("record_id").alias("first_id"), F.count_distinct("source_id").alias("sources"))
 

@@ -31,3 +31,16 @@ def test_verify_kb(spark, empty_dir):
     equals_sql(spark, empty_dir, "verify_kb")
     # the rule itself holds: a chunk without text fails
     assert Q.rule_report(records(spark, empty_dir).withColumn("chunk_ordinal", F.lit(0)), "chunk_id", Q.chunk_rules()).where("rule = 'text_filled'").count() == 4
+
+
+def test_kb_write_read(spark, empty_dir, monkeypatch):
+    """Every record is written; those without text have no chunk, as in the reference."""
+    counts, write = [], jsonl.write_knowledge_base
+
+    def counted(records, chunks, path):
+        counts.append((records.count(), chunks.count()))
+        return write(records, chunks, path)
+
+    monkeypatch.setattr(jsonl, "write_knowledge_base", counted)
+    equals_sql(spark, empty_dir, "kb_write_read")
+    assert counts == [(200, 196)]
