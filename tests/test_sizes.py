@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from siftbase.operators import blocks as bk, index as ix, retrieve as rt
+from siftbase.operators import blocks as bk, index as ix, retrieve as rt, scoring as sc
 from siftbase.plans import corpus as C
 from siftbase.session import stored_side, written
 from test_retrieval import rows
@@ -36,3 +36,25 @@ def test_a_batch_of_many_query_block_pairs_needs_no_bounds(spark, sf_dir, forwar
     assert rows(bk.retrieve(index, asked, C.ref_ts(), skip_from=0)) == rows(rt.retrieve(forward, asked, C.ref_ts()))
     full = rt.bm25(forward, asked)
     assert rows(bk.bm25(index, asked, skip_from=0).select(full.columns)) == rows(full)
+
+
+def test_a_task_keeps_the_best_rows_of_all_its_groups(spark, sf_dir, forward, tmp_path, monkeypatch):
+    """One task, many groups of chunks: top_k rows per query, not per query and group, and no copy of a group is shuffled."""
+    monkeypatch.setattr(sc, "GROUP_CHUNKS", 30)
+    monkeypatch.setattr(sc, "CELLS_PER_CORE", 0)
+    index, asked = bk.TermIndex.build(forward, str(tmp_path)), C.filtered_queries(spark, sf_dir)
+    made, top_lists = [], sc.top_lists
+    monkeypatch.setattr(sc, "top_lists", lambda *a, **k: made.append(top_lists(*a, **k)) or made[-1])
+    assert rows(bk.retrieve(index, asked, C.ref_ts())) == rows(rt.retrieve(forward, asked, C.ref_ts()))
+    assert index.n_chunks > 3 * sc.GROUP_CHUNKS
+    assert made[0].groupBy("qn").count().agg(F.max("count")).first()[0] == 10
+
+
+@pytest.mark.parametrize("most", [4, 32_768])
+def test_queries_of_the_same_terms(spark, sf_dir, forward, tmp_path, monkeypatch, most):
+    """Together in a group, or dealt out when they are too many, they get the same lists."""
+    monkeypatch.setattr(sc, "GROUP_QUERIES", most)
+    monkeypatch.setattr(sc, "FEWEST_QUERIES", 1)
+    index, asked = bk.TermIndex.build(forward, str(tmp_path)), C.filtered_queries(spark, sf_dir).limit(5)
+    copies = asked.withColumn("_c", F.explode(F.array(*[F.lit(f"-{i}") for i in range(9)]))).withColumn("query_id", F.concat("query_id", "_c")).drop("_c")
+    assert rows(bk.retrieve(index, copies, C.ref_ts())) == rows(rt.retrieve(forward, copies, C.ref_ts()))
