@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -160,13 +160,25 @@ def drop_lines(c: Column | str, exact: Sequence[str], patterns: Sequence[str] =
 
 def labelled_value(body: Column | str, label: str, all_labels: Sequence[str], max_length: int = 200) -> Column:
     """O-34: the lines after ``label`` up to the next label, or null when empty or too long."""
+
+    def after(lines: Column) -> Column:
+        at = F.array_position(lines, F.lit(label)).cast("int")
+        return F.when(at > 0, F.slice(lines, at + 1, F.size(lines)))
+
+    def joined(rest: Column) -> Column:
+        stops = [F.array_position(rest, F.lit(x)) for x in all_labels]
+        until = F.coalesce(F.array_min(F.array(*[F.when(s > 0, s - 1) for s in stops])), F.size(rest)).cast("int") if stops else F.size(rest)
+        return collapse(F.array_join(F.filter(F.slice(rest, 1, until), lambda line: line != ""), " "))
+
     lines = F.transform(F.split(col(body), r"\r?\n"), trim_all)
-    at = F.array_position(lines, F.lit(label)).cast("int")
-    rest = F.slice(lines, at + 1, F.greatest(F.size(lines) - at, F.lit(0)))
-    stops = F.filter(F.transform(rest, lambda line, i: F.when(line.isin(*all_labels), i)), lambda i: i.isNotNull())
-    until = F.coalesce(F.element_at(F.when(F.size(stops) > 0, stops), 1), F.size(rest))
-    value = collapse(F.array_join(F.filter(F.slice(rest, 1, until), lambda line: line != ""), " "))
-    return F.when((at > 0) & (F.length(value) > 0) & (F.length(value) <= max_length), value)
+    value = _bound(_bound(lines, after), joined)
+    kept = _bound(value, lambda v: F.when((F.length(v) > 0) & (F.length(v) <= max_length), v))
+    return F.when(F.contains(col(body), F.lit(label)), kept)
+
+
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often ``body`` reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def promote_title(title: Column | str, body: Column | str, generic: Sequence[str], label: str, all_labels: Sequence[str]) -> Column:

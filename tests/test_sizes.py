@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from siftbase.functions import text as T
 from siftbase.operators import blocks as bk, index as ix, retrieve as rt, scoring as sc
 from siftbase.plans import corpus as C
 from siftbase.session import stored_side, written
@@ -58,3 +59,10 @@ def test_queries_of_the_same_terms(spark, sf_dir, forward, tmp_path, monkeypatch
     index, asked = bk.TermIndex.build(forward, str(tmp_path)), C.filtered_queries(spark, sf_dir).limit(5)
     copies = asked.withColumn("_c", F.explode(F.array(*[F.lit(f"-{i}") for i in range(9)]))).withColumn("query_id", F.concat("query_id", "_c")).drop("_c")
     assert rows(bk.retrieve(index, copies, C.ref_ts())) == rows(rt.retrieve(forward, copies, C.ref_ts()))
+
+
+def test_a_labelled_value_splits_its_text_once(spark):
+    bodies = ["제목\n Hall  A \r\n\n둘째 줄\n기간\nx", "x\n 제목 \n기간\n제목\ny", "제목", "제목\n" + "w" * 201, "no label", "in 제목 line\nz", "", None]
+    df = spark.createDataFrame(list(enumerate(bodies)), "i int, body string").select("i", T.labelled_value("body", "제목", ["제목", "기간"]).alias("v"))
+    assert [r.v for r in df.orderBy("i").collect()] == ["Hall A 둘째 줄", None, None, None, None, None, None, None]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
