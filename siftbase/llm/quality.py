@@ -174,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
 
     With several labels for one id the worst counts.  All labelled rows take
     part: while their measured table is small it is broadcast and no text moves,
-    beyond that the join is Spark's choice.  The threshold is set on scores of rows that
+    beyond that it is a merge join.  The threshold is set on scores of rows that
     did not teach the ratios they are scored with: trusted rows form two folds,
     and either is scored by the other's, as unseen rows will be.  Without any
     trusted or any other labelled row the threshold keeps everything.
